@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, warc
+from . import embedding, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op6_simhash": simhash.op6_simhash,
+    "op7_embedding": embedding.op7_embedding,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL1,
