@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import embedding, simhash, warc
+from . import embedding, licenses, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_urls": urls.op3_urls,
+    "op5_licenses": licenses.op5_licenses,
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding": embedding.op7_embedding,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL1,
+    "op5_licenses": licenses.SQL5,
 }
