@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, licenses, simhash, urls, warc
+from . import embedding, licenses, lines, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_licenses": licenses.op5_licenses,
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding": embedding.op7_embedding,
+    "op9_lines": lines.op9_lines,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL1,
