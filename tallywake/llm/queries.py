@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, licenses, lines, simhash, urls, warc
+from . import embedding, licenses, lines, pieces, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding": embedding.op7_embedding,
     "op9_lines": lines.op9_lines,
+    "op10_pieces": pieces.op10_pieces,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL1,
