@@ -10,8 +10,8 @@ folds the lattice.
 
 The public model is of the BPE kind. A best path by added scores (Viterbi) over
 its pieces is not the model's encoding, because its scores are merge ranks; so
-the fold takes, at each step, the best edge of the lattice that joins exactly two
-neighbours, the leftmost of equals. That is SentencePiece's result (the tests
+the fold takes the edges of the lattice in the order of their ranks, the leftmost
+of equals first, and keeps those that join exactly two neighbours. That is SentencePiece's result (the tests
 compare with the library). Characters without a piece become byte pieces.
 
 Texts never move. Rows are named by file and block of ``ROWS`` rows; each block's
@@ -70,34 +70,42 @@ def call(name: str, *args) -> Column:
 
 def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
     """Edges grouped by unit: ``units(unit, blocks)`` with ``edges``, an array of
-    (rank, start, width, id) in that order, without a shuffle of its own."""
-    n = F.length("unit")
-
-    def from_start(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest_piece), n - s + 1)), lambda w: F.struct((s - 1).alias("start"), w.alias("width"), call("substring", F.col("unit"), s, w).alias("piece")))
-
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), from_start))
-    none = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("width"), F.lit("").alias("piece")))  # keeps units without any edge
-    exploded = units.select("unit", "blocks", F.explode(F.when(n <= LONGEST, F.concat(none, spans)).otherwise(none)).alias("x")).select("unit", "blocks", "x.*")
-    edges = exploded.join(F.broadcast(pieces), "piece")
-    edge = F.when(F.col("start") >= 0, F.struct("rank", "start", "width", "id"))
-    return edges.groupBy("unit").agg(F.first("blocks").alias("blocks"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    (rank, start, width, id, odd) in that order, without a shuffle of its own."""
+    n, start = F.length("unit"), F.col("start")
+    starts = F.explode(F.sequence(F.lit(0), F.when(n <= LONGEST, n).otherwise(0))).alias("start")
+    # Start 0 has the empty piece alone, which keeps units without any edge.
+    widths = F.explode(F.sequence(F.least(start, F.lit(1)), F.when(start > 0, F.least(F.lit(longest_piece), n - start + 1)).otherwise(0))).alias("width")
+    spans = units.select("unit", "blocks", starts).select("unit", "blocks", "start", widths)
+    spans = spans.select("unit", "blocks", (start - 1).alias("start"), "width", call("substring", F.col("unit"), start, F.col("width")).alias("piece"))
+    edges = spans.join(F.broadcast(pieces), "piece")
+    edge = F.when(F.col("start") >= 0, F.struct("rank", "start", "width", "id", "odd"))
+    return edges.groupBy("unit").agg(F.first("blocks").alias("blocks"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def fold(byte_ids: list[int]) -> Column:
-    """The ids of a unit from its lattice; null for units that are too long."""
+    """The ids of a unit from its lattice; null for units that are too long.
+
+    The edges come in the order of their ranks, and boundaries are the bits of a
+    long. An edge that joins exactly two neighbours at its turn takes the boundary
+    between them away. One turn for each edge is enough, unless the lattice has an
+    odd piece (see ``odd_pieces``); then the best edge is searched for each step.
+    """
     n, edges = F.length("unit"), F.col("edges")
     wide = F.filter(edges, lambda e: e["width"] > 1)
 
+    def inner(e: Column) -> Column:
+        return call("shiftleft", call("shiftleft", F.lit(1).cast("long"), e["width"]) - 2, e["start"])
+
     def joins_two(e: Column, bounds: Column) -> Column:
-        inside = call("shiftrightunsigned", bounds, e["start"]).bitwiseAND(call("shiftleft", F.lit(2).cast("long"), e["width"]) - 1)
-        ends = call("shiftleft", F.lit(1).cast("long"), e["width"]) + 1
-        return (inside.bitwiseAND(ends) == ends) & (F.bit_count(inside) == 3)
+        ends = call("shiftleft", call("shiftleft", F.lit(1).cast("long"), e["width"]) + 1, e["start"])
+        return (bounds.bitwiseAND(ends) == ends) & (F.bit_count(bounds.bitwiseAND(inner(e))) == 1)
+
+    def turn(bounds: Column, e: Column) -> Column:
+        return F.when(joins_two(e, bounds), bounds.bitwiseAND(F.bitwise_not(inner(e)))).otherwise(bounds)
 
-    def step(bounds: Column, _: Column) -> Column:
+    def search(bounds: Column, _: Column) -> Column:
         best = F.get(F.filter(wide, lambda e: joins_two(e, bounds)), 0)
-        gone = call("shiftleft", call("shiftleft", F.lit(1).cast("long"), best["width"] - 1) - 1, best["start"] + 1)
-        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(gone)), bounds)
+        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(inner(best))), bounds)
 
     every = call("shiftleft", F.lit(2).cast("long"), n) - 1
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
@@ -112,10 +120,31 @@ def fold(byte_ids: list[int]) -> Column:
             as_bytes = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.get(table_, F.conv(call("substring", code, k, F.lit(2)), 16, 10).cast("int")))
             return F.when(found.isNotNull(), F.array(found)).otherwise(as_bytes)
 
-        pairs = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), ids)
-        return F.flatten(pairs)
+        return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), ids))
 
-    return F.when(n <= LONGEST, F.aggregate(steps, every, step, out))
+    odd = F.exists(edges, lambda e: e["odd"])
+    return F.when((n <= LONGEST) & ~odd, F.aggregate(wide, every, turn, out)).when(n <= LONGEST, F.aggregate(steps, every, search, out))
+
+
+def odd_pieces(ordinary: list[tuple[int, str, int]]) -> set[str]:
+    """Pieces that might join after their turn.
+
+    A piece joins late only if both its ends stayed boundaries until then, so all
+    merges inside went as if it stood alone. If alone it comes about by merges in
+    ascending order of (rank, start), it has joined at its turn already.
+    """
+    ranks = {p: (r, i) for i, p, r in ordinary}
+    odd = set()
+    for p in ranks:
+        bounds, last = list(range(len(p) + 1)), (-1, -1)
+        while len(bounds) > 2:
+            ready = [(ranks[p[a:b]][0], a, k) for k, (a, b) in enumerate(zip(bounds, bounds[2:])) if p[a:b] in ranks]
+            if not ready or min(ready)[:2] < last:
+                odd.add(p)
+                break
+            last, k = min(ready)[:2], min(ready)[2]
+            del bounds[k + 1]
+    return odd
 
 
 def merge(unit: str, ranks: dict[str, tuple[int, int]], byte_ids: list[int]) -> list[int]:
@@ -210,8 +239,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     ``docs(doc_id, text)``; decoding is part of it and checked."""
     spark = docs.sparkSession
     ordinary, byte_ids, texts = read_model(model)
+    odd = odd_pieces(ordinary)
     rows = located(docs)
-    pieces = spark.createDataFrame([(p, i, r) for i, p, r in ordinary] + [("", -1, -1)], "piece string, id int, rank int")
+    pieces = spark.createDataFrame([(p, i, r, p in odd) for i, p, r in ordinary] + [("", -1, -1, False)], "piece string, id int, rank int, odd boolean")
     units = units_of_blocks(rows).groupBy("unit").agg(F.collect_set("block").alias("blocks"))
     coded = lattice(units, pieces, max(len(p) for _, p, _ in ordinary)).select("unit", "blocks", fold(byte_ids).alias("ids"))
     path = work_dir(spark, "units")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, licenses, lines, pieces, simhash, urls, warc
+from . import embedding, licenses, lines, lm, pieces, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_embedding": embedding.op7_embedding,
     "op9_lines": lines.op9_lines,
     "op10_pieces": pieces.op10_pieces,
+    "op8_lm": lm.op8_lm,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL1,
