@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding, licenses, lines, lm, pieces, simhash, urls, warc
+from . import embedding, licenses, lines, lm, pieces, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_quality": quality.op2_quality,
     "op3_urls": urls.op3_urls,
     "op5_licenses": licenses.op5_licenses,
     "op6_simhash": simhash.op6_simhash,
