@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding, licenses, lines, lm, pieces, quality, simhash, urls, warc
+from . import decontam, embedding, licenses, lines, lm, pieces, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_quality": quality.op2_quality,
     "op3_urls": urls.op3_urls,
+    "op4_decontam": decontam.op4_decontam,
     "op5_licenses": licenses.op5_licenses,
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding": embedding.op7_embedding,
