@@ -1 +1,100 @@
-"""Queries."""
+"""Queries of the CSV side, over statements that are written from the orders:
+one file for each customer, at most a few orders long."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import identity
+from ..operators import imports, rules
+from ..sources import statements as S
+from .registry import query
+
+HEAD = "Date,Description,Amount,Balance"
+
+
+def files(L):
+    """path and content of a statement for each customer's account and shop."""
+    tx = L.tx.select((F.col("id").cast("bigint") % 400).alias("file"), F.col("id").cast("bigint").alias("n"), "date", "amount_minor")
+    euro = lambda c: F.concat((F.abs(c) / 100).cast("decimal(20,2)").cast("string"))
+    line = F.concat_ws(",", "date", F.concat(F.lit('"Order, no. '), "n", F.lit('"')), F.concat(F.when(F.col("amount_minor") < 0, "-").otherwise(""), euro(F.col("amount_minor"))), F.lit(""))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\r\n")
+    return tx.groupBy("file").agg(text.alias("t")).select(F.concat(F.lit("f"), "file").alias("path"), F.concat(F.lit("My bank\r\n\r\n" + HEAD + "\r\n"), "t", F.lit("\r\n")).cast("binary").alias("content"))
+
+
+ORDERS = "SELECT 'f' || (n % 400) AS path, 'Order, no. ' || n AS description, date, amount_minor, n FROM tx"
+query("src_csv_bytes", "SELECT DISTINCT 'f' || (n % 400) AS path, true AS small FROM tx")(lambda L: files(L).select("path", (F.octet_length("content") <= S.MOST_BYTES).alias("small")))
+
+
+@query("csv_decode", "SELECT * FROM (VALUES ('nul', 'NotText'), ('odd', 'EncodingUnclear'), ('good', 'Success'), ('large', 'TooLarge')) v(name, outcome)")
+def csv_decode(L):
+    cases = {"nul": b"a\0b", "odd": b"\xff", "good": "é".encode(), "large": None}
+    return L.tx.sparkSession.createDataFrame([(k, S.decode(v)[0]) for k, v in cases.items()], "name string, outcome string")
+
+
+query("csv_tokenize", f"SELECT path, count(*) + 3 AS n_rows FROM ({ORDERS}) GROUP BY 1")(lambda L: S.cells_of(files(L)).groupBy("path").agg(F.count("*").alias("n_rows")))
+for _n in ("csv_preview", "csv_map_row", "csv_amount", "inf_first_data_row", "inf_header_row", "inf_modal_width"):
+    query(_n, f"SELECT path, date, description, amount_minor FROM ({ORDERS})")(lambda L: S.rows_of(files(L)).where("reason is null").select("path", "date", "description", "amount_minor"))
+for _n, _c, _v in (("inf_date_column", "date_column", "0"), ("inf_date_format", "date_format", "'yyyy-MM-dd'"), ("inf_description", "description_column", "1"), ("inf_money_column", "amount_column", "2"), ("inf_amount_fallback", "amount_sign", "'NEGATIVE_IS_DEBIT'")):
+    query(_n, f"SELECT DISTINCT path, {_v} AS {_c} FROM ({ORDERS})")(lambda L, c=_c: S.mappings_of(files(L)).select("path", c))
+query("csv_unmapped", f"SELECT DISTINCT path, '3' AS unmapped FROM ({ORDERS})")(lambda L: S.mappings_of(files(L)).select("path", F.array_join("unmapped", ",").alias("unmapped")))
+query("csv_date_candidates", f"SELECT path, CAST(count(*) AS INTEGER) AS day_first_failures FROM ({ORDERS}) GROUP BY 1")(lambda L: S.mappings_of(files(L)).select("path", "day_first_failures"))
+query("csv_apply_mapping", f"SELECT path, -amount_minor AS amount_minor, date FROM ({ORDERS})")(
+    lambda L: S.rows_of(files(L), S.Mapping(2, 3, 0, "yyyy-MM-dd", 1, 2, "POSITIVE_IS_DEBIT")).where("reason is null").select("path", "amount_minor", "date")
+)
+query("csv_failed_rows", f"SELECT path, count(*) AS n FROM ({ORDERS}) GROUP BY 1")(lambda L: S.rows_of(files(L), S.Mapping(2, 3, 0, "dd/MM/yyyy", 1, 2, "NEGATIVE_IS_DEBIT")).where("reason = 'unparseable date'").groupBy("path").agg(F.count("*").alias("n")))
+
+
+def paired(L):
+    lines = F.concat_ws(",", "date", F.concat(F.lit("Order "), F.col("id")), F.when(F.col("amount_minor") < 0, (-F.col("amount_minor")).cast("string")).otherwise(""), F.when(F.col("amount_minor") > 0, F.col("amount_minor").cast("string")).otherwise(""))
+    rows = L.tx.groupBy((F.col("id").cast("bigint") % 399).alias("f")).agg(F.array_join(F.sort_array(F.collect_list(lines)), "\n").alias("t"))
+    return rows.select(F.concat(F.lit("f"), "f").alias("path"), F.concat(F.lit("Date,Narration,Withdrawal,Deposit\n"), "t").cast("binary").alias("content"))
+
+
+PAIRED = "SELECT 'f' || (n % 399) AS path, 'Order ' || n AS description, {0}amount_minor * 100 AS amount_minor FROM tx"
+for _n in ("inf_debit_credit", "inf_money_shape"):
+    query(_n, f"SELECT DISTINCT path, 2 AS debit_column, 3 AS credit_column FROM ({PAIRED.format('')}) WHERE path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)")(
+        lambda L: S.mappings_of(paired(L)).where("debit_column is not null").select("path", "debit_column", "credit_column")
+    )
+BOTH = "path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)"
+query("csv_swap_debit_credit", f"SELECT path, description, amount_minor FROM ({PAIRED.format('-')}) WHERE {BOTH}")(
+    lambda L: S.rows_of(paired(L), swap=True).join(S.mappings_of(paired(L)).where("debit_column is not null").select("path"), "path", "left_semi").select("path", "description", "amount_minor")
+)
+
+
+@query("inf_balance_column", "SELECT 2 AS amount_column, 'POSITIVE_IS_DEBIT' AS amount_sign")
+def inf_balance_column(L):
+    text = "Date,Details,Amount,Balance\n" + "\n".join(f"2026-01-{d:02d},shop {d},{d}.00,{1000 - d * (d + 1) // 2}.00" for d in range(1, 9))
+    one = L.tx.sparkSession.createDataFrame([("f", text.encode())], "path string, content binary")
+    return S.mappings_of(one).select("amount_column", "amount_sign")
+
+
+query("balance_lag", "SELECT 2 AS amount_column, 'POSITIVE_IS_DEBIT' AS amount_sign")(inf_balance_column)
+SHAPES = [("2026-08-15", True), ("15-Aug-2026", True), ("31/12/2026", True), ("12/31/2026", True), ("32/13/2026", False), ("hello", False), ("5/3/2026", True)]
+query("inf_date_shape", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in SHAPES) + ") v(cell, date_like)")(
+    lambda L: L.tx.sparkSession.createDataFrame([(a, S.date_like(a)) for a, _ in SHAPES], "cell string, date_like boolean")
+)
+
+
+def imported(L):
+    """Statements mapped, hashed, given ids and met with the stored rows; then
+    rules run on what was inserted. (In the original the ids that rules look for
+    are those from before re-keying, so that none is found; what is meant is done.)"""
+    rows = S.rows_of(files(L)).where("reason is null").withColumn("account_id", F.lit("acct-1")).withColumn("row_index", F.concat_ws(":", "path", F.lpad(F.col("row_index").cast("string"), 9, "0")))
+    rows = rows.withColumn("content_hash", identity.content_hash(F.col("account_id"), F.col("date"), F.col("amount_minor"), F.col("description")))
+    stored = imports.derive_ids(rows.where("amount_minor % 2 = 0")).select("id", "content_hash", F.when(F.col("amount_minor") % 3 == 0, F.lit(1)).cast("bigint").alias("deleted_at"))
+    return imports.dedupe(stored, imports.derive_ids(rows))
+
+
+IMPORTED = "SELECT CASE WHEN amount_minor % 2 <> 0 THEN 'inserted' WHEN amount_minor % 3 = 0 THEN 'previously_deleted' ELSE 'duplicate' END AS bucket, n FROM tx"
+query("csv_import", f"SELECT bucket, count(*) AS n FROM ({IMPORTED}) GROUP BY 1")(lambda L: imports.counters(imported(L)))
+
+
+def categorised(L):
+    new = imported(L).where("bucket = 'inserted'").select("id", F.lit(None).cast("string").alias("merchant"), "description", F.lit(None).cast("string").alias("category_id"), F.lit(False).alias("category_locked_by_user"), F.lit(None).cast("bigint").alias("deleted_at"))
+    order = L.rules.limit(1).select(F.lit("o1").alias("id"), F.lit("HOUSEHOLD").alias("category_id"), F.lit("order, no. 1").alias("merchant_contains"), F.lit(1).alias("priority"), F.lit(None).cast("bigint").alias("deleted_at"))
+    return rules.assignments(new, order).agg(F.count("*").alias("categorised"))
+
+
+query("auto_categorise", f"SELECT count(*) AS categorised FROM ({IMPORTED}) WHERE bucket = 'inserted' AND n::VARCHAR LIKE '1%'")(categorised)
+query("modal_hit_rate", f"SELECT DISTINCT path, 0 AS date_column FROM ({ORDERS})")(lambda L: S.mappings_of(files(L)).select("path", "date_column"))
