@@ -14,6 +14,10 @@ sorted by hash and packed; slices of the hash space are counted over all blocks
 (a hot word or pair is one entry for each block, not a row for each place), and
 each block gets back the counts of just the arcs that its texts can take.
 
+A block's name is a digest of what it holds, so a task that runs again after a lost
+executor writes the same file; if its input had changed, a block would miss arcs,
+which is an error and never a wrong score.
+
 Words and pairs are known by 64-bit XXH64 values of their UTF-8 bytes.
 
 Defined results: null texts are empty, and an empty text is its end alone. Rows
@@ -24,11 +28,12 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +42,7 @@ from .common import cut, table, work_dir
 ADD = 0.5
 #: Weight of the shorter context in the states' arcs.
 MU = 1000.0
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 3_000_000
 #: Documents for each slice of the hash space, about.
 SLICE_DOCS = 64
 END, START = b"\n", b"\r"  # no token holds a blank
@@ -97,8 +102,9 @@ def write_blocks(docs: DataFrame, folder: str, bits: int, block_words: int = BLO
             nonlocal held, words
             ids, flags, parts = zip(*held)
             held, words = [], 0
-            name = uuid.uuid4().hex
             all_words = np.concatenate(parts)
+            digest = hashlib.blake2b(repr(ids).encode() + all_words.tobytes(), digest_size=12).hexdigest()
+            name = f"{TaskContext.get().partitionId()}-{digest}"
             ends = np.cumsum([len(p) for p in parts])
             before = np.concatenate(([start], all_words[:-1]))
             before[ends[:-1]] = start
@@ -132,7 +138,7 @@ def write_blocks(docs: DataFrame, folder: str, bits: int, block_words: int = BLO
         if held:
             yield from out()
 
-    return cut(docs.select("doc_id", "text", "held_out").mapInArrow(task, "slice int, kind int, block string, keys binary, counts binary"))
+    return docs.select("doc_id", "text", "held_out").mapInArrow(task, "slice int, kind int, block string, keys binary, counts binary")
 
 
 def count_arcs(sent: DataFrame) -> DataFrame:
