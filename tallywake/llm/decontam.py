@@ -7,8 +7,8 @@ small projected problem; only sums over rows are formed, at most WIDTH x rank
 numbers); its right factors span the latent space. Every document is cut into
 overlapping windows of whole words; a window's cosine with an item is taken from
 its latent coordinates and its full TF-IDF length, so text that the space does
-not know counts against it. Windows whose weights cannot reach the threshold are
-skipped by an exact bound. Windows at or above ``COSINE`` are candidates and are
+not know counts against it. Windows that cannot reach the threshold (by the sum of what
+each word adds at most to any item) are skipped, which loses none. Windows at or above ``COSINE`` are candidates and are
 checked: longest common subsequence of words with the item, and the share of the
 item's answer (its last words) that the window has.
 
@@ -37,7 +37,7 @@ WIDTH = 1 << 16
 RANK = 256
 #: Window lengths in words; windows start every third of their length.
 WINDOWS = (24, 48)
-COSINE = 0.35
+COSINE = 0.4
 #: Shares of an item's words, in order, that make a match alone, and with the answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.6
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, contaminated boolean"
@@ -177,22 +177,24 @@ class Index:
         self.idf = idf.astype(np.float32)
         self.row = np.zeros(WIDTH, np.int32)
         self.row[features] = np.arange(1, len(features) + 1)
-        self.v = np.vstack((np.zeros((1, v.shape[1])), v)).astype(np.float32)
-        self.size = np.sqrt((self.v * self.v).sum(axis=1))
-        q = np.zeros((len(items), v.shape[1]), np.float32)
+        v = np.vstack((np.zeros((1, v.shape[1])), v))
+        q = np.zeros((len(items), v.shape[1]))
         for k, (_, t) in enumerate(items):
             at, value = passage(t, idf)
             if len(at):
-                y = value @ self.v[self.row[at]]
+                y = value @ v[self.row[at]]
                 q[k] = y / max(1e-12, float(np.sqrt(y @ y)))
-        self.q = q
+        # What a word adds to the product with each item, by the latent space, and
+        # the most that it adds to any: a sum of these bounds every cosine.
+        self.adds = (v @ q.T).astype(np.float32)
+        self.most = np.maximum(self.adds.max(axis=1), 0).astype(np.float64)
 
     def candidates(self, f: np.ndarray, least: float):
         """(item number, start, length, cosine) of windows over the features."""
         good = f >= 0
         weight = np.where(good, self.idf[f], 0).astype(np.float64)
-        row = np.where(good, self.row[f], 0)
-        bound = np.concatenate(([0], np.cumsum(self.size[row] * weight)))
+        row, light = np.where(good, self.row[f], 0), weight.astype(np.float32)
+        bound = np.concatenate(([0], np.cumsum(self.most[row] * weight)))
         square = np.concatenate(([0], np.cumsum(weight * weight)))
         n = len(f)
         for length in WINDOWS:
@@ -203,8 +205,7 @@ class Index:
             for at in range(0, len(some), 512):
                 part = some[at : at + 512]
                 spans = list(zip(start[part].tolist(), end[part].tolist()))
-                y = np.stack([weight[a:b] @ self.v[row[a:b]] for a, b in spans])
-                score = y @ self.q.T
+                score = np.stack([light[a:b] @ self.adds[row[a:b]] for a, b in spans])
                 likely = score.max(axis=1) >= least * norm[part]
                 part, score = part[likely], score[likely]
                 # Only here is a word that recurs in the window counted as one feature.
