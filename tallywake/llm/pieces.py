@@ -44,6 +44,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Units up to this length are folded; boundaries are the bits of one long.
 LONGEST = 61
+#: Units of about 1 KB each that a task groups without sorting.
+UNITS_IN_MEMORY = 150_000
 #: Rows of a file that share one file of unit encodings.
 ROWS = 8192
 UNIT = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
@@ -70,7 +72,7 @@ def call(name: str, *args) -> Column:
 
 def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
     """Edges grouped by unit: ``units(unit, blocks)`` with ``edges``, an array of
-    (rank, start, width, id, odd) in that order, without a shuffle of its own."""
+    (start, width, id, odd) by rank and start, without a shuffle of its own."""
     n, start = F.length("unit"), F.col("start")
     starts = F.explode(F.sequence(F.lit(0), F.when(n <= LONGEST, n).otherwise(0))).alias("start")
     # Start 0 has the empty piece alone, which keeps units without any edge.
@@ -78,8 +80,19 @@ def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFram
     spans = units.select("unit", "blocks", starts).select("unit", "blocks", "start", widths)
     spans = spans.select("unit", "blocks", (start - 1).alias("start"), "width", call("substring", F.col("unit"), start, F.col("width")).alias("piece"))
     edges = spans.join(F.broadcast(pieces), "piece")
-    edge = F.when(F.col("start") >= 0, F.struct("rank", "start", "width", "id", "odd"))
-    return edges.groupBy("unit").agg(F.first("blocks").alias("blocks"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    # An edge is one long, in the order of the fold; blocks go with start -1 alone.
+    code = (((F.col("rank").cast("long") * 64 + F.col("start")) * 32 + F.col("width")) * (1 << 20) + F.col("id")) * 2 + F.col("odd").cast("long")
+    none = F.col("start") < 0
+    rows = edges.select("unit", F.when(none, F.col("blocks")).alias("blocks"), F.when(~none, code).alias("code"))
+    grouped = rows.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list("code")).alias("codes"))
+
+    def edge(c: Column) -> Column:
+        return F.struct(
+            F.shiftright(c, 26).bitwiseAND(63).cast("int").alias("start"), F.shiftright(c, 21).bitwiseAND(31).cast("int").alias("width"),
+            F.shiftright(c, 1).bitwiseAND((1 << 20) - 1).cast("int").alias("id"), (c.bitwiseAND(1) == 1).alias("odd"),
+        )
+
+    return grouped.select("unit", "blocks", F.transform("codes", edge).alias("edges"))
 
 
 def fold(byte_ids: list[int]) -> Column:
@@ -239,13 +252,22 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     ``docs(doc_id, text)``; decoding is part of it and checked."""
     spark = docs.sparkSession
     ordinary, byte_ids, texts = read_model(model)
+    if max(len(p) for _, p, _ in ordinary) > 31 or len(texts) > 1 << 20:
+        raise ValueError("edges are packed for pieces of 31 characters and 2**20 ids at most")
     odd = odd_pieces(ordinary)
     rows = located(docs)
     pieces = spark.createDataFrame([(p, i, r, p in odd) for i, p, r in ordinary] + [("", -1, -1, False)], "piece string, id int, rank int, odd boolean")
     units = units_of_blocks(rows).groupBy("unit").agg(F.collect_set("block").alias("blocks"))
     coded = lattice(units, pieces, max(len(p) for _, p, _ in ordinary)).select("unit", "blocks", fold(byte_ids).alias("ids"))
     path = work_dir(spark, "units")
-    coded.select(F.explode("blocks").alias("block"), "unit", "ids").repartition("block").write.partitionBy("block").parquet(path)
+    # Units are grouped in memory up to so many in a task, and sorted beyond.
+    with_conf = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(with_conf)
+    spark.conf.set(with_conf, str(UNITS_IN_MEMORY))
+    try:
+        coded.select(F.explode("blocks").alias("block"), "unit", "ids").repartition("block").write.partitionBy("block").parquet(path)
+    finally:
+        spark.conf.set(with_conf, before)
     ranks = {p: (r, i) for i, p, r in ordinary}
 
     def task(batches):
