@@ -122,10 +122,11 @@ def earlier(a: np.ndarray, b: np.ndarray, t: np.ndarray, key: np.ndarray) -> np.
     return out
 
 
-def compare(runs: np.ndarray, block: np.ndarray, t: np.ndarray, key: np.ndarray, unit: np.ndarray, code: np.ndarray, weight: np.ndarray, least: float):
+def compare(runs: np.ndarray, block: np.ndarray, two: np.ndarray, t: np.ndarray, key: np.ndarray, unit: np.ndarray, code: np.ndarray, weight: np.ndarray, least: float):
     """Within runs of sorted rows: (row, linked weight) sums and forest edges.
 
-    runs numbers the runs; where a run has two blocks, only pairs across count.
+    runs numbers the runs; where a run is of two blocks (``two``), only pairs
+    across them count.
     """
     n = len(runs)
     total, edges = np.zeros(n, np.int64), []
@@ -140,9 +141,8 @@ def compare(runs: np.ndarray, block: np.ndarray, t: np.ndarray, key: np.ndarray,
 
     for s, m in zip(start[size > 32].tolist(), size[size > 32].tolist()):
         own = block[s : s + m]
-        across = own[0] != own[-1] or (own != own[0]).any()
         near = unit[s : s + m] @ unit[s : s + m].T >= least
-        if across:
+        if two[s]:
             near &= own[:, None] != own[None, :]
         np.fill_diagonal(near, False)
         i, j = np.nonzero(np.triu(near))
@@ -167,7 +167,7 @@ def compare(runs: np.ndarray, block: np.ndarray, t: np.ndarray, key: np.ndarray,
         same = (runs[i] == runs[j])
         if not same.any():
             break
-        same &= ~((block[i] == block[j]) & crossing(runs, block, start, size)[i])
+        same &= ~((block[i] == block[j]) & two[i])
         i, j = i[same], j[same]
         near = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
         i, j = i[near], j[near]
@@ -176,12 +176,6 @@ def compare(runs: np.ndarray, block: np.ndarray, t: np.ndarray, key: np.ndarray,
     return total, edges
 
 
-def crossing(runs, block, start, size):
-    """Whether a row's run is one of two different blocks (p and q)."""
-    low, high = np.minimum.reduceat(block, start), np.maximum.reduceat(block, start)
-    return np.repeat(low != high, size)
-
-
 def links(classes: DataFrame, least: float = COSINE, tables: int = TABLES, run: int = RUN) -> DataFrame:
     """From ``classes(cid, label, vector binary of doubles, n)``: rows
     (cid, other, weight): link weights with null ``other``, and forest edges."""
@@ -218,6 +212,7 @@ def links(classes: DataFrame, least: float = COSINE, tables: int = TABLES, run:
                 return None
             cols = {k: part.column(k).to_numpy() for k in ("size", "t", "key", "block", "n")}
             head = list(zip(part.column("label").to_pylist(), *(cols[k].tolist() for k in ("size", "t", "key")), part.column("p").to_pylist(), part.column("q").to_pylist()))
+            two = np.array([h[4] != h[5] for h in head])
             runs = np.cumsum([0] + [int(x != y) for x, y in zip(head[1:], head)])
             cid = part.column("cid").to_pylist()
             out: list[tuple] = []
@@ -226,7 +221,7 @@ def links(classes: DataFrame, least: float = COSINE, tables: int = TABLES, run:
                 at = np.flatnonzero(cols["size"] == size)
                 unit = np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1)
                 code = np.frombuffer(b"".join(packed[i] for i in at), np.int32).reshape(len(at), -1, 2)
-                total, edges = compare(runs[at], cols["block"][at], cols["t"][at], cols["key"][at], unit, code, cols["n"][at], least)
+                total, edges = compare(runs[at], cols["block"][at], two[at], cols["t"][at], cols["key"][at], unit, code, cols["n"][at], least)
                 some = np.flatnonzero(total)
                 out += [(cid[at[i]], None, int(total[i])) for i in some]
                 out += list({(cid[at[i]], cid[at[j]], None) for i, j in edges})
