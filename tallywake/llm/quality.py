@@ -224,5 +224,5 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that the classifier rejects go; of rows that share a
     doc_id all go if one is rejected."""
-    gone = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*docs.columns)
+    gone = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select(F.col("doc_id").alias("__d")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]), "left_anti").select(*docs.columns)

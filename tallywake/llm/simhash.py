@@ -220,5 +220,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each component, the document with the smallest doc_id."""
     found = near_duplicates(docs)
-    keep = found.where("doc_id is not distinct from component_id").select("doc_id").distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__d")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__d"]), "left_semi").select(*docs.columns)

@@ -230,14 +230,13 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
 def archive_pages(spark: SparkSession, pages: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
     """Writes all pages and reads the archives back: (records, index)."""
     index = write_archives(with_revisits(pages), out_dir)
+    if index.isEmpty():
+        return spark.createDataFrame([], RECORD), index
     return read_archives(spark, index, out_dir), index
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = work_dir(spark, "warc")
-    records, index = archive_pages(spark, table(spark, sf_dir, "pages"), out)
-    if index.isEmpty():
-        return spark.createDataFrame([], RECORD).drop("url")
+    records, _ = archive_pages(spark, table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
     return records.drop("url")
 
 
