@@ -105,6 +105,7 @@ for _n in ("oplog_vs_cursor", "src_oplog"):
 query("pull", f"SELECT o.row_id, o.remote_revision FROM ({GOOD}) o LEFT JOIN ({CURSOR}) c ON o.device_id = c.device_id WHERE o.seq > coalesce(c.seq, 0)")(lambda L: joins.after_cursor(replication.readable(L.ops), cursor(L)).select("row_id", "remote_revision"))
 query("horizon_check", f"SELECT bool_or(coalesce(c.seq, 0) < h.horizon) AS behind FROM (SELECT device_id, max(seq) AS horizon FROM ops GROUP BY 1) h LEFT JOIN ({CURSOR}) c ON c.device_id = h.device_id")(lambda L: joins.behind_horizon(replication.horizon(L.ops), cursor(L)))
 query("elect_owner", "SELECT min(device_id) AS owner FROM ops")(lambda L: L.ops.agg(F.min("device_id").alias("owner")))
+query("take_over", "SELECT min(device_id) AS owner FROM ops WHERE device_id <> 'dev-0'")(lambda L: L.ops.where("device_id <> 'dev-0'").agg(F.min("device_id").alias("owner")))
 query("is_stale", "SELECT 1709000000000 - max(updated_at) > 7776000000 AS stale FROM ops")(lambda L: L.ops.agg((F.lit(1709000000000) - F.max("updated_at") > 7776000000).alias("stale")))
 
 
