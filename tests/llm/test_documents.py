@@ -72,6 +72,37 @@ def test_lines(spark, docs, empty):
     assert lines.stage(spark, docs, "").columns == docs.columns
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_of_edit_similarity_are_found(spark):
+    """Against brute-force edit similarity: changed words, changed letters."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    rows, want = [], {}
+    for kind, n_words, edits in (("word", 12, 1), ("word", 20, 1), ("word", 20, 2), ("word", 20, 4), ("letter", 12, 1), ("letter", 20, 5), ("letter", 3, 2), ("letter", 1, 1)):
+        for _ in range(60):
+            a = [word() for _ in range(n_words)]
+            b = list(a)
+            for k in rng.choice(n_words, edits, replace=kind == "letter"):
+                at = rng.integers(len(b[k]))
+                b[k] = word() if kind == "word" else b[k][:at] + "z" + b[k][at + 1 :]
+            a, b = " ".join(a), " ".join(b)
+            if a != b and 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.8:
+                want[len(rows) + 1] = (kind, n_words, edits)
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in set(want.values()):
+        ids = [i for i, k in want.items() if k == kind]
+        assert sum(got[i] == "" for i in ids) >= 0.9 * len(ids), kind
+
+
 def test_scores(docs, empty):
     held = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False)))
     got = lm.score(held, block_words=1000).collect()
