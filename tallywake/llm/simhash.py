@@ -31,37 +31,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, stored, table
 
 WIDTH = 3
 DISTANCE = 3
 SEED = 42
+#: The pipeline's stage: words of a shingle, share of shingles in both texts, keys.
+STAGE_WIDTH, SIMILARITY, MINIMA = 5, 0.8, 10
 #: Fingerprints of a key that are compared within one block.
 RUN = 2048
 GOLAY = 0b101011100011  # generator polynomial of the binary Golay code (fixed value)
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """SimHash over word shingles: ASCII letters in lower case, words between
-    ASCII blanks, XXH64 of each shingle, strict majority for each bit."""
+def digests(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of each word shingle: ASCII letters in lower case, words between ASCII
+    blanks; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest, seed = xxhash.xxh64_digest, SEED
-    if len(words) <= width:
-        return int.from_bytes(digest(b" ".join(words), seed), "big")
     line = b" ".join(words)
+    if len(words) <= width:
+        return np.frombuffer(digest(line, seed), ">u8").astype(np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    count = np.zeros(64, np.int64)
-    n = len(words) - width + 1
+    n, out = len(words) - width + 1, []
     for at in range(0, n, 65536):  # bounded memory for very long texts
         cuts = zip(starts[at : min(at + 65536, n)].tolist(), ends[at + width - 1 : min(at + 65536, n) + width - 1].tolist())
-        raw = b"".join([digest(line[a:b], seed) for a, b in cuts])
-        count += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
+        out.append(np.frombuffer(b"".join([digest(line[a:b], seed) for a, b in cuts]), ">u8").astype(np.uint64))
+    return np.concatenate(out)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash: strict majority for each bit; zero without hashes."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        raw = hashes[at : at + 65536].astype(">u8").view(np.uint8)
+        count += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """SimHash over the word shingles of ``digests``."""
+    return majority(digests(text, width))
 
 
 def with_fingerprint(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -217,8 +231,56 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id for each row of ``docs(doc_id, text)``; two texts are
+    linked if ``least`` of all their distinct shingles are in both. Candidates share
+    one of ``MINIMA`` smallest shingles; their SimHashes spare most comparisons."""
+    from .lines import line_links
+
+    salts = np.random.default_rng(SEED).integers(0, 1 << 63, (MINIMA, 2), dtype=np.uint64)
+
+    def task(batches):
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                all_ = digests(x.as_py(), width)
+                some = np.unique(all_)
+                node = xxh(some.tobytes())  # texts of equal shingles are one node
+                keys = [((some ^ c) * (a | np.uint64(1))).min() ^ np.uint64(k) for k, (a, c) in enumerate(salts)] if len(some) else []
+                out.append((node, np.uint64(majority(all_)).astype(np.int64).item(), len(some), np.array(keys, np.uint64).view(np.int64).tolist()))
+            cols = list(zip(*out)) if out else [[]] * 4
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "h", "fp", "len", "keys"])
+
+    def xxh(raw: bytes) -> int:
+        import xxhash
+
+        return np.uint64(xxhash.xxh64_intdigest(raw, SEED)).astype(np.int64).item()
+
+    def shingles(batches):
+        for b in batches:
+            sets = [np.unique(digests(x.as_py(), width)) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxh(x.tobytes()) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["h", "text"])
+
+    def texts_of(hashes: DataFrame) -> DataFrame:
+        wanted = marked.select("doc_id", "h").join(hashes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("__d"))
+        rows = docs.join(wanted.select("__d").distinct(), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi").select("text")
+        return rows.mapInArrow(shingles, "h long, text array<long>").join(hashes, "h", "left_semi").dropDuplicates(["h"])
+
+    def alike(a, b, least: float):
+        both = F.size(F.array_intersect(a, b))
+        return 1000 * both >= round(1000 * least) * (F.size(a) + F.size(b) - both)
+
+    marked = stored(docs.select("doc_id", "text").mapInArrow(task, "doc_id long, h long, fp long, len int, keys array<long>"))
+    keys = marked.select("h", F.explode("keys").alias("key")).distinct()
+    nodes = marked.groupBy("h").agg(F.first("fp").alias("fp"), F.first("len").alias("len"))
+    comps = line_links(nodes, keys, texts_of, least, alike)
+    rooted = marked.join(comps, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each component, the document with the smallest doc_id."""
-    found = near_duplicates(docs)
+    found = similar_documents(docs)
     keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__d")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__d"]), "left_semi").select(*docs.columns)

@@ -51,6 +51,25 @@ def test_blocks_lose_no_link(spark):
     assert len({r.component for r in comps}) == 1 and len(comps) == len(fps)
 
 
+def test_stage_removes_near_copies(spark, empty):
+    """Planted copies of shingle similarity 0.8 to 1; those below 0.8 stay."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near, far = [], set(), set()
+    for edits in [1, 2, 4, 6, 8, 14] * 25:
+        a = [word() for _ in range(300)]
+        changed = set(rng.choice(300, edits, replace=False).tolist())
+        b = [word() if k in changed else x for k, x in enumerate(a)]
+        share = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        (near if share >= 0.8 else far).add(len(rows) + 1)
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    kept = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(near) > 50 and len(far) > 10
+    assert len(near - kept) >= 0.99 * len(near) and far <= kept and kept >= set(range(0, len(rows), 2))
+    assert simhash.stage(spark, empty, "").count() == 0
+
+
 def test_licenses(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in licenses.scan(docs).collect()}
     assert got[1, 0].labels == "" and got[1, 0].score == 0.0
