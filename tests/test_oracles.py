@@ -44,3 +44,15 @@ def test_partition_of_expenses(spark):
     assert spend.breakdown(L.tx, L.categories, None).agg(F.sum("spent_minor")).first()[0] == whole
     parts = spend.category_spend(L.tx, L.categories, None).agg(F.sum("spent_minor")).first()[0]
     assert parts + spend.uncategorised_spend(L.tx, L.categories, None).first()[0] == whole
+
+
+def test_all_batches_and_the_whole_snapshot_are_sealed(spark, duck):
+    """The envelopes that the queries make, opened: none is left out."""
+    from tallywake import ledger
+    from tallywake.plans import merges
+    from tallywake.streaming import replication
+
+    for name, rows in (("seal_batch", "SELECT * FROM ops"), ("seal_snapshot", f"SELECT * FROM ({merges.NEWEST}) WHERE payload IS NOT NULL")):
+        got = {tuple(r) for r in replication.opened(catalog.QUERIES[name](spark, SF)).collect()}
+        want = duck.sql(f"{ledger.CTES} SELECT device_id, seq, count(*) AS n FROM ({rows}) GROUP BY 1, 2").fetchall()
+        assert want and got == set(want)
