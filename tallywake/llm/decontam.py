@@ -37,7 +37,7 @@ WIDTH = 1 << 16
 RANK = 256
 #: Window lengths in words; windows start every third of their length.
 WINDOWS = (24, 48)
-COSINE = 0.4
+COSINE = 0.25
 #: Shares of an item's words, in order, that make a match alone, and with the answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.6
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, contaminated boolean"

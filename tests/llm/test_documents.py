@@ -200,6 +200,29 @@ def test_decontamination(spark, docs, empty):
     assert decontam.lcs_length([b"a", b"b", b"c", b"d"], [b"a", b"x", b"c", b"d"]) == 3
 
 
+def planted(spark, n_items, length, keep=1.0, around=120, seed=5):
+    """Items of rare words, and documents with each: the answer whole, of the words
+    before it only the share ``keep``, in order."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    items = [[word() for _ in range(length)] for _ in range(n_items)]
+    docs = []
+    for k, item in enumerate(items):
+        head = length - max(2, length // 4)
+        lost = set(rng.choice(max(1, head), round((1 - keep) * head), replace=False).tolist())
+        text = [word() if i in lost else w for i, w in enumerate(item)]
+        docs.append((k, " ".join([word() for _ in range(around)] + text + [word() for _ in range(around)])))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+
+
+def caught(docs, bench):
+    return sum(r.doc_id == r.item_id for r in decontam.retrieve(docs, bench).where("contaminated").select("doc_id", "item_id").distinct().collect())
+
+
+def test_confirmed_paraphrases_are_candidates(spark):
+    assert caught(*planted(spark, 60, 12, 1 / 3)) == 60
+
+
 def test_crc_is_the_contract_s(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
