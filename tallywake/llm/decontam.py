@@ -10,7 +10,10 @@ its latent coordinates and its full TF-IDF length, so text that the space does
 not know counts against it. Windows that cannot reach the threshold (by the sum of what
 each word adds at most to any item) are skipped, which loses none. Windows at or above ``COSINE`` are candidates and are
 checked: longest common subsequence of words with the item, and the share of the
-item's answer (its last words) that the window has.
+item's answer (its last words) that the window has. Places that share ``SHARED`` of
+an item's runs of ``RUN`` words are candidates too, with cosine zero if no window is
+one; so copies are found also where the items are more than the space has ranks, or
+are far shorter or longer than the windows.
 
 Each document is judged in its own row, whatever its length; nothing is shuffled
 but feature counts. The benchmark is the query set: it is held by every task, as
@@ -35,6 +38,8 @@ from .common import table
 
 WIDTH = 1 << 16
 RANK = 256
+#: Words of a run, and the share of an item's runs that makes a candidate.
+RUN, SHARED = 3, 0.15
 #: Window lengths in words; windows start every third of their length.
 WINDOWS = (24, 48)
 COSINE = 0.25
@@ -148,6 +153,14 @@ def passage(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int64), value / max(1e-30, float(np.sqrt(value @ value)))
 
 
+def run_codes(f: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of ``n`` features."""
+    out = np.zeros(max(0, len(f) - n + 1), np.int64)
+    for i in range(n):
+        out = (out << 16) | f[i : len(f) - n + 1 + i]
+    return out
+
+
 def lcs_length(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     where: dict[bytes, int] = {}
@@ -178,16 +191,48 @@ class Index:
         self.row = np.zeros(WIDTH, np.int32)
         self.row[features] = np.arange(1, len(features) + 1)
         v = np.vstack((np.zeros((1, v.shape[1])), v))
+        # An item of which the space holds a share scores that share against its own
+        # copy; the division by it makes the copy's score one again.
         q = np.zeros((len(items), v.shape[1]))
         for k, (_, t) in enumerate(items):
             at, value = passage(t, idf)
             if len(at):
                 y = value @ v[self.row[at]]
-                q[k] = y / max(1e-12, float(np.sqrt(y @ y)))
+                q[k] = y / max(1e-12, float(y @ y))
         # What a word adds to the product with each item, by the latent space, and
         # the most that it adds to any: a sum of these bounds every cosine.
         self.adds = (v @ q.T).astype(np.float32)
         self.most = np.maximum(self.adds.max(axis=1), 0).astype(np.float64)
+        # Runs of words: for each length, sorted codes and the items that have them.
+        self.runs = []
+        for n in range(1, RUN + 1):
+            held = {(c, k) for k, words in enumerate(self.items) if words and min(len(words), RUN) == n for c in run_codes(np.array([feature(w) for w in words], np.int64), n).tolist()}
+            if held:
+                code, item = (np.array(x, np.int64) for x in zip(*sorted(held)))
+                self.runs.append((n, code, item))
+
+    def copies(self, f: np.ndarray):
+        """(item number, start, length) of places that share runs of words with an
+        item: at least ``SHARED`` of its runs within one and a half of its length.
+        Copies are found so whatever the latent space holds and whatever their length."""
+        at = np.flatnonzero(f >= 0)
+        for n, code, item in self.runs:
+            mine = run_codes(f[at], n)
+            low, high = np.searchsorted(code, mine), np.searchsorted(code, mine, "right")
+            hit = np.flatnonzero(high > low)
+            places: dict[int, list[int]] = {}
+            for i in hit.tolist():
+                for k in item[low[i] : high[i]].tolist():
+                    places.setdefault(k, []).append(i)
+            for k, p in places.items():
+                m, p = len(self.items[k]), np.array(p)
+                near = np.searchsorted(p, p + m + m // 2, "right") - np.arange(len(p))
+                after = -1
+                for j in np.flatnonzero(near >= max(1, SHARED * (m - n + 1))).tolist():
+                    if p[j] > after:
+                        last = p[j + near[j] - 1] + n - 1
+                        after = p[j] + m // 4
+                        yield k, int(at[p[j]]), int(at[min(last, len(at) - 1)] - at[p[j]] + 1)
 
     def candidates(self, f: np.ndarray, least: float):
         """(item number, start, length, cosine) of windows over the features."""
@@ -212,14 +257,15 @@ class Index:
                 whole = [np.sqrt((np.bincount(np.unique(f[a:b], return_inverse=True)[1], weight[a:b]) ** 2).sum()) for (a, b), x in zip(spans, likely) if x]
                 score = score / np.array(whole).reshape(-1, 1)
                 for i, k in zip(*np.nonzero(score >= least)):
-                    yield int(k), int(start[part[i]]), length, float(score[i, k])
+                    yield int(k), int(start[part[i]]), length, min(1.0, float(score[i, k]))
 
     def matches(self, text: str, memo: dict, least: float):
         """The best check of each item that has a candidate window."""
         f = raw_features(text, memo)
         best: dict[int, tuple] = {}
         words = None
-        for k, start, length, cosine in self.candidates(f, least) if len(f) else ():
+        found_at = [*self.candidates(f, least), *((k, a, n, 0.0) for k, a, n in self.copies(f))] if len(f) else ()
+        for k, start, length, cosine in found_at:
             if not self.items[k]:
                 continue
             if words is None:

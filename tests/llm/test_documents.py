@@ -223,6 +223,10 @@ def test_confirmed_paraphrases_are_candidates(spark):
     assert caught(*planted(spark, 60, 12, 1 / 3)) == 60
 
 
+def test_copies_of_many_items_are_found(spark):
+    assert caught(*planted(spark, 3000, 14, around=60)) == 3000
+
+
 def test_crc_is_the_contract_s(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
