@@ -153,6 +153,12 @@ def passage(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int64), value / max(1e-30, float(np.sqrt(value @ value)))
 
 
+def run_length(m: int) -> int:
+    """Words of the runs of an item of ``m`` words: short items have short runs, so
+    that one changed word leaves some."""
+    return 1 if m < 3 else 2 if m < 9 else RUN
+
+
 def run_codes(f: np.ndarray, n: int) -> np.ndarray:
     """A number for each run of ``n`` features."""
     out = np.zeros(max(0, len(f) - n + 1), np.int64)
@@ -206,7 +212,7 @@ class Index:
         # Runs of words: for each length, sorted codes and the items that have them.
         self.runs = []
         for n in range(1, RUN + 1):
-            held = {(c, k) for k, words in enumerate(self.items) if words and min(len(words), RUN) == n for c in run_codes(np.array([feature(w) for w in words], np.int64), n).tolist()}
+            held = {(c, k) for k, words in enumerate(self.items) if words and run_length(len(words)) == n for c in run_codes(np.array([feature(w) for w in words], np.int64), n).tolist()}
             if held:
                 code, item = (np.array(x, np.int64) for x in zip(*sorted(held)))
                 self.runs.append((n, code, item))

@@ -227,6 +227,14 @@ def test_copies_of_many_items_are_found(spark):
     assert caught(*planted(spark, 3000, 14, around=60)) == 3000
 
 
+def test_items_of_any_length_are_found(spark):
+    for length in (4, 600, 1200):
+        assert caught(*planted(spark, 30, length)) == 30, length
+    rows = [(0, "zz " * 40 + "alpha other gamma delta" + " yy" * 40)]
+    short = spark.createDataFrame([(0, "alpha beta gamma delta")], "item_id long, text string")
+    assert caught(spark.createDataFrame(rows, "doc_id long, text string"), short) == 1
+
+
 def test_crc_is_the_contract_s(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
