@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 The text is changed as the model says (a blank in front, blanks written as the
-sign U+2581) and cut into units before each blank sign that follows another
-character; no piece goes across such a cut, so a text's encoding is that of its
-units. Distinct units are encoded once for the whole corpus: their substrings of
-bounded length are exploded, equi-joined to the piece table (a fixed vocabulary,
-broadcast), the edges are grouped by unit, and Spark's higher-order aggregate
-folds the lattice.
+sign U+2581) and cut into units between any two characters that stand side by
+side in no piece; no piece goes across such a cut, so a text's encoding is that
+of its units. Distinct units are encoded once for the whole corpus: their
+substrings of bounded length are exploded, equi-joined to the piece table (a
+fixed vocabulary, broadcast), the edges are grouped by unit, and Spark's
+higher-order aggregate folds the lattice.
 
 The public model is of the BPE kind. A best path by added scores (Viterbi) over
 its pieces is not the model's encoding, because its scores are merge ranks; so
@@ -15,13 +15,16 @@ of equals first, and keeps those that join exactly two neighbours. That is Sente
 compare with the library). Characters without a piece become byte pieces.
 
 Texts never move. Rows are named by file and block of ``ROWS`` rows; each block's
-units get their encodings as a file in the shared folder, and a second scan of
-the texts looks units up there. A block's file is no larger than the block's own
-texts. Frames that do not come from Parquet files are written to the shared
-folder first.
+distinct units are dealt out by unit, joined to their encodings and written as a
+file of the block in the shared folder; a second scan of the texts looks units up
+there. A unit that all blocks have is one row for each block, never a list; a
+block's file is no larger than the block's own texts. Frames that do not come from
+Parquet files are written to the shared folder first.
 
 Defined results: null and empty texts have no pieces. Units of more than
-``LONGEST`` characters are encoded by the same merges in the second scan. A text
+``LONGEST`` characters (long runs without a blank of letters that pieces join; text
+in Chinese or Japanese is cut nearly everywhere) are encoded by the same merges in
+the second scan. A text
 that itself holds the sign U+2581 is decoded with a blank there, as the library
 does; round_trip is then false. Repeated rows and null doc_ids are kept; empty
 tables give no rows; further columns are ignored.
@@ -38,17 +41,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import table, work_dir
+from .common import stored, table, work_dir
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Units up to this length are folded; boundaries are the bits of one long.
 LONGEST = 61
-#: Units of about 1 KB each that a task groups without sorting.
-UNITS_IN_MEMORY = 150_000
 #: Rows of a file that share one file of unit encodings.
 ROWS = 8192
-UNIT = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+#: Parts between blanks, before they are cut into units.
+PART = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
 
 
 def read_model(path: str = MODEL) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
@@ -70,29 +72,35 @@ def call(name: str, *args) -> Column:
     return F.call_function(name, *(a if isinstance(a, Column) else F.lit(a) for a in args))
 
 
+def cutter(ordinary: list[tuple[int, str, int]]):
+    """A function from a part to its units: cut between characters that stand side
+    by side in no piece."""
+    joined = frozenset(p[i : i + 2] for _, p, _ in ordinary for i in range(len(p) - 1))
+
+    def units(part: str) -> list[str]:
+        at = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in joined]
+        return [part[a:z] for a, z in zip([0, *at], [*at, len(part)])] if at else [part]
+
+    return units
+
+
 def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
-    """Edges grouped by unit: ``units(unit, blocks)`` with ``edges``, an array of
-    (start, width, id, odd) by rank and start, without a shuffle of its own."""
+    """Edges grouped by unit: ``units(unit)``, distinct and dealt out by unit, with
+    ``edges``, an array of longs by rank and start, without a shuffle of its own.
+
+    An edge is one long: rank, start, width, id and whether its piece is odd. Units
+    are sorted before they are exploded, so that the grouping, which sorts edges by
+    unit beyond a few units, finds them in order and holds one unit at a time.
+    """
     n, start = F.length("unit"), F.col("start")
     starts = F.explode(F.sequence(F.lit(0), F.when(n <= LONGEST, n).otherwise(0))).alias("start")
     # Start 0 has the empty piece alone, which keeps units without any edge.
     widths = F.explode(F.sequence(F.least(start, F.lit(1)), F.when(start > 0, F.least(F.lit(longest_piece), n - start + 1)).otherwise(0))).alias("width")
-    spans = units.select("unit", "blocks", starts).select("unit", "blocks", "start", widths)
-    spans = spans.select("unit", "blocks", (start - 1).alias("start"), "width", call("substring", F.col("unit"), start, F.col("width")).alias("piece"))
-    edges = spans.join(F.broadcast(pieces), "piece")
-    # An edge is one long, in the order of the fold; blocks go with start -1 alone.
+    spans = units.sortWithinPartitions("unit").select("unit", starts).select("unit", "start", widths)
+    spans = spans.select("unit", (start - 1).alias("start"), "width", call("substring", F.col("unit"), start, F.col("width")).alias("piece"))
     code = (((F.col("rank").cast("long") * 64 + F.col("start")) * 32 + F.col("width")) * (1 << 20) + F.col("id")) * 2 + F.col("odd").cast("long")
-    none = F.col("start") < 0
-    rows = edges.select("unit", F.when(none, F.col("blocks")).alias("blocks"), F.when(~none, code).alias("code"))
-    grouped = rows.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list("code")).alias("codes"))
-
-    def edge(c: Column) -> Column:
-        return F.struct(
-            F.shiftright(c, 26).bitwiseAND(63).cast("int").alias("start"), F.shiftright(c, 21).bitwiseAND(31).cast("int").alias("width"),
-            F.shiftright(c, 1).bitwiseAND((1 << 20) - 1).cast("int").alias("id"), (c.bitwiseAND(1) == 1).alias("odd"),
-        )
-
-    return grouped.select("unit", "blocks", F.transform("codes", edge).alias("edges"))
+    edges = spans.join(F.broadcast(pieces), "piece").select("unit", F.when(F.col("start") >= 0, code).alias("code"))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list("code")).alias("edges"))
 
 
 def fold(byte_ids: list[int]) -> Column:
@@ -104,14 +112,26 @@ def fold(byte_ids: list[int]) -> Column:
     odd piece (see ``odd_pieces``); then the best edge is searched for each step.
     """
     n, edges = F.length("unit"), F.col("edges")
-    wide = F.filter(edges, lambda e: e["width"] > 1)
+
+    def start(e: Column) -> Column:
+        return F.shiftright(e, 26).bitwiseAND(63).cast("int")
+
+    def width(e: Column) -> Column:
+        return F.shiftright(e, 21).bitwiseAND(31).cast("int")
+
+    def bits(ones: Column) -> Column:
+        return call("shiftleft", F.lit(1).cast("long"), ones)
+
+    wide = F.filter(edges, lambda e: width(e) > 1)
 
     def inner(e: Column) -> Column:
-        return call("shiftleft", call("shiftleft", F.lit(1).cast("long"), e["width"]) - 2, e["start"])
+        return call("shiftleft", bits(width(e)) - 2, start(e))
+
+    def ends(e: Column) -> Column:
+        return call("shiftleft", bits(width(e)) + 1, start(e))
 
     def joins_two(e: Column, bounds: Column) -> Column:
-        ends = call("shiftleft", call("shiftleft", F.lit(1).cast("long"), e["width"]) + 1, e["start"])
-        return (bounds.bitwiseAND(ends) == ends) & (F.bit_count(bounds.bitwiseAND(inner(e))) == 1)
+        return (bounds.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(bounds.bitwiseAND(inner(e))) == 1)
 
     def turn(bounds: Column, e: Column) -> Column:
         return F.when(joins_two(e, bounds), bounds.bitwiseAND(F.bitwise_not(inner(e)))).otherwise(bounds)
@@ -123,19 +143,28 @@ def fold(byte_ids: list[int]) -> Column:
     every = call("shiftleft", F.lit(2).cast("long"), n) - 1
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
 
-    def out(bounds: Column) -> Column:
+    def with_bytes(bounds: Column, path: Column) -> Column:
+        """The ids where some character has no piece: its bytes are its pieces."""
         cuts = F.filter(F.sequence(F.lit(0), n), lambda i: call("shiftrightunsigned", bounds, i).bitwiseAND(F.lit(1)) == 1)
 
-        def ids(a: Column, b: Column) -> Column:
-            found = F.get(F.filter(edges, lambda e: (e["start"] == a) & (e["width"] == b - a)), 0)["id"]
+        def ids(a: Column) -> Column:
+            found = F.get(F.filter(path, lambda e: F.shiftright(e, 20) == a), 0)
             code = F.hex(F.encode(call("substring", F.col("unit"), a + 1, F.lit(1)), "UTF-8"))
             table_ = F.array(*map(F.lit, byte_ids))
             as_bytes = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.get(table_, F.conv(call("substring", code, k, F.lit(2)), 16, 10).cast("int")))
-            return F.when(found.isNotNull(), F.array(found)).otherwise(as_bytes)
+            return F.when(found.isNotNull(), F.array(found.bitwiseAND((1 << 20) - 1).cast("int"))).otherwise(as_bytes)
 
-        return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), ids))
+        return F.flatten(F.transform(F.slice(cuts, 1, F.size(cuts) - 1), ids))
 
-    odd = F.exists(edges, lambda e: e["odd"])
+    def out(bounds: Column) -> Column:
+        # The edges between neighbouring boundaries, as start and id, by start.
+        span = lambda e: ends(e).bitwiseOR(inner(e))
+        kept = F.filter(edges, lambda e: bounds.bitwiseAND(span(e)) == ends(e))
+        path = F.sort_array(F.transform(kept, lambda e: start(e).cast("long") * (1 << 20) + F.shiftright(e, 1).bitwiseAND((1 << 20) - 1)))
+        whole = F.size(kept) == F.bit_count(bounds) - 1
+        return F.when(whole, F.transform(path, lambda x: x.bitwiseAND((1 << 20) - 1).cast("int"))).otherwise(with_bytes(bounds, path))
+
+    odd = F.exists(edges, lambda e: e.bitwiseAND(1) == 1)
     return F.when((n <= LONGEST) & ~odd, F.aggregate(wide, every, turn, out)).when(n <= LONGEST, F.aggregate(steps, every, search, out))
 
 
@@ -218,22 +247,23 @@ def located(docs: DataFrame) -> DataFrame:
         docs.select("doc_id", "text").write.parquet(path)
         rows = spark.read.schema("doc_id long, text string").parquet(path).select("doc_id", "text", "_metadata.file_path", "_metadata.row_index")
     block = F.xxhash64("file_path", (F.col("row_index") / ROWS).cast("long"))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower(F.hex(block)).alias("block"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
 
 
-def units_of_blocks(rows: DataFrame) -> DataFrame:
+def units_of_blocks(rows: DataFrame, ordinary: list[tuple[int, str, int]]) -> DataFrame:
     """(unit, block): the distinct units of each block, task by task."""
+    units = cutter(ordinary)
 
     def task(batches):
-        cut = re.compile(UNIT).findall
-        held: dict[str, set[str]] = {}
+        cut = re.compile(PART).findall
+        held: dict[int, set[str]] = {}
 
         def out(names):
             for name in names:
-                units = list(held.pop(name))
-                for at in range(0, len(units), 50_000):
-                    some = units[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([name] * len(some), pa.string())], names=["unit", "block"])
+                some = list(set().union(*map(units, held.pop(name))))
+                for at in range(0, len(some), 50_000):
+                    part = some[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), name, np.int64))], names=["unit", "block"])
 
         for b in batches:
             for text, name in zip(b.column(0), b.column(1).to_pylist()):
@@ -244,7 +274,7 @@ def units_of_blocks(rows: DataFrame) -> DataFrame:
                     held[name].update(cut(BLANK + x.replace(" ", BLANK)))
         yield from out(list(held))
 
-    return rows.select("text", "block").mapInArrow(task, "unit string, block string")
+    return rows.select("text", "block").mapInArrow(task, "unit string, block long")
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -257,40 +287,43 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     odd = odd_pieces(ordinary)
     rows = located(docs)
     pieces = spark.createDataFrame([(p, i, r, p in odd) for i, p, r in ordinary] + [("", -1, -1, False)], "piece string, id int, rank int, odd boolean")
-    units = units_of_blocks(rows).groupBy("unit").agg(F.collect_set("block").alias("blocks"))
-    coded = lattice(units, pieces, max(len(p) for _, p, _ in ordinary)).select("unit", "blocks", fold(byte_ids).alias("ids"))
-    path = work_dir(spark, "units")
-    # Units are grouped in memory up to so many in a task, and sorted beyond.
-    with_conf = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(with_conf)
-    spark.conf.set(with_conf, str(UNITS_IN_MEMORY))
-    try:
-        coded.select(F.explode("blocks").alias("block"), "unit", "ids").repartition("block").write.partitionBy("block").parquet(path)
-    finally:
-        spark.conf.set(with_conf, before)
-    ranks = {p: (r, i) for i, p, r in ordinary}
+    # Both uses of what is dealt out need both columns, so that it is dealt out once.
+    dealt = stored(units_of_blocks(rows, ordinary), "units").repartition("unit")
+    distinct = dealt.groupBy("unit").agg(F.count("block").alias("blocks")).where("blocks > 0").select("unit")
+    coded = lattice(distinct, pieces, max(len(p) for _, p, _ in ordinary)).select("unit", fold(byte_ids).alias("ids"))
+    path = work_dir(spark, "encodings")
+    dealt.join(coded, "unit").select("block", "unit", "ids").repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
+    ranks, units = {p: (r, i) for i, p, r in ordinary}, cutter(ordinary)
 
     def task(batches):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-        cut, back = re.compile(UNIT).findall, decoder(texts, byte_ids)
-        known, at = {}, None
-
-        def load(name):
-            out = {}
-            for b in pq.ParquetFile(store.open_input_file(x), pre_buffer=False).iter_batches(65536) if (x := file_of(name)) else ():
-                ids = b.column("ids")
-                raw, ends = ids.values.to_numpy().astype(np.int32).tobytes(), (4 * ids.offsets.to_numpy()).tolist()
-                for k, (unit, a, z) in enumerate(zip(b.column("unit").to_pylist(), ends, ends[1:])):
-                    out[unit] = raw[a:z] if z > a else np.array(merge(unit, ranks, byte_ids), np.int32).tobytes()
-            return out
-
-        def file_of(name):
-            found = store.get_file_info(fs.FileSelector(f"{root}/block={name}"))
-            return next((f.path for f in found if f.base_name.endswith(".parquet")), None)
-
+        cut, back = re.compile(PART).findall, decoder(texts, byte_ids)
+
+        class Known(dict):
+            """Part to the bytes of its ids; a part's units are looked up once."""
+
+            def __init__(self, name):
+                self.of_unit = {}
+                for f in store.get_file_info(fs.FileSelector(f"{root}/block={name}", allow_not_found=True)):
+                    if f.base_name.endswith(".parquet"):
+                        self.read(f.path)
+
+            def read(self, file):
+                with store.open_input_file(file) as f:
+                    for b in pq.ParquetFile(f, pre_buffer=False).iter_batches(65536, columns=["unit", "ids"]):
+                        ids = b.column("ids")
+                        raw, ends = ids.values.to_numpy().astype(np.int32).tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+                        for unit, a, z in zip(b.column("unit").to_pylist(), ends, ends[1:]):
+                            self.of_unit[unit] = raw[a:z] if z > a else np.array(merge(unit, ranks, byte_ids), np.int32).tobytes()
+
+            def __missing__(self, part):
+                out = self[part] = b"".join(map(self.of_unit.__getitem__, units(part)))
+                return out
+
+        known, at = None, None
         for b in batches:
             ids, same = [], []
             for text, name in zip(b.column(1), b.column(2).to_pylist()):
@@ -300,7 +333,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     same.append(True)
                     continue
                 if name != at:
-                    known, at = load(name), name
+                    known = None  # freed before the next is read
+                    known, at = Known(name), name
                 one = np.frombuffer(b"".join(map(known.__getitem__, cut(BLANK + x.replace(" ", BLANK)))), np.int32)
                 ids.append(one)
                 same.append(back(one.tolist()) == x)
