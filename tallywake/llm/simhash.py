@@ -262,10 +262,10 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
             sets = [np.unique(digests(x.as_py(), width)) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([xxh(x.tobytes()) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["h", "text"])
 
-    def texts_of(hashes: DataFrame) -> DataFrame:
-        wanted = marked.select("doc_id", "h").join(hashes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("__d"))
+    def facts_of(hashes: DataFrame) -> DataFrame:
+        wanted = marked.select("doc_id", "h", "fp", "len").join(hashes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("__d"), F.first("fp").alias("fp"), F.first("len").alias("len"))
         rows = docs.join(wanted.select("__d").distinct(), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi").select("text")
-        return rows.mapInArrow(shingles, "h long, text array<long>").join(hashes, "h", "left_semi").dropDuplicates(["h"])
+        return rows.mapInArrow(shingles, "h long, text array<long>").dropDuplicates(["h"]).join(wanted, "h").select("h", "fp", "len", "text")
 
     def alike(a, b, least: float):
         both = F.size(F.array_intersect(a, b))
@@ -273,8 +273,7 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
 
     marked = stored(docs.select("doc_id", "text").mapInArrow(task, "doc_id long, h long, fp long, len int, keys array<long>"))
     keys = marked.select("h", F.explode("keys").alias("key")).distinct()
-    nodes = marked.groupBy("h").agg(F.first("fp").alias("fp"), F.first("len").alias("len"))
-    comps = line_links(nodes, keys, texts_of, least, alike)
+    comps = line_links(keys, facts_of, least, alike)
     rooted = marked.join(comps, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
