@@ -1,33 +1,37 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to ``WIDTH`` features, weighted by inverse document frequency
-over all documents. The benchmark's passages, as TF-IDF rows of unit length, go
-through a distributed randomised SVD (a random sketch, power iterations and a
-small projected problem; only sums over rows are formed, at most WIDTH x rank
-numbers); its right factors span the latent space. Every document is cut into
-overlapping windows of whole words; a window's cosine with an item is taken from
-its latent coordinates and its full TF-IDF length, so text that the space does
-not know counts against it. Windows that cannot reach the threshold (by the sum of what
-each word adds at most to any item) are skipped, which loses none. Windows at or above ``COSINE`` are candidates and are
-checked: longest common subsequence of words with the item, and the share of the
-item's answer (its last words) that the window has. Places that share ``SHARED`` of
-an item's runs of ``RUN`` words are candidates too, with cosine zero if no window is
-one; so copies are found also where the items are more than the space has ranks, or
-are far shorter or longer than the windows.
+over all documents. The benchmark is taken in blocks of ``BLOCK`` items; a block's
+passages, as TF-IDF rows of unit length, go through a distributed randomised SVD (a
+random sketch, power iterations and a small projected problem; only sums over rows
+are formed) of ``RANKS`` of a rank for each item, so that the latent space is always
+smaller than the block and shrinks with it alike. Every document is cut into
+overlapping windows of whole words. A window is projected to the space; its cosine
+with an item is taken from both latent vectors, the item's scaled by the share of it
+that the space holds, and from the window's full TF-IDF length, so that text that the
+space does not know counts against it and an item's copy scores one. Windows at or
+above ``COSINE`` are candidates and are checked: longest common subsequence of words
+with the item, and the share of the item's answer (its last words) that the window
+has. Places that share ``SHARED`` of an item's runs of ``RUN`` words are candidates
+too, with cosine zero if no window is one; so copies are found also where they are far
+shorter or longer than the windows.
 
 Each document is judged in its own row, whatever its length; nothing is shuffled
-but feature counts. The benchmark is the query set: it is held by every task, as
-are its latent coordinates, so its size must suit one worker (here 200 passages;
-10,000 passages of rank 256 are about 10 MB); document data are never held.
+but feature counts. The benchmark is the query set: a block of it, items x ranks and
+features x ranks, is held by every task, at most WIDTH x RANKS x BLOCK numbers (50 MB)
+however many items there are; more blocks are more passes. Document data are never
+held.
 
 Defined results: null and empty texts have no windows; items without words match
 nothing; repeated rows are judged alike, null doc_ids too; an empty benchmark or
-an empty corpus gives no rows; further columns are ignored.
+an empty corpus gives no rows; further columns are ignored. Words are what stands
+between blanks in lower case, without the ASCII marks of ``MARKS``; places are
+counted in words.
 """
 
 from __future__ import annotations
 
-import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,53 +41,91 @@ from pyspark.sql import functions as F
 from .common import table
 
 WIDTH = 1 << 16
-RANK = 256
+#: Items that share a latent space, and its ranks for each of them.
+BLOCK, RANKS = 256, 0.75
 #: Words of a run, and the share of an item's runs that makes a candidate.
 RUN, SHARED = 3, 0.15
-#: Window lengths in words; windows start every third of their length.
+#: Window lengths in words, multiples of 24; windows start every third of their length.
 WINDOWS = (24, 48)
 COSINE = 0.25
 #: Shares of an item's words, in order, that make a match alone, and with the answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.6
+MARKS = b".,;:!?\"'()[]{}*#$%&|"
+BLANKS = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
+#: Bytes of a text whose words are hashed at once.
+CHUNK = 1 << 18
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, contaminated boolean"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case, without ASCII marks around them."""
-    return [w for x in (text or "").lower().encode("utf-8", "surrogatepass").split() if (w := x.strip(b".,;:!?\"'()[]{}*#$%&|"))]
-
-
-def feature(word: bytes) -> int:
-    return zlib.crc32(word) & (WIDTH - 1)
-
-
-def raw_features(text: str, memo: dict) -> np.ndarray:
-    """Features of all words; marks around words are cut off by the memo's key."""
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+def plain(text: str | None) -> bytes:
+    """The text in lower case, without marks, with spaces as its only ASCII blanks."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(BLANKS, MARKS)
 
 
-class Bare(dict):
-    """Raw word to the feature of the word without marks, -1 if none is left;
-    emptied when it gets large."""
-
-    def __missing__(self, word):
-        if len(self) > 400_000:
-            self.clear()
-        bare = word.strip(b".,;:!?\"'()[]{}*#$%&|")
-        h = self[word] = zlib.crc32(bare) & (WIDTH - 1) if bare else -1
-        return h
+def tokens(text: str | None) -> list[bytes]:
+    """The words of a text."""
+    return plain(text).split()
+
+
+class Hasher:
+    """Features of the words of a text, a whole text at a time.
+
+    A word's hash is the sum of a random number for each byte times a power of an
+    odd number; the power is that of the byte's place in the text, and the inverse
+    power of the word's place takes that out again.
+    """
+
+    def __init__(self):
+        rng = np.random.default_rng(4)
+        self.code = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.code[32] = 0
+        self.base = 0x9E3779B97F4A7C15  # odd
+        self.grow(CHUNK)
+
+    def grow(self, n: int) -> None:
+        with np.errstate(over="ignore"):
+            self.up, self.down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (self.base, pow(self.base, -1, 1 << 64)))
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """uint16 features of ``plain`` text, in order."""
+        if len(text) <= CHUNK:
+            return self.of(text)
+        parts, at = [], 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= CHUNK else max(text.rfind(b" ", at, at + CHUNK), at)
+            if end == at:  # one word of more than a chunk
+                end = text.find(b" ", at + 1)
+                end = len(text) if end < 0 else end
+            parts.append(self.of(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def of(self, text: bytes) -> np.ndarray:
+        buf = np.frombuffer(text, np.uint8)
+        if len(buf) >= len(self.up):
+            self.grow(len(buf))
+        word = buf != 32
+        start = np.flatnonzero(word & np.concatenate(([True], ~word[:-1]))) if len(buf) else np.empty(0, np.int64)
+        if not len(start):
+            return np.empty(0, np.uint16)
+        x = np.add.reduceat(self.code[buf] * self.up[: len(buf)], start) * self.down[start]
+        return (((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.uint16)
+
+
+def distinct(f: np.ndarray) -> np.ndarray:
+    """Distinct features, sorted."""
+    f = np.sort(f, kind="stable")
+    return f[np.concatenate(([True], f[1:] != f[:-1]))] if len(f) else f
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How many documents have each feature, and how many there are."""
 
     def task(batches):
-        memo, count, n = Bare(), np.zeros(WIDTH, np.int64), 0
+        features, count, n = Hasher(), np.zeros(WIDTH, np.int64), 0
         for b in batches:
             for x in b.column(0):
-                at = np.unique(raw_features(x.as_py() or "", memo))
-                count[at[at >= 0]] += 1
+                count[distinct(features(plain(x.as_py())))] += 1
                 n += 1
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], n))], names=["f", "n"])
@@ -95,7 +137,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:WIDTH], int(df[WIDTH])
 
 
-def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(features, V): the leading right factors of the TF-IDF matrix of
     ``rows(text)``; V has a row for each feature that occurs and orthonormal
     columns. Only sums over rows come to the driver, one vector for each feature."""
@@ -146,7 +188,7 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: i
 
 def passage(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features and TF-IDF weights of a passage at unit length."""
-    at, n = np.unique([feature(w) for w in tokens(text)], return_counts=True)
+    at, n = np.unique(Hasher()(plain(text)), return_counts=True)
     if not len(at):
         return np.empty(0, np.int64), np.empty(0)
     value = n * idf[at.astype(np.int64)]
@@ -189,9 +231,10 @@ def check(item: list[bytes], words: list[bytes]) -> tuple[float, float]:
 
 
 class Index:
-    """The benchmark in the latent space, for the tasks."""
+    """A block of the benchmark in its latent space, for the tasks."""
 
     def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, features: np.ndarray, v: np.ndarray):
+        hasher = Hasher()
         self.ids, self.items = [i for i, _ in items], [tokens(t) for _, t in items]
         self.idf = idf.astype(np.float32)
         self.row = np.zeros(WIDTH, np.int32)
@@ -205,69 +248,88 @@ class Index:
             if len(at):
                 y = value @ v[self.row[at]]
                 q[k] = y / max(1e-12, float(y @ y))
-        # What a word adds to the product with each item, by the latent space, and
-        # the most that it adds to any: a sum of these bounds every cosine.
-        self.adds = (v @ q.T).astype(np.float32)
-        self.most = np.maximum(self.adds.max(axis=1), 0).astype(np.float64)
-        # Runs of words: for each length, sorted codes and the items that have them.
+        self.q = np.ascontiguousarray(q.T, np.float32)
+        self.longest = float(np.sqrt((q * q).sum(axis=1)).max())
+        #: What a word adds to a window's latent vector.
+        self.v = (v * np.concatenate(([0.0], idf[features]))[:, None]).astype(np.float32)
+        # Runs of words: for each length, sorted codes, the items that have them and a
+        # map of 2**20 bits that spares most searches.
         self.runs = []
         for n in range(1, RUN + 1):
-            held = {(c, k) for k, words in enumerate(self.items) if words and run_length(len(words)) == n for c in run_codes(np.array([feature(w) for w in words], np.int64), n).tolist()}
+            held = {(c, k) for k, (_, t) in enumerate(items) if self.items[k] and run_length(len(self.items[k])) == n for c in run_codes(hasher(plain(t)).astype(np.int64), n).tolist()}
             if held:
                 code, item = (np.array(x, np.int64) for x in zip(*sorted(held)))
-                self.runs.append((n, code, item))
+                known = np.zeros(1 << 20, bool)
+                known[self.slot(code)] = True
+                self.runs.append((n, code, item, known))
+
+    @staticmethod
+    def slot(code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
 
     def copies(self, f: np.ndarray):
         """(item number, start, length) of places that share runs of words with an
         item: at least ``SHARED`` of its runs within one and a half of its length.
         Copies are found so whatever the latent space holds and whatever their length."""
-        at = np.flatnonzero(f >= 0)
-        for n, code, item in self.runs:
-            mine = run_codes(f[at], n)
-            low, high = np.searchsorted(code, mine), np.searchsorted(code, mine, "right")
-            hit = np.flatnonzero(high > low)
+        f = f.astype(np.int64)
+        for n, code, item, known in self.runs:
+            mine = run_codes(f, n)
+            hit = np.flatnonzero(known[self.slot(mine)])
+            low, high = np.searchsorted(code, mine[hit]), np.searchsorted(code, mine[hit], "right")
             places: dict[int, list[int]] = {}
-            for i in hit.tolist():
-                for k in item[low[i] : high[i]].tolist():
+            for i, a, z in zip(hit.tolist(), low.tolist(), high.tolist()):
+                for k in item[a:z].tolist():
                     places.setdefault(k, []).append(i)
             for k, p in places.items():
-                m, p = len(self.items[k]), np.array(p)
+                m = len(self.items[k])
+                least = max(1, SHARED * (m - n + 1))
+                if len(p) < least:
+                    continue
+                p = np.array(p)
                 near = np.searchsorted(p, p + m + m // 2, "right") - np.arange(len(p))
                 after = -1
-                for j in np.flatnonzero(near >= max(1, SHARED * (m - n + 1))).tolist():
+                for j in np.flatnonzero(near >= least).tolist():
                     if p[j] > after:
-                        last = p[j + near[j] - 1] + n - 1
                         after = p[j] + m // 4
-                        yield k, int(at[p[j]]), int(at[min(last, len(at) - 1)] - at[p[j]] + 1)
+                        yield k, int(p[j]), int(p[j + near[j] - 1] + n - p[j])
 
     def candidates(self, f: np.ndarray, least: float):
         """(item number, start, length, cosine) of windows over the features."""
-        good = f >= 0
-        weight = np.where(good, self.idf[f], 0).astype(np.float64)
-        row, light = np.where(good, self.row[f], 0), weight.astype(np.float32)
-        bound = np.concatenate(([0], np.cumsum(self.most[row] * weight)))
-        square = np.concatenate(([0], np.cumsum(weight * weight)))
-        n = len(f)
+        n, step = len(f), WINDOWS[0] // 3
+        cuts = np.arange(0, n, step)
+        weight = self.idf[f]
+        latent = np.add.reduceat(self.v[self.row[f]], cuts, axis=0)
+        square = np.add.reduceat(weight * weight, cuts)
         for length in WINDOWS:
-            start = np.arange(0, max(1, n - length + length // 3), length // 3)
-            end = np.minimum(start + length, n)
-            norm = np.sqrt(square[end] - square[start])
-            some = np.flatnonzero((bound[end] - bound[start] >= least * norm) & (norm > 0))
-            for at in range(0, len(some), 512):
-                part = some[at : at + 512]
-                spans = list(zip(start[part].tolist(), end[part].tolist()))
-                score = np.stack([light[a:b] @ self.adds[row[a:b]] for a, b in spans])
-                likely = score.max(axis=1) >= least * norm[part]
-                part, score = part[likely], score[likely]
-                # Only here is a word that recurs in the window counted as one feature.
-                whole = [np.sqrt((np.bincount(np.unique(f[a:b], return_inverse=True)[1], weight[a:b]) ** 2).sum()) for (a, b), x in zip(spans, likely) if x]
-                score = score / np.array(whole).reshape(-1, 1)
-                for i, k in zip(*np.nonzero(score >= least)):
-                    yield int(k), int(start[part[i]]), length, min(1.0, float(score[i, k]))
-
-    def matches(self, text: str, memo: dict, least: float):
-        """The best check of each item that has a candidate window."""
-        f = raw_features(text, memo)
+            per, stride = length // step, length // step // 3
+            first = np.arange(0, max(1, len(cuts) - per + stride), stride)
+            whole = np.zeros((len(first), latent.shape[1]), np.float32)
+            norm = np.zeros(len(first), np.float32)
+            for k in range(per):
+                inside = first + k < len(cuts)
+                whole[inside] += latent[first[inside] + k]
+                norm[inside] += square[first[inside] + k]
+            norm = np.sqrt(norm)
+            # The product is at most that of the lengths.
+            some = np.flatnonzero((norm > 0) & (np.sqrt((whole * whole).sum(axis=1)) * self.longest >= least * norm))
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                score = whole[part] @ self.q
+                # Words that recur in a window make its length more than the sum of
+                # squares says; windows that pass without that are measured again.
+                likely = np.flatnonzero(score.max(axis=1) >= least * norm[part])
+                for i in likely.tolist():
+                    a = int(first[part[i]]) * step
+                    feature, counts = np.unique(f[a : a + length], return_counts=True)
+                    true = float(np.sqrt(((counts * self.idf[feature]) ** 2).sum()))
+                    for k in np.flatnonzero(score[i] >= least * true).tolist():
+                        yield k, a, length, min(1.0, float(score[i, k]) / true)
+
+    def matches(self, text: str | None, hasher: Hasher, least: float):
+        """The best check of each item that has a candidate with enough of its words
+        for the checks to confirm."""
+        flat = plain(text)
+        f = hasher(flat)
         best: dict[int, tuple] = {}
         words = None
         found_at = [*self.candidates(f, least), *((k, a, n, 0.0) for k, a, n in self.copies(f))] if len(f) else ()
@@ -275,11 +337,14 @@ class Index:
             if not self.items[k]:
                 continue
             if words is None:
-                words = [x.strip(b".,;:!?\"'()[]{}*#$%&|") for x in text.lower().encode("utf-8", "surrogatepass").split()]
+                words = flat.split()
             m = len(self.items[k])
             a = max(0, start - max(0, m - length // 2))
             region = words[a : start + length + max(0, m - length // 2)]
-            lcs, answer = check(self.items[k], [w for w in region if w])
+            have = set(region)
+            if sum(w in have for w in self.items[k]) < LCS_WITH_ANSWER * m:
+                continue  # too few words for any common subsequence that counts
+            lcs, answer = check(self.items[k], region)
             found = lcs >= LCS or (lcs >= LCS_WITH_ANSWER and answer >= ANSWER)
             new = (found, lcs, answer, cosine, start)
             if k not in best or new[:4] > best[k][:4]:
@@ -287,55 +352,62 @@ class Index:
         return best
 
 
-def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index | None:
-    """Counts over all documents, the latent space, the benchmark in it."""
+def build(docs: DataFrame, benchmark: DataFrame, ranks: float = RANKS) -> list[Index]:
+    """Counts over all documents, and each block of the benchmark in its space."""
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").distinct()
     items = sorted((r["item_id"], r["text"]) for r in rows.collect())
     if not items:
-        return None
+        return []
     df, n = document_frequency(docs)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    features, v = randomised_svd(rows, idf, min(rank, 8 * ((len(items) + 7) // 8 + 1)))
-    return Index(items, idf, features, v) if len(features) else None
+    out = []
+    for at in range(0, len(items), BLOCK):
+        block = items[at : at + BLOCK]
+        some = docs.sparkSession.createDataFrame(block, "item_id long, text string")
+        features, v = randomised_svd(some, idf, int(np.ceil(ranks * len(block))))
+        if len(features):
+            out.append(Index(block, idf, features, v))
+    return out
 
 
 def retrieve(docs: DataFrame, benchmark: DataFrame, least: float = COSINE) -> DataFrame:
-    """A row for each document and item with a candidate window, with its best
-    check; contaminated says whether the checks confirm it."""
+    """A row for each document and item with a candidate that has words enough, with
+    its best check; contaminated says whether the checks confirm it."""
     spark = docs.sparkSession
-    index = build(docs, benchmark)
-    if index is None:
-        return spark.createDataFrame([], RESULT)
     names = [x.split()[0] for x in RESULT.split(", ")]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
 
-    def task(batches):
-        x, memo = index, Bare()
-        for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                for k, (found, lcs, answer, cosine, start) in x.matches(t.as_py() or "", memo, least).items():
-                    out.append((i, x.ids[k], cosine, lcs, answer, start, found))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
+    def matched(index: Index) -> DataFrame:
+        def task(batches):
+            hasher = Hasher()
+            for b in batches:
+                out = []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                    for k, (found, lcs, answer, cosine, start) in index.matches(t.as_py(), hasher, least).items():
+                        out.append((i, index.ids[k], cosine, lcs, answer, start, found))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, RESULT)
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, RESULT)
+
+    found = [matched(index) for index in build(docs, benchmark)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = COSINE) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated; each is
     judged where it lies and no text is moved."""
-    index = build(docs, benchmark)
-    if index is None:
-        return docs
     at = docs.columns.index("text")
 
-    def task(batches):
-        x, memo = index, Bare()
-        for b in batches:
-            keep = [not any(m[0] for m in x.matches(t.as_py() or "", memo, least).values()) for t in b.column(at)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+    def kept(rows: DataFrame, index: Index) -> DataFrame:
+        def task(batches):
+            hasher = Hasher()
+            for b in batches:
+                keep = [not any(m[0] for m in index.matches(t.as_py(), hasher, least).values()) for t in b.column(at)]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return rows.mapInArrow(task, docs.schema)
 
-    return docs.mapInArrow(task, docs.schema)
+    return reduce(kept, build(docs, benchmark), docs)
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
