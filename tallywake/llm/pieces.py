@@ -33,7 +33,6 @@ tables give no rows; further columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +48,6 @@ BLANK = "▁"
 LONGEST = 61
 #: Rows of a file that share one file of unit encodings.
 ROWS = 8192
-#: Parts between blanks, before they are cut into units.
-PART = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
 
 
 def read_model(path: str = MODEL) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
@@ -73,13 +70,25 @@ def call(name: str, *args) -> Column:
 
 
 def cutter(ordinary: list[tuple[int, str, int]]):
-    """A function from a part to its units: cut between characters that stand side
-    by side in no piece."""
-    joined = frozenset(p[i : i + 2] for _, p, _ in ordinary for i in range(len(p) - 1))
-
-    def units(part: str) -> list[str]:
-        at = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in joined]
-        return [part[a:z] for a, z in zip([0, *at], [*at, len(part)])] if at else [part]
+    """A function from a text, as the model changes it, to its units: cut between
+    characters that stand side by side in no piece."""
+    joined = sorted({p[i : i + 2] for _, p, _ in ordinary for i in range(len(p) - 1)})
+    chars = sorted({c for pair in joined for c in pair})
+    number = {c: k for k, c in enumerate(chars, 1)}
+    one, two = (np.array([number[pair[i]] for pair in joined], np.int64) for i in (0, 1))
+    tables = []
+
+    def units(text: str) -> list[str]:
+        if not tables:  # made by the task, as they are larger than what they are made of
+            kind = np.zeros(0x110000, np.uint16)
+            kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+            stays = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+            stays[one, two] = True
+            tables.extend((kind, stays.ravel()))
+        kind, stays = tables
+        code = kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at = (np.flatnonzero(~stays[code[:-1].astype(np.int32) * np.int32(len(chars) + 1) + code[1:]]) + 1).tolist()
+        return [text[a:z] for a, z in zip([0, *at], [*at, len(text)])]
 
     return units
 
@@ -255,12 +264,11 @@ def units_of_blocks(rows: DataFrame, ordinary: list[tuple[int, str, int]]) -> Da
     units = cutter(ordinary)
 
     def task(batches):
-        cut = re.compile(PART).findall
         held: dict[int, set[str]] = {}
 
         def out(names):
             for name in names:
-                some = list(set().union(*map(units, held.pop(name))))
+                some = list(held.pop(name))
                 for at in range(0, len(some), 50_000):
                     part = some[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), name, np.int64))], names=["unit", "block"])
@@ -271,7 +279,7 @@ def units_of_blocks(rows: DataFrame, ordinary: list[tuple[int, str, int]]) -> Da
                     if name not in held:
                         yield from out(list(held))
                         held[name] = set()
-                    held[name].update(cut(BLANK + x.replace(" ", BLANK)))
+                    held[name].update(units(BLANK + x.replace(" ", BLANK)))
         yield from out(list(held))
 
     return rows.select("text", "block").mapInArrow(task, "unit string, block long")
@@ -300,28 +308,20 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-        cut, back = re.compile(PART).findall, decoder(texts, byte_ids)
-
-        class Known(dict):
-            """Part to the bytes of its ids; a part's units are looked up once."""
-
-            def __init__(self, name):
-                self.of_unit = {}
-                for f in store.get_file_info(fs.FileSelector(f"{root}/block={name}", allow_not_found=True)):
-                    if f.base_name.endswith(".parquet"):
-                        self.read(f.path)
-
-            def read(self, file):
-                with store.open_input_file(file) as f:
-                    for b in pq.ParquetFile(f, pre_buffer=False).iter_batches(65536, columns=["unit", "ids"]):
-                        ids = b.column("ids")
-                        raw, ends = ids.values.to_numpy().astype(np.int32).tobytes(), (4 * ids.offsets.to_numpy()).tolist()
-                        for unit, a, z in zip(b.column("unit").to_pylist(), ends, ends[1:]):
-                            self.of_unit[unit] = raw[a:z] if z > a else np.array(merge(unit, ranks, byte_ids), np.int32).tobytes()
+        back = decoder(texts, byte_ids)
 
-            def __missing__(self, part):
-                out = self[part] = b"".join(map(self.of_unit.__getitem__, units(part)))
-                return out
+        def load(name):
+            """The units of a block and the bytes of their ids."""
+            out = {}
+            for f in store.get_file_info(fs.FileSelector(f"{root}/block={name}", allow_not_found=True)):
+                if f.base_name.endswith(".parquet"):
+                    with store.open_input_file(f.path) as x:
+                        for b in pq.ParquetFile(x, pre_buffer=False).iter_batches(65536, columns=["unit", "ids"]):
+                            ids = b.column("ids")
+                            raw, ends = ids.values.to_numpy().astype(np.int32).tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+                            for unit, a, z in zip(b.column("unit").to_pylist(), ends, ends[1:]):
+                                out[unit] = raw[a:z] if z > a else np.array(merge(unit, ranks, byte_ids), np.int32).tobytes()
+            return out
 
         known, at = None, None
         for b in batches:
@@ -334,8 +334,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     continue
                 if name != at:
                     known = None  # freed before the next is read
-                    known, at = Known(name), name
-                one = np.frombuffer(b"".join(map(known.__getitem__, cut(BLANK + x.replace(" ", BLANK)))), np.int32)
+                    known, at = load(name), name
+                one = np.frombuffer(b"".join(map(known.__getitem__, units(BLANK + x.replace(" ", BLANK)))), np.int32)
                 ids.append(one)
                 same.append(back(one.tolist()) == x)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
