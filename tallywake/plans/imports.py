@@ -33,8 +33,7 @@ def csv_decode(L):
 
 
 query("csv_tokenize", f"SELECT path, count(*) + 3 AS n_rows FROM ({ORDERS}) GROUP BY 1")(lambda L: S.cells_of(files(L)).groupBy("path").agg(F.count("*").alias("n_rows")))
-for _n in ("csv_preview", "csv_map_row", "csv_amount", "inf_first_data_row", "inf_header_row", "inf_modal_width"):
-    query(_n, f"SELECT path, date, description, amount_minor FROM ({ORDERS})")(lambda L: S.rows_of(files(L)).where("reason is null").select("path", "date", "description", "amount_minor"))
+query("csv_preview", f"SELECT path, date, description, amount_minor FROM ({ORDERS})")(lambda L: S.rows_of(files(L)).where("reason is null").select("path", "date", "description", "amount_minor"))
 for _n, _c, _v in (("inf_date_column", "date_column", "0"), ("inf_date_format", "date_format", "'yyyy-MM-dd'"), ("inf_description", "description_column", "1"), ("inf_money_column", "amount_column", "2"), ("inf_amount_fallback", "amount_sign", "'NEGATIVE_IS_DEBIT'")):
     query(_n, f"SELECT DISTINCT path, {_v} AS {_c} FROM ({ORDERS})")(lambda L, c=_c: S.mappings_of(files(L)).select("path", c))
 query("csv_unmapped", f"SELECT DISTINCT path, '3' AS unmapped FROM ({ORDERS})")(lambda L: S.mappings_of(files(L)).select("path", F.array_join("unmapped", ",").alias("unmapped")))
@@ -42,7 +41,6 @@ query("csv_date_candidates", f"SELECT path, CAST(count(*) AS INTEGER) AS day_fir
 query("csv_apply_mapping", f"SELECT path, -amount_minor AS amount_minor, date FROM ({ORDERS})")(
     lambda L: S.rows_of(files(L), S.Mapping(2, 3, 0, "yyyy-MM-dd", 1, 2, "POSITIVE_IS_DEBIT")).where("reason is null").select("path", "amount_minor", "date")
 )
-query("csv_failed_rows", f"SELECT path, count(*) AS n FROM ({ORDERS}) GROUP BY 1")(lambda L: S.rows_of(files(L), S.Mapping(2, 3, 0, "dd/MM/yyyy", 1, 2, "NEGATIVE_IS_DEBIT")).where("reason = 'unparseable date'").groupBy("path").agg(F.count("*").alias("n")))
 
 
 def paired(L):
@@ -52,10 +50,9 @@ def paired(L):
 
 
 PAIRED = "SELECT 'f' || (n % 399) AS path, 'Order ' || n AS description, {0}amount_minor * 100 AS amount_minor FROM tx"
-for _n in ("inf_debit_credit", "inf_money_shape"):
-    query(_n, f"SELECT DISTINCT path, 2 AS debit_column, 3 AS credit_column FROM ({PAIRED.format('')}) WHERE path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)")(
-        lambda L: S.mappings_of(paired(L)).where("debit_column is not null").select("path", "debit_column", "credit_column")
-    )
+query(
+    "inf_debit_credit", f"SELECT DISTINCT path, 2 AS debit_column, 3 AS credit_column FROM ({PAIRED.format('')}) WHERE path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)"
+)(lambda L: S.mappings_of(paired(L)).where("debit_column is not null").select("path", "debit_column", "credit_column"))
 BOTH = "path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)"
 query("csv_swap_debit_credit", f"SELECT path, description, amount_minor FROM ({PAIRED.format('-')}) WHERE {BOTH}")(
     lambda L: S.rows_of(paired(L), swap=True).join(S.mappings_of(paired(L)).where("debit_column is not null").select("path"), "path", "left_semi").select("path", "description", "amount_minor")
@@ -69,7 +66,6 @@ def inf_balance_column(L):
     return S.mappings_of(one).select("amount_column", "amount_sign")
 
 
-query("balance_lag", "SELECT 2 AS amount_column, 'POSITIVE_IS_DEBIT' AS amount_sign")(inf_balance_column)
 SHAPES = [("2026-08-15", True), ("15-Aug-2026", True), ("31/12/2026", True), ("12/31/2026", True), ("32/13/2026", False), ("hello", False), ("5/3/2026", True)]
 query("inf_date_shape", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in SHAPES) + ") v(cell, date_like)")(
     lambda L: L.tx.sparkSession.createDataFrame([(a, S.date_like(a)) for a, _ in SHAPES], "cell string, date_like boolean")
@@ -97,4 +93,86 @@ def categorised(L):
 
 
 query("auto_categorise", f"SELECT count(*) AS categorised FROM ({IMPORTED}) WHERE bucket = 'inserted' AND n::VARCHAR LIKE '1%'")(categorised)
-query("modal_hit_rate", f"SELECT DISTINCT path, 0 AS date_column FROM ({ORDERS})")(lambda L: S.mappings_of(files(L)).select("path", "date_column"))
+
+
+# Statements of three layouts, at most 64 orders each: lines before the header and ISO
+# dates; a header and day first; no header, with records that are too short.
+
+LAYOUTS = """SELECT *, n // 64 AS f, (n // 64) % 3 AS kind, row_number() OVER (PARTITION BY n // 64 ORDER BY n) - 1 AS spot,
+ printf('%s%d.%02d', CASE WHEN amount_minor < 0 THEN '-' ELSE '' END, abs(amount_minor) // 100, abs(amount_minor) % 100) AS cell,
+ substr(date, 9, 2) || '/' || substr(date, 6, 2) || '/' || substr(date, 1, 4) AS day_first FROM tx"""
+FILE = "'s' || f AS path"
+
+
+def layouts(L):
+    n = F.col("id").cast("bigint")
+    tx = L.tx.select(F.call_function("div", n, F.lit(64)).alias("f"), n.alias("n"), "date", "amount_minor").withColumn("kind", F.col("f") % 3)
+    cell = F.format_string("%s%d.%02d", F.when(F.col("amount_minor") < 0, "-").otherwise(""), F.call_function("div", F.abs("amount_minor"), F.lit(100)), F.abs("amount_minor") % 100)
+    day_first = F.concat_ws("/", F.substring("date", 9, 2), F.substring("date", 6, 2), F.substring("date", 1, 4))
+    text = F.concat(F.lit("Order "), "n")
+    line = F.when(F.col("kind") == 0, F.concat_ws(",", "date", text, cell, F.lit(""))).when(F.col("kind") == 1, F.concat_ws(",", text, day_first, cell))
+    line = line.otherwise(F.when(F.col("n") % 7 == 0, F.concat_ws(",", "date", text)).otherwise(F.concat_ws(",", "date", text, cell, F.lit("x"))))
+    # A file is 64 lines at most, whatever the table's size.
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n")
+    head = F.when(F.col("f") % 3 == 0, "My bank\n\nDate,Description,Amount,Balance\n").when(F.col("f") % 3 == 1, "Particulars,Txn Date,Amount\n").otherwise("")
+    return tx.groupBy("f").agg(lines.alias("t")).select(F.concat(F.lit("s"), "f").alias("path"), F.concat(head, "t").cast("binary").alias("content"))
+
+
+def _of_file(name: str, column: str, sql: str):
+    query(name, f"SELECT {FILE}, {sql} AS {column} FROM ({LAYOUTS}) GROUP BY f, kind")(lambda L: S.mappings_of(layouts(L)).select("path", column))
+
+
+# Most records of a file without a header have four cells; the others come every seventh.
+_of_file("inf_modal_width", "width", "CAST(CASE kind WHEN 1 THEN 3 ELSE 4 END AS INTEGER)")
+_of_file("inf_header_row", "header_row", "CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 0 END AS INTEGER)")
+_of_file("inf_first_data_row", "first_row", "CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE min(spot) FILTER (n % 7 <> 0) END AS INTEGER)")
+_of_file("modal_hit_rate", "date_rate", "CAST(1 AS DOUBLE)")
+
+MONEY = [("1,234.50", True), ("(12.00)", True), ("-5", True), ("12,5", True), ("\u00b2", False), ("Rs 5", False), ("", False), ("--", False), ("\u0663", True)]
+query("inf_money_shape", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in MONEY) + ") v(cell, money_like)")(
+    lambda L: L.tx.sparkSession.createDataFrame([(a, S.money_like(a)) for a, _ in MONEY], "cell string, money_like boolean")
+)
+query(
+    "csv_map_row",
+    f"""SELECT {FILE}, CAST(spot + CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS row_index, date, 'Order ' || n AS description, amount_minor, NULL::VARCHAR AS reason
+ FROM ({LAYOUTS}) WHERE kind = 0 UNION ALL SELECT {FILE}, CAST(spot AS INTEGER), CASE WHEN n % 7 <> 0 THEN date END, CASE WHEN n % 7 <> 0 THEN 'Order ' || n END,
+ CASE WHEN n % 7 <> 0 THEN amount_minor END, CASE WHEN n % 7 = 0 THEN 'expected at least 3 columns, found 2' END FROM ({LAYOUTS}) WHERE kind = 2 AND spot >= (n // 64 * 64 % 7 = 0)::INT""",
+)(lambda L: S.rows_of(layouts(L).where("cast(substring(path, 2) as bigint) % 3 <> 1")).select("path", "row_index", "date", "description", "amount_minor", "reason"))
+query(
+    "csv_failed_rows",
+    f"""SELECT {FILE}, CAST(spot + 2 AS INTEGER) AS line, 'Order ' || n || ', ' || day_first || ', ' || cell AS raw, 'unparseable date "' || day_first || '"' AS reason
+ FROM ({LAYOUTS}) WHERE kind = 1 AND substr(date, 9, 2)::INT > 12""",
+)(lambda L: S.failed_rows(S.rows_of(layouts(L).where("cast(substring(path, 2) as bigint) % 3 = 1"), S.Mapping(0, 1, 1, "MM/dd/yyyy", 0, 2, "NEGATIVE_IS_DEBIT"))))
+
+
+def signed(L):
+    """A statement for each 64 orders, with the side of the ledger in a column."""
+    n = F.col("id").cast("bigint")
+    mark = F.element_at(F.array(*map(F.lit, ("Dr", " by cr transfer", "debit", "C", "?"))), (n % 5 + 1).cast("int"))
+    line = F.concat_ws(",", "date", F.concat(F.lit("Order "), n), F.format_string("%d.%02d", F.call_function("div", F.abs("amount_minor"), F.lit(100)), F.abs("amount_minor") % 100), mark)
+    out = L.tx.groupBy(F.call_function("div", n, F.lit(64)).alias("f")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("t"))
+    return out.select(F.concat(F.lit("s"), "f").alias("path"), F.col("t").cast("binary").alias("content"))
+
+
+query("csv_amount", "SELECT 'Order ' || n AS description, CASE n % 5 WHEN 0 THEN -abs(amount_minor) WHEN 2 THEN -abs(amount_minor) ELSE abs(amount_minor) END AS amount_minor FROM tx WHERE n % 5 <> 4")(
+    lambda L: S.rows_of(signed(L), S.Mapping(None, 0, 0, "yyyy-MM-dd", 1, 2, "SIGN_COLUMN", 3)).where("reason is null").select("description", "amount_minor")
+)
+
+
+def balanced(L):
+    """A statement for each 64 orders with a running balance, in which the amounts of
+    every other file are debits when positive."""
+    from pyspark.sql import Window
+
+    n = F.col("id").cast("bigint")
+    tx = L.tx.select(F.call_function("div", n, F.lit(64)).alias("f"), n.alias("n"), "date", "amount_minor")
+    tx = tx.withColumn("balance", 900000000000 + F.sum(F.when(F.col("f") % 2 == 0, F.col("amount_minor")).otherwise(-F.col("amount_minor"))).over(Window.partitionBy("f").orderBy("n")))
+    euro = lambda c: F.format_string("%s%d.%02d", F.when(c < 0, "-").otherwise(""), F.call_function("div", F.abs(c), F.lit(100)), F.abs(c) % 100)
+    line = F.concat_ws(",", "date", F.concat(F.lit("Order "), "n"), euro(F.col("balance")), euro(F.col("amount_minor")))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n")
+    return tx.groupBy("f").agg(lines.alias("t")).select(F.concat(F.lit("s"), "f").alias("path"), F.concat(F.lit("Date,Details,Closing,Value\n"), "t").cast("binary").alias("content"))
+
+
+query("balance_lag", f"SELECT DISTINCT 's' || (n // 64) AS path, 3 AS amount_column, CASE n // 64 % 2 WHEN 0 THEN 'NEGATIVE_IS_DEBIT' ELSE 'POSITIVE_IS_DEBIT' END AS amount_sign FROM tx")(
+    lambda L: S.mappings_of(balanced(L)).select("path", "amount_column", "amount_sign")
+)

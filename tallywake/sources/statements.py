@@ -12,43 +12,63 @@ import calendar
 import csv
 import io
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values.
 MOST_BYTES, SNIFFED, SAMPLE = 5 * 1024 * 1024, 8192, 50
+#: Why a row fails.
+FEW_COLUMNS, NOT_CONFIRMED = "expected at least {} columns, found {}", 'date format "{}" is not confirmed'
+BAD_DATE, BAD_AMOUNT = 'unparseable date "{}"', "unparseable or ambiguous amount"
 DESCRIPTION_HINTS = ("narration", "particulars", "description", "details")
 DEBIT_HINTS, CREDIT_HINTS = ("debit", "withdrawal", "dr"), ("credit", "deposit", "cr")
 MONTH_NAMES = tuple("jan feb mar apr may jun jul aug sep oct nov dec".split())
 AMBIGUOUS = "AMBIGUOUS"
+SIGNS = ("NEGATIVE_IS_DEBIT", "POSITIVE_IS_DEBIT", "SIGN_COLUMN")
 ISO = re.compile(r"(\d{4})-(\d{2})-(\d{2})")
 NAMED = re.compile(r"(\d{1,2})-([A-Za-z]{3})-(\d{4})")
 NUMERIC = re.compile(r"(\d{1,2})([/.\-])(\d{1,2})[/.\-](\d{4})")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content; content is null for files that are too large."""
-    files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= MOST_BYTES).select("path", "length", "content")
-    large = files.where(F.col("length") > MOST_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+def read_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, length and content. Content is null for files that are too large, and
+    length as well for paths where there is nothing (ReadFailed). Files of no bytes
+    are left out."""
+    from pyspark.errors import AnalysisException
+
+    out = spark.createDataFrame([], "path string, length long, content binary")
+    for path in paths:
+        try:
+            files = spark.read.format("binaryFile").load(path)
+        except AnalysisException:
+            out = out.unionByName(spark.createDataFrame([(path, None, None)], out.schema))
+            continue
+        small = files.where(F.col("length") <= MOST_BYTES).select("path", "length", "content")
+        large = files.where(F.col("length") > MOST_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
+        out = out.unionByName(small).unionByName(large)
+    return out
 
 
-def decode(content: bytes | None, length: int | None = None) -> tuple[str, str | None]:
-    """(Success, text) or what is wrong: TooLarge, NotText, EncodingUnclear."""
-    if content is None or (length or len(content)) > MOST_BYTES:
+def decode(content: bytes | None, length: int | None = 0) -> tuple[str, str | None]:
+    """(Success, text) or what is wrong: ReadFailed, TooLarge, NotText,
+    EncodingUnclear. A null content of null length was not read."""
+    if content is None:
+        return ("ReadFailed" if length is None else "TooLarge"), None
+    if len(content) > MOST_BYTES:
         return "TooLarge", None
     if b"\0" in content[:SNIFFED]:
         return "NotText", None
     text = content.decode("utf-8", "replace")
-    return ("EncodingUnclear", None) if "�" in text else ("Success", text)
+    return ("EncodingUnclear", None) if "\ufffd" in text else ("Success", text)
 
 
 def tokenize(text: str) -> list[list[str]]:
-    """Records of RFC 4180 text. A blank line is a record with one empty cell."""
-    rows = list(csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""), strict=False))
+    """Records of RFC 4180 text. A blank line is a record with one empty cell; a
+    quote that is never closed makes one cell of the rest, however long."""
+    csv.field_size_limit(max(csv.field_size_limit(), 4 * MOST_BYTES))
+    rows = list(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), strict=False))
     return [r or [""] for r in rows]
 
 
@@ -59,7 +79,7 @@ def money(raw: str, places: int = 2) -> int | None:
     if negative and len(t) > 1:
         t = t[1:-1]
     negative |= t.startswith("-")
-    kept = "".join(c for c in t if c.isdigit() or c in ".,")
+    kept = "".join(c for c in t if c.isdecimal() or c in ".,")
     if not kept:
         return None
     at = max(kept.rfind("."), kept.rfind(","))
@@ -94,7 +114,12 @@ def data_like(cells: list[str]) -> bool:
 
 @dataclass
 class Mapping:
-    """Which column is what, what is uncertain, and which columns are not used."""
+    """Which column is what, what is uncertain, and which columns are not used.
+
+    Amounts are in one column, with a sign that is stated (``NEGATIVE_IS_DEBIT``,
+    ``POSITIVE_IS_DEBIT`` or ``SIGN_COLUMN``, which alone has a ``sign_column``), or
+    in a debit and a credit column; anything else is a ValueError.
+    """
 
     header_row: int | None = None
     first_row: int = 0
@@ -109,6 +134,18 @@ class Mapping:
     uncertain: list[str] = field(default_factory=list)
     unmapped: list[int] = field(default_factory=list)
 
+    def __post_init__(self):
+        if (self.debit_column is None) != (self.credit_column is None):
+            raise ValueError("debit and credit columns go together")
+        if (self.amount_column is None) == (self.debit_column is None):
+            raise ValueError("amounts are in one column or in a debit and a credit column")
+        if self.amount_column is None and (self.amount_sign is not None or self.sign_column is not None):
+            raise ValueError("only a single amount column has a sign")
+        if self.amount_column is not None and self.amount_sign not in SIGNS:
+            raise ValueError(f"the sign of an amount column is one of {SIGNS}")
+        if (self.amount_sign == "SIGN_COLUMN") != (self.sign_column is not None):
+            raise ValueError("a sign column goes with SIGN_COLUMN, and with nothing else")
+
     def used(self) -> set[int]:
         return {c for c in (self.date_column, self.description_column, self.amount_column, self.sign_column, self.debit_column, self.credit_column) if c is not None}
 
@@ -190,21 +227,33 @@ def description_of(sample, columns: list[int], header, uncertain: set[str]) -> i
     return -length[0][1]
 
 
-def infer(rows: list[list[str]]) -> Mapping | None:
-    """The mapping of a file's columns, or None where there is none."""
+def layout(rows: list[list[str]]) -> tuple[int, int | None, int | None]:
+    """(the width that most records have, of equals the one seen first; the first
+    data row; its header)."""
     widths: dict[int, int] = {}
     for r in rows:
         widths[len(r)] = widths.get(len(r), 0) + 1
-    width = max(widths, key=widths.get, default=0)  # of equals the one seen first
+    width = max(widths, key=widths.get, default=0)
     first = next((i for i, r in enumerate(rows[:SAMPLE]) if len(r) == width and data_like(r)), None)
+    above = -1 if first is None else first - 1
+    return width, first, above if above >= 0 and len(rows[above]) == width and not data_like(rows[above]) else None
+
+
+def date_rates(rows: list[list[str]], width: int, first: int) -> list[float]:
+    """The share of dates in each column of the sample."""
+    sample = [r for r in rows[first:] if len(r) == width][:SAMPLE]
+    return [sum(date_like(r[c]) for r in sample) / len(sample) for c in range(width)]
+
+
+def infer(rows: list[list[str]]) -> Mapping | None:
+    """The mapping of a file's columns, or None where there is none."""
+    width, first, header_row = layout(rows)
     if width < 3 or first is None:
         return None
-    above = first - 1
-    header_row = above if above >= 0 and len(rows[above]) == width and not data_like(rows[above]) else None
     header = rows[header_row] if header_row is not None else None
     sample = [r for r in rows[first:] if len(r) == width][:SAMPLE]
     uncertain: set[str] = set()
-    rates = [sum(date_like(r[c]) for r in sample) / len(sample) for c in range(width)]
+    rates = date_rates(rows, width, first)
     date = rates.index(max(rates))
     if rates[date] < 0.8 or rates.count(rates[date]) > 1:
         uncertain.add("DATE_COLUMN")
@@ -257,9 +306,11 @@ def amount_of(cells: list[str], m: Mapping) -> int | None:
     n = money(cells[m.amount_column])
     if n is None:
         return None
-    if m.sign_column is not None:
-        mark = re.sub(r"[^a-z]", "", cells[m.sign_column].lower())
-        return -abs(n) if mark.startswith("d") or mark.endswith("dr") else abs(n) if mark.startswith("c") or mark.endswith("cr") else None
+    if m.amount_sign == "SIGN_COLUMN":
+        mark = cells[m.sign_column].strip().lower()
+        if mark.startswith("d") or "dr" in mark:
+            return -abs(n)
+        return abs(n) if mark.startswith("c") or "cr" in mark else None
     return -n if m.amount_sign == "POSITIVE_IS_DEBIT" else n
 
 
@@ -267,84 +318,91 @@ def map_row(cells: list[str], m: Mapping) -> tuple[str | None, str | None, int |
     """(date, description, amount, reason of failure)."""
     need = max(m.used()) + 1
     if len(cells) < need:
-        return None, None, None, f"expected at least {need} columns, found {len(cells)}"
+        return None, None, None, FEW_COLUMNS.format(need, len(cells))
     if m.date_format == AMBIGUOUS:
-        return None, None, None, "date format is not confirmed"
+        return None, None, None, NOT_CONFIRMED.format(m.date_format)
     date = parse_date(cells[m.date_column], m.date_format)
     if date is None:
-        return None, None, None, "unparseable date"
+        return None, None, None, BAD_DATE.format(cells[m.date_column])
     amount = amount_of(cells, m)
     if amount is None:
-        return None, None, None, "unparseable or ambiguous amount"
+        return None, None, None, BAD_AMOUNT
     return date, cells[m.description_column].strip(), amount, None
 
 
-CELLS = "path string, row_index int, cells array<string>"
+CELLS = "path string, outcome string, row_index int, cells array<string>"
 ROWS = "path string, row_index int, date string, description string, amount_minor long, reason string, raw string"
-MAPPINGS = "path string, outcome string, date_column int, date_format string, description_column int, amount_column int, amount_sign string, debit_column int, credit_column int, uncertain array<string>, unmapped array<int>, day_first_failures int, month_first_failures int"
+MAPPINGS = "path string, outcome string, width int, header_row int, first_row int, date_rate double, date_column int, date_format string, description_column int, amount_column int, amount_sign string, debit_column int, credit_column int, uncertain array<string>, unmapped array<int>, day_first_failures int, month_first_failures int"
 
 
-def cells_of(files: DataFrame) -> DataFrame:
-    """Every record of ``files(path, content)``."""
+def _table(files: DataFrame, schema: str, of) -> DataFrame:
+    """The rows that ``of(path, content, length)`` gives of each file."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def task(batches):
+        import pandas as pd
+
         for b in batches:
-            for p, c in zip(b["path"], b["content"]):
-                out = [(p, i, r) for i, r in enumerate(tokenize(decode(c)[1] or ""))]
-                yield _frame(out, ["path", "row_index", "cells"])
+            for p, c, n in zip(b["path"], b["content"], b["length"]):
+                yield pd.DataFrame(of(p, c, None if n < 0 else n), columns=names, dtype=object)
+
+    length = F.col("length") if "length" in files.columns else F.lit(0)
+    return files.select("path", "content", F.coalesce(length, F.lit(-1)).cast("long").alias("length")).mapInPandas(task, schema)
 
-    return files.select("path", "content").mapInPandas(task, CELLS)
 
+def cells_of(files: DataFrame) -> DataFrame:
+    """Every record of ``files(path, content[, length])``. A file that is no text
+    has one row, with its outcome and no cells."""
 
-def _frame(rows: list[tuple], names: list[str]):
-    import pandas as pd
+    def of(path, content, length):
+        outcome, text = decode(content, length)
+        return [(path, outcome, None, None)] if text is None else [(path, outcome, i, r) for i, r in enumerate(tokenize(text))]
 
-    out = pd.DataFrame(rows, columns=names, dtype=object)
-    return out
+    return _table(files, CELLS, of)
 
 
 def mappings_of(files: DataFrame) -> DataFrame:
     """What was inferred of each file, and how many dates either order would lose."""
     names = [x.split()[0] for x in MAPPINGS.split(", ")]
 
-    def task(batches):
-        for b in batches:
-            out = []
-            for p, c in zip(b["path"], b["content"]):
-                outcome, text = decode(c)
-                rows = tokenize(text or "")
-                m = infer(rows)
-                if m is None:
-                    out.append((p, outcome if outcome != "Success" else "NoMapping", *[None] * 11))
-                    continue
-                x = asdict(m)
-                data = [r[m.date_column] for r in rows[m.first_row :] if len(r) > m.date_column]
-                lost = [sum(parse_date(v, f) is None for v in data) for f in ("dd/MM/yyyy", "MM/dd/yyyy")]
-                out.append((p, outcome, *(x[k] for k in names[2:11]), *lost))
-            yield _frame(out, names)
+    def of(path, content, length):
+        outcome, text = decode(content, length)
+        if text is None:
+            return [(path, outcome, *[None] * 15)]
+        rows = tokenize(text)
+        width, first, header = layout(rows)
+        m = infer(rows)
+        if m is None:
+            return [(path, "NoMapping", width, header, first, *[None] * 12)]
+        x = asdict(m)
+        data = [r[m.date_column] for r in rows[m.first_row :] if len(r) > m.date_column]
+        lost = [sum(parse_date(v, f) is None for v in data) for f in ("dd/MM/yyyy", "MM/dd/yyyy")]
+        return [(path, outcome, width, header, first, max(date_rates(rows, width, first)), *(x[k] for k in names[6:15]), *lost)]
 
-    return files.select("path", "content").mapInPandas(task, MAPPINGS)
+    return _table(files, MAPPINGS, of)
 
 
 def rows_of(files: DataFrame, mapping: Mapping | None = None, swap: bool = False) -> DataFrame:
     """Every data row of each file, mapped by what is inferred or by ``mapping``;
-    failed rows have a reason. ``swap`` exchanges debit and credit."""
-    names = [x.split()[0] for x in ROWS.split(", ")]
-
-    def task(batches):
-        for b in batches:
-            for p, c in zip(b["path"], b["content"]):
-                rows = tokenize(decode(c)[1] or "")
-                m = mapping or infer(rows)
-                if m is not None and swap and m.debit_column is not None:
-                    m = Mapping(**{**asdict(m), "debit_column": m.credit_column, "credit_column": m.debit_column})
-                out = []
-                for i, r in enumerate(rows):
-                    if m is None:
-                        out.append((p, i, None, None, None, "no mapping", ", ".join(r)))
-                    elif i >= m.first_row and r != [""]:
-                        date, text, amount, reason = map_row(r, m)
-                        out.append((p, i, date, text, amount, reason, ", ".join(r)))
-                yield _frame(out, names)
-
-    return files.select("path", "content").mapInPandas(task, ROWS)
+    failed rows have a reason and what stands there. A file that is no text has one
+    row without an index, its outcome as the reason. ``swap`` exchanges debit and
+    credit."""
+
+    def of(path, content, length):
+        outcome, text = decode(content, length)
+        if text is None:
+            return [(path, None, None, None, None, outcome, None)]
+        rows = tokenize(text)
+        m = mapping or infer(rows)
+        if m is None:
+            return [(path, i, None, None, None, "no mapping", ", ".join(r)) for i, r in enumerate(rows)]
+        if swap and m.debit_column is not None:
+            m = replace(m, debit_column=m.credit_column, credit_column=m.debit_column)
+        return [(path, i, *map_row(r, m), ", ".join(r)) for i, r in enumerate(rows) if i >= m.first_row and r != [""]]
+
+    return _table(files, ROWS, of)
+
+
+def failed_rows(rows: DataFrame) -> DataFrame:
+    """The failed rows of ``rows_of``: path, line (from 1, in records), raw, reason."""
+    return rows.where("reason is not null").select("path", (F.col("row_index") + 1).alias("line"), "raw", "reason")

@@ -52,7 +52,7 @@ def test_dates_are_clamped():
 
 
 def test_signs():
-    m = S.Mapping(None, 0, 0, "yyyy-MM-dd", 1, 2, "NEGATIVE_IS_DEBIT", sign_column=3)
+    m = S.Mapping(None, 0, 0, "yyyy-MM-dd", 1, 2, "SIGN_COLUMN", sign_column=3)
     assert [S.amount_of(["", "", "5", x], m) for x in ("Dr", "CR", "?")] == [-500, 500, None]
     assert S.map_row(["2026-01-01"], m)[3] == "expected at least 4 columns, found 1"
 
