@@ -267,9 +267,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
         rows = docs.join(wanted.select("__d").distinct(), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi").select("text")
         return rows.mapInArrow(shingles, "h long, text array<long>").dropDuplicates(["h"]).join(wanted, "h").select("h", "fp", "len", "text")
 
-    def alike(a, b, least: float):
-        both = F.size(F.array_intersect(a, b))
-        return 1000 * both >= round(1000 * least) * (F.size(a) + F.size(b) - both)
+    def alike(pairs: DataFrame, least: float) -> DataFrame:
+        both, all_ = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
+        return pairs.where(1000 * both >= round(1000 * least) * (all_ - both)).select("a", "b")
 
     marked = stored(docs.select("doc_id", "text").mapInArrow(task, "doc_id long, h long, fp long, len int, keys array<long>"))
     keys = marked.select("h", F.explode("keys").alias("key")).distinct()
