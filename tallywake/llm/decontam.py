@@ -249,7 +249,6 @@ class Index:
                 y = value @ v[self.row[at]]
                 q[k] = y / max(1e-12, float(y @ y))
         self.q = np.ascontiguousarray(q.T, np.float32)
-        self.longest = float(np.sqrt((q * q).sum(axis=1)).max())
         #: What a word adds to a window's latent vector.
         self.v = (v * np.concatenate(([0.0], idf[features]))[:, None]).astype(np.float32)
         # Runs of words: for each length, sorted codes, the items that have them and a
@@ -295,35 +294,39 @@ class Index:
 
     def candidates(self, f: np.ndarray, least: float):
         """(item number, start, length, cosine) of windows over the features."""
-        n, step = len(f), WINDOWS[0] // 3
-        cuts = np.arange(0, n, step)
-        weight = self.idf[f]
-        latent = np.add.reduceat(self.v[self.row[f]], cuts, axis=0)
-        square = np.add.reduceat(weight * weight, cuts)
-        for length in WINDOWS:
-            per, stride = length // step, length // step // 3
-            first = np.arange(0, max(1, len(cuts) - per + stride), stride)
-            whole = np.zeros((len(first), latent.shape[1]), np.float32)
-            norm = np.zeros(len(first), np.float32)
-            for k in range(per):
-                inside = first + k < len(cuts)
-                whole[inside] += latent[first[inside] + k]
-                norm[inside] += square[first[inside] + k]
-            norm = np.sqrt(norm)
-            # The product is at most that of the lengths.
-            some = np.flatnonzero((norm > 0) & (np.sqrt((whole * whole).sum(axis=1)) * self.longest >= least * norm))
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
-                score = whole[part] @ self.q
+        step = WINDOWS[0] // 3
+        most = max(WINDOWS) // step
+        block = 4096 * step
+        for at in range(0, len(f), block):
+            # Sums over steps; windows are sums of these, and so are their products with
+            # the items. The next block's first steps belong to windows that begin here.
+            part = f[at : at + block + (most - 1) * step]
+            cuts = np.arange(0, len(part), step)
+            row, weight = self.row[part], self.idf[part]
+            known = np.flatnonzero(row)
+            score = np.zeros((len(cuts) + most, self.q.shape[1]), np.float32)
+            if len(known):
+                of, first = np.unique(known // step, return_index=True)
+                score[of] = np.add.reduceat(self.v[row[known]], first, axis=0) @ self.q
+            square = np.zeros(len(cuts) + most, np.float32)
+            square[: len(cuts)] = np.add.reduceat(weight * weight, cuts)
+            last = min(4096, len(cuts)) if at + block < len(f) else len(cuts)
+            for length in WINDOWS:
+                per, stride = length // step, length // step // 3
+                start = np.arange(0, max(1, min(last, len(cuts) - per + stride)), stride)
+                whole, norm = score[start].copy(), square[start].copy()
+                for k in range(1, per):
+                    whole += score[start + k]
+                    norm += square[start + k]
                 # Words that recur in a window make its length more than the sum of
                 # squares says; windows that pass without that are measured again.
-                likely = np.flatnonzero(score.max(axis=1) >= least * norm[part])
+                likely = np.flatnonzero((norm > 0) & (whole.max(axis=1) >= least * np.sqrt(norm)))
                 for i in likely.tolist():
-                    a = int(first[part[i]]) * step
-                    feature, counts = np.unique(f[a : a + length], return_counts=True)
+                    a = int(start[i]) * step
+                    feature, counts = np.unique(part[a : a + length], return_counts=True)
                     true = float(np.sqrt(((counts * self.idf[feature]) ** 2).sum()))
-                    for k in np.flatnonzero(score[i] >= least * true).tolist():
-                        yield k, a, length, min(1.0, float(score[i, k]) / true)
+                    for k in np.flatnonzero(whole[i] >= least * true).tolist():
+                        yield k, at + a, length, min(1.0, float(whole[i, k]) / true)
 
     def matches(self, text: str | None, hasher: Hasher, least: float):
         """The best check of each item that has a candidate with enough of its words
