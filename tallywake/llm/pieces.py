@@ -324,7 +324,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             return out
 
         known, at = None, None
-        for b in batches:
+        # A batch has many more ids than rows, so few rows are held at once.
+        for b in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
             ids, same = [], []
             for text, name in zip(b.column(1), b.column(2).to_pylist()):
                 x = text.as_py()
