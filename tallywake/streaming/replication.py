@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import work_dir
 from ..operators.joins import dirty, missing_from
 from ..operators.merge import SYNCED
 
@@ -31,9 +30,8 @@ def newest(ops: DataFrame) -> DataFrame:
     decides, whatever the order of the files."""
     known = ops.where(F.col("table_name").isin(*STEPS))
     rest = [c for c in ops.columns if c not in ("table_name", "row_id")]
-    low = known.groupBy("table_name", "row_id").agg(F.max("remote_revision").alias("_top"))
-    top = known.join(low, ["table_name", "row_id"]).where("remote_revision = _top")
-    return top.groupBy("table_name", "row_id").agg(F.min_by(F.struct(*rest), "device_id").alias("x")).select("table_name", "row_id", "x.*")
+    first = F.min_by(F.struct(*rest), F.struct(-F.col("remote_revision"), "device_id"))
+    return known.groupBy("table_name", "row_id").agg(first.alias("x")).select("table_name", "row_id", "x.*")
 
 
 def in_order(ops: DataFrame) -> DataFrame:
@@ -125,8 +123,7 @@ def follow(spark, log_dir: str, state_dir: str, checkpoint: str, schema) -> int
 def stream_once(ops: DataFrame) -> DataFrame:
     """The log as a stream, once through: the live rows of the last snapshot."""
     spark = ops.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallywake-")
-    root = f"{root.rstrip('/')}/replication-{uuid.uuid4().hex}"
+    root = work_dir(spark, "replication")
     ops.write.parquet(f"{root}/log")
     last = follow(spark, f"{root}/log", f"{root}/state", f"{root}/offsets", ops.schema)
     if last is None:
