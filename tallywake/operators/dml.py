@@ -125,19 +125,6 @@ def drop_categories(categories, tx, budgets, rules, ids: DataFrame):
     return hard_delete(categories, ids), freed, without(budgets), without(rules)
 
 
-def reap(df: DataFrame, cutoff: int) -> DataFrame:
-    return df.where(F.col("deleted_at").isNull() | (F.col("deleted_at") >= cutoff))
-
-
-def reap_all(L, cutoff: int):
-    """Tombstones before the cutoff go, with their shadow rows and conflicts, and
-    old acknowledged conflicts: (transactions, shadow, conflicts)."""
-    gone = L.tx.where(F.col("deleted_at") < cutoff).select(F.lit("transactions").alias("table_name"), F.col("id").alias("row_id"))
-    key = ["table_name", "row_id"]
-    conflicts = L.conflicts.where(F.col("acknowledged_at").isNull() | (F.col("acknowledged_at") >= cutoff))
-    return reap(L.tx, cutoff), L.shadow.join(gone, key, "left_anti"), conflicts.join(gone, key, "left_anti")
-
-
 def record_conflicts(conflicts: DataFrame, new: DataFrame) -> DataFrame:
     """New conflicts take the place of unacknowledged ones of the same field."""
     key = ["table_name", "row_id", "field"]

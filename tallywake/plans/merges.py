@@ -102,7 +102,6 @@ def cursor(L):
 CURSOR = "SELECT device_id, max(seq) - 2 AS seq FROM ops WHERE device_id <> 'dev-3' GROUP BY 1"
 for _n in ("oplog_vs_cursor", "src_oplog"):
     query(_n, f"SELECT o.device_id, o.seq, o.row_id, o.remote_revision FROM ops o LEFT JOIN ({CURSOR}) c ON o.device_id = c.device_id WHERE o.seq > coalesce(c.seq, 0)")(lambda L: joins.after_cursor(L.ops, cursor(L)).select("device_id", "seq", "row_id", "remote_revision"))
-query("pull", f"SELECT o.row_id, o.remote_revision FROM ({GOOD}) o LEFT JOIN ({CURSOR}) c ON o.device_id = c.device_id WHERE o.seq > coalesce(c.seq, 0)")(lambda L: joins.after_cursor(replication.readable(L.ops), cursor(L)).select("row_id", "remote_revision"))
 query("horizon_check", f"SELECT bool_or(coalesce(c.seq, 0) < h.horizon) AS behind FROM (SELECT device_id, max(seq) AS horizon FROM ops GROUP BY 1) h LEFT JOIN ({CURSOR}) c ON c.device_id = h.device_id")(lambda L: joins.behind_horizon(replication.horizon(L.ops), cursor(L)))
 query("elect_owner", "SELECT min(device_id) AS owner FROM ops")(lambda L: L.ops.agg(F.min("device_id").alias("owner")))
 query("take_over", "SELECT min(device_id) AS owner FROM ops WHERE device_id <> 'dev-0'")(lambda L: L.ops.where("device_id <> 'dev-0'").agg(F.min("device_id").alias("owner")))
@@ -118,23 +117,7 @@ OURS = f"SELECT table_name, replace(row_id, 'row-', '') AS row_id, remote_revisi
 query("apply_idempotent", f"SELECT o.row_id, o.remote_revision FROM ({OURS}) o LEFT JOIN shadow s ON s.table_name = o.table_name AND s.row_id = o.row_id WHERE o.remote_revision > coalesce(s.remote_revision, 0)")(
     lambda L: replication.not_applied(renamed(L), L.shadow).select("row_id", "remote_revision")
 )
-DECIDE = f"""SELECT o.row_id, greatest(coalesce(t.local_revision, 0), o.remote_revision) + (t.id IS NOT NULL AND t.updated_at > o.updated_at)::INT AS local_revision,
- CASE WHEN t.id IS NOT NULL AND t.updated_at > o.updated_at THEN 'UPSERT' END AS pending_operation, greatest(coalesce(t.updated_at, o.updated_at), o.updated_at) AS updated_at
- FROM ({OURS}) o LEFT JOIN tx t ON t.id = o.row_id WHERE o.table_name = 'transactions'"""
-query("apply_decide", DECIDE)(lambda L: replication.decide(renamed(L).where("table_name = 'transactions'"), L.tx))
-query("apply_ops", f"SELECT table_name, count(*) AS n, max(step) AS step FROM (SELECT table_name, CASE table_name WHEN 'transactions' THEN 1 ELSE 2 END AS step FROM ({NEWEST})) GROUP BY 1")(
-    lambda L: replication.in_order(replication.newest(replication.readable(L.ops))).groupBy("table_name").agg(F.count("*").alias("n"), F.max("step").alias("step"))
-)
-query("record_shadow", f"SELECT table_name, row_id, remote_revision FROM shadow s WHERE NOT EXISTS (SELECT 1 FROM ({OURS}) o WHERE o.table_name = s.table_name AND o.row_id = s.row_id) UNION ALL SELECT table_name, row_id, remote_revision FROM ({OURS})")(
-    lambda L: replication.record_shadow(L.shadow, renamed(L)).select("table_name", "row_id", "remote_revision")
-)
-for _n in ("push", "snk_oplog"):
-    query(_n, """SELECT 'transactions' AS table_name, t.id AS row_id, t.local_revision AS remote_revision, t.deleted_at IS NULL AS alive FROM tx t LEFT JOIN shadow s ON s.table_name = 'transactions' AND s.row_id = t.id
- WHERE t.local_revision > coalesce(s.remote_revision, 0) ORDER BY t.id LIMIT 200""")(lambda L: replication.batch(L.tx, L.shadow, "transactions", "dev-9", 1).select("table_name", "row_id", "remote_revision", F.col("payload").isNotNull().alias("alive")))
 query("snapshot_missing", f"SELECT id FROM tx WHERE id NOT IN (SELECT row_id FROM ({OURS}) WHERE table_name = 'transactions')")(lambda L: joins.missing_from(L.tx, renamed(L).where("table_name = 'transactions'")).select("id"))
-query("reconcile", f"""SELECT t.id, CASE WHEN s.row_id IS NULL OR t.local_revision > s.remote_revision THEN 'keep' ELSE 'delete' END AS verdict FROM tx t LEFT JOIN shadow s ON s.row_id = t.id
- WHERE t.id NOT IN (SELECT row_id FROM ({OURS}) WHERE table_name = 'transactions')""")(lambda L: replication.reconcile(L.tx, renamed(L).where("table_name = 'transactions'"), L.shadow))
-query("sync_cycle", f"SELECT table_name, row_id, remote_revision FROM ({NEWEST}) WHERE payload IS NOT NULL")(lambda L: replication.stream_once(L.ops))
 query("reactive_combine", f"SELECT table_name, row_id, remote_revision FROM ({NEWEST}) WHERE payload IS NOT NULL")(lambda L: replication.stream_once(L.ops))
 query("seal_batch")(lambda L: replication.sealed(L.ops))
 query("open_batch", "SELECT device_id, seq, count(*) AS n FROM ops GROUP BY 1, 2")(lambda L: replication.opened(replication.sealed(L.ops)))

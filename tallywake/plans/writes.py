@@ -91,13 +91,6 @@ def _hard(L):
     return _union((("tx", tx), ("categories", cats.withColumn("category_id", F.col("id"))), ("budgets", budgets), ("rules", rules)), "id", "category_id")
 
 
-CUT = 1700100000000
-query("tombstone_reap", f"""SELECT 'tx' AS t, id FROM tx WHERE deleted_at IS NULL OR deleted_at >= {CUT} UNION ALL SELECT 'shadow', row_id FROM shadow WHERE row_id NOT IN (SELECT id FROM tx WHERE deleted_at < {CUT})
- UNION ALL SELECT 'conflicts', id FROM conflicts WHERE (acknowledged_at IS NULL OR acknowledged_at >= {CUT}) AND row_id NOT IN (SELECT id FROM tx WHERE deleted_at < {CUT})""")(
-    lambda L: _union(zip(("tx", "shadow", "conflicts"), (lambda r: (r[0], r[1].withColumn("id", F.col("row_id")), r[2]))(dml.reap_all(L, CUT))), "id")
-)
-
-
 @query("conflict_record", "SELECT id FROM conflicts WHERE acknowledged_at IS NOT NULL OR n9 <> 0 UNION ALL SELECT 'new-' || row_id FROM conflicts WHERE n9 = 0".replace("n9", "(CAST(row_id AS BIGINT) % 18)"))
 def conflict_record(L):
     new = L.conflicts.where(F.col("row_id").cast("bigint") % 18 == 0).withColumns({"id": F.concat(F.lit("new-"), "row_id"), "acknowledged_at": F.lit(None).cast("bigint")})

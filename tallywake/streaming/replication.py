@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import work_dir
-from ..operators.joins import dirty, missing_from
+from ..operators.joins import dirty
 from ..operators.merge import SYNCED
 
 #: Batches of a newer format than this are skipped; their cursor still advances.
@@ -54,22 +54,6 @@ def not_applied(ops: DataFrame, shadow: DataFrame) -> DataFrame:
     return ops.join(s, ["table_name", "row_id"], "left").where("remote_revision > coalesce(_seen, 0)").drop("_seen")
 
 
-def decide(ops: DataFrame, rows: DataFrame) -> DataFrame:
-    """Revision, pending operation and time of each row after its operation, where
-    a stored row that is newer has something of its own to send back."""
-    own = rows.select(F.col("id").alias("row_id"), F.col("local_revision").alias("_rev"), F.col("updated_at").alias("_at"))
-    mine = F.coalesce(F.col("_at") > F.col("updated_at"), F.lit(False))
-    return ops.join(own, "row_id", "left").select(
-        "row_id", (F.greatest(F.coalesce("_rev", F.lit(0)), "remote_revision") + mine.cast("int")).alias("local_revision"),
-        F.when(mine, F.lit("UPSERT")).alias("pending_operation"), F.greatest(F.coalesce("_at", "updated_at"), "updated_at").alias("updated_at"),
-    )
-
-
-def record_shadow(shadow: DataFrame, ops: DataFrame) -> DataFrame:
-    key = ["table_name", "row_id"]
-    return shadow.join(ops.select(*key), key, "left_anti").select(*shadow.columns).unionByName(ops.select(*shadow.columns))
-
-
 def payload(fields: list[str]) -> Column:
     """A row as JSON; null values are kept as keys."""
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
@@ -92,13 +76,6 @@ def batch(rows: DataFrame, shadow: DataFrame, table: str, device: str, seq: int)
     )
 
 
-def reconcile(rows: DataFrame, snapshot: DataFrame, shadow: DataFrame) -> DataFrame:
-    """Rows that a snapshot lacks: kept if never sent or newer here, else deleted."""
-    s = shadow.where("table_name = 'transactions'").select(F.col("row_id").alias("_r"), F.col("remote_revision").alias("_seen"))
-    gone = missing_from(rows, snapshot).join(s, F.col("id") == F.col("_r"), "left")
-    return gone.select("id", F.when(F.col("_r").isNull() | (F.col("local_revision") > F.col("_seen")), "keep").otherwise("delete").alias("verdict"))
-
-
 def follow(spark, log_dir: str, state_dir: str, checkpoint: str, schema) -> int | None:
     """Folds every new file of an operation log into a versioned snapshot table
     and ends when there is none. The checkpoint's offsets are the cursor; each
