@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import months
 from ..ledger import live
+from ..lineage import cut
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,17 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("date"), F.desc("created_at"), "id")
 
 
+def placed(df: DataFrame, *order) -> DataFrame:
+    """Adds ``place``, from 1, in an order of all rows. Rows are sorted in ranges and
+    numbered within them, after the rows of the ranges before; what is broadcast is
+    a row for each partition."""
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = cut(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": at}))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).select(*df.columns, "place")
+
+
 def filtered(tx: DataFrame, f: Filter = Filter()) -> DataFrame:
     return newest_first(live(tx).where(f.predicate()))
 

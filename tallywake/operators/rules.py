@@ -6,13 +6,15 @@ takes the first element that fits, so rows are never multiplied.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_upper
 from ..ledger import live
 from .reads import rule_candidates
 
+#: Rules of one broadcast array.
+AT_ONCE = 1000
 
 
 def prepare(rules: DataFrame) -> DataFrame:
@@ -25,11 +27,23 @@ def haystack() -> Column:
 
 
 def first_match(tx: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds ``rule_id`` and ``rule_category`` of the first rule that fits."""
-    one = prepare(rules).agg(F.sort_array(F.collect_list(F.struct("priority", "id", "category_id", "needle"))).alias("_rules"))
-    rows = tx.withColumn("_hay", haystack()).join(F.broadcast(one), F.lit(True))
-    hit = F.get(F.filter("_rules", lambda r: F.contains(F.col("_hay"), r["needle"])), 0)
-    return rows.withColumn("_hit", hit).select(*tx.columns, F.col("_hit.id").alias("rule_id"), F.col("_hit.category_id").alias("rule_category"))
+    """Adds ``rule_id`` and ``rule_category`` of the first rule that fits.
+
+    Rules are counted; each ``AT_ONCE`` of them, in order, are one broadcast array,
+    and the first array with a hit decides, so that rows are never multiplied.
+    """
+    listed = prepare(rules)
+    blocks = max(1, -(-listed.count() // AT_ONCE))
+    order = F.struct("priority", "id", "category_id", "needle")
+    if blocks > 1:
+        listed = listed.withColumn("_block", F.call_function("div", F.row_number().over(Window.orderBy("priority", "id")) - 1, F.lit(AT_ONCE)))
+    rows, hits = tx.withColumn("_hay", haystack()), []
+    for k in range(blocks):
+        some = listed if blocks == 1 else listed.where(F.col("_block") == k)
+        one = some.agg(F.sort_array(F.collect_list(order)).alias(f"_rules{k}"))
+        rows = rows.join(F.broadcast(one), F.lit(True))
+        hits.append(F.get(F.filter(f"_rules{k}", lambda r: F.contains(F.col("_hay"), r["needle"])), 0))
+    return rows.withColumn("_hit", F.coalesce(*hits)).select(*tx.columns, F.col("_hit.id").alias("rule_id"), F.col("_hit.category_id").alias("rule_category"))
 
 
 def assignments(tx: DataFrame, rules: DataFrame, uncategorised_only: bool = False) -> DataFrame:

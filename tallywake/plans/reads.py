@@ -30,18 +30,11 @@ query("tx_filter_object", f"SELECT {DOMAIN} FROM tx WHERE {LIVE}")(lambda L: bri
 query("date_preset", f"SELECT {DOMAIN} FROM tx WHERE {LIVE} AND date BETWEEN '1996-02-01' AND '1996-02-29'")(
     lambda L: brief(reads.filtered(L.tx, reads.FilterState(preset="LAST_MONTH").resolve(TODAY)))
 )
-query("sort_tx", f"SELECT {DOMAIN}, row_number() OVER (ORDER BY date DESC, created_at DESC, id) AS place FROM tx WHERE {LIVE} ORDER BY place LIMIT 100")(
-    lambda L: _placed(brief(reads.filtered(L.tx).limit(100)))
+query("sort_tx", f"SELECT {DOMAIN}, row_number() OVER (ORDER BY date DESC, created_at DESC, id) AS place FROM tx WHERE {LIVE}")(
+    lambda L: reads.placed(brief(live(L.tx)).withColumn("created_at", F.col("id").cast("bigint") * 1000), F.desc("date"), F.desc("created_at"), "id").drop("created_at")
 )
 
 
-def _placed(df):
-    """Numbers the rows of a top list (100 at most, so that one task may do it)."""
-    from pyspark.sql import Window
-
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc("date"), F.desc(F.col("id").cast("bigint") * 1000), "id")).cast("bigint"))
-
-
 @query("net_period", "SELECT * FROM (VALUES (1, 'Month', '1996-03'), (2, 'Month', '1996-02'), (3, 'Range', '1996-01-05..1996-01-09'), (4, 'Filtered', NULL), (5, 'Filtered', NULL)) v(k, kind, period)")
 def net_period(L):
     S = reads.FilterState
@@ -76,7 +69,9 @@ query("shadow_base", "SELECT * FROM shadow WHERE table_name = 'transactions' AND
 query("shadow_bases", "SELECT * FROM shadow WHERE table_name = 'transactions' AND row_id IN ('2', '3', '4', '26')")(lambda L: reads.shadow_of(L.shadow, "transactions", ["2", "3", "4", "26"]))
 query("shadow_count", "SELECT count(*) AS n FROM shadow")(lambda L: L.shadow.agg(F.count("*").alias("n")))
 query("conflicts_unack", "SELECT id, field, resolved_at FROM conflicts WHERE acknowledged_at IS NULL")(lambda L: reads.unacknowledged(L.conflicts).select("id", "field", "resolved_at"))
-query("sort_conflicts", "SELECT id, resolved_at FROM conflicts WHERE acknowledged_at IS NULL ORDER BY resolved_at DESC, id LIMIT 50")(lambda L: reads.unacknowledged(L.conflicts).select("id", "resolved_at").limit(50))
+query("sort_conflicts", "SELECT id, resolved_at, row_number() OVER (ORDER BY resolved_at DESC, id) AS place FROM conflicts WHERE acknowledged_at IS NULL")(
+    lambda L: reads.placed(L.conflicts.where("acknowledged_at is null").select("id", "resolved_at"), F.desc("resolved_at"), "id")
+)
 query("conflicts_unack_count", "SELECT count(*) AS n FROM conflicts WHERE acknowledged_at IS NULL")(lambda L: reads.unacknowledged(L.conflicts).agg(F.count("*").alias("n")))
 query("conflicts_for_row", "SELECT id, field FROM conflicts WHERE row_id = '18'")(lambda L: reads.conflicts_of(L.conflicts, "transactions", "18").select("id", "field"))
 query("conflict_by_id", "SELECT id, row_id FROM conflicts WHERE id = 'c27'")(lambda L: L.conflicts.where("id = 'c27'").select("id", "row_id"))
@@ -119,9 +114,13 @@ query("category_breakdown", f"SELECT CASE WHEN known > 0 THEN category_id ELSE '
 )
 query("category_spend", f"SELECT category_id, CAST(sum(-amount_minor) AS BIGINT) AS spent_minor FROM ({SPENT}) WHERE known > 0 AND date BETWEEN '{A}' AND '{Z}' GROUP BY 1")(lambda L: spend.category_spend(L.tx, L.categories, WINDOW))
 query("uncategorised_spend", f"SELECT CAST(coalesce(sum(-amount_minor), 0) AS BIGINT) AS spent_minor FROM ({SPENT}) WHERE known = 0 AND date BETWEEN '{A}' AND '{Z}'")(lambda L: spend.uncategorised_spend(L.tx, L.categories, WINDOW))
-for _name in ("breakdown_slices", "slice_with_category", "sort_slices"):
-    query(_name, f"""SELECT category_id, name, spent_minor FROM (SELECT CASE WHEN known > 0 THEN category_id ELSE 'uncategorised' END AS category_id, CAST(sum(-amount_minor) AS BIGINT) AS spent_minor
- FROM ({SPENT}) WHERE date BETWEEN '{A}' AND '{Z}' GROUP BY 1) LEFT JOIN (SELECT id, name FROM categories) k ON k.id = category_id""")(lambda L: spend.slices(L.tx, L.categories, WINDOW))
+SLICES = f"""SELECT category_id, name, spent_minor FROM (SELECT CASE WHEN known > 0 THEN category_id ELSE 'uncategorised' END AS category_id, CAST(sum(-amount_minor) AS BIGINT) AS spent_minor
+ FROM ({SPENT}) WHERE date BETWEEN '{A}' AND '{Z}' GROUP BY 1) LEFT JOIN (SELECT id, name FROM categories) k ON k.id = category_id"""
+for _name in ("breakdown_slices", "slice_with_category"):
+    query(_name, SLICES)(lambda L: spend.slices(L.tx, L.categories, WINDOW))
+query("sort_slices", f"SELECT category_id, row_number() OVER (ORDER BY spent_minor DESC, category_id) AS place FROM ({SLICES})")(
+    lambda L: reads.placed(spend.slices(L.tx, L.categories, WINDOW).select("category_id", "spent_minor"), F.desc("spent_minor"), "category_id").select("category_id", "place")
+)
 query("monthly_spend", f"SELECT substr(date, 1, 7) AS year_month, CAST(sum(-amount_minor) AS BIGINT) AS spent_minor FROM tx WHERE {LIVE} AND amount_minor < 0 GROUP BY 1")(lambda L: spend.monthly_spend(L.tx))
 query("substr_month", "SELECT id, substr(date, 1, 7) AS year_month FROM tx")(lambda L: L.tx.select("id", months.month_of_date(F.col("date")).alias("year_month")))
 query("earliest_date", f"SELECT min(date) AS earliest FROM tx WHERE {LIVE}")(lambda L: spend.earliest_date(L.tx))
@@ -133,8 +132,10 @@ query("spend_trend", TREND)(lambda L: spend.trend(L.tx, MONTH, 6))
 query("trend_has_comparison", f"SELECT count(*) > 1 AS has_comparison FROM ({TREND})")(lambda L: spend.trend(L.tx, MONTH, 6).agg((F.count("*") > 1).alias("has_comparison")))
 WITH_SPEND = f"""SELECT b.id, b.category_id, b.limit_minor, CAST(coalesce(sum(-t.amount_minor), 0) AS BIGINT) AS spent_minor FROM budgets b LEFT JOIN tx t
  ON t.category_id = b.category_id AND t.deleted_at IS NULL AND t.amount_minor < 0 AND t.date BETWEEN '{A}' AND '{Z}' WHERE b.year_month = '{MONTH}' AND b.deleted_at IS NULL GROUP BY 1, 2, 3"""
-for _name in ("budgets_with_spend", "sort_budgets"):
-    query(_name, WITH_SPEND)(lambda L: spend.budgets_with_spend(L.tx, L.budgets, MONTH).drop("year_month").orderBy("category_id"))
+query("budgets_with_spend", WITH_SPEND)(lambda L: spend.budgets_with_spend(L.tx, L.budgets, MONTH).drop("year_month"))
+query("sort_budgets", f"SELECT id, row_number() OVER (ORDER BY category_id) AS place FROM ({WITH_SPEND})")(
+    lambda L: reads.placed(spend.budgets_with_spend(L.tx, L.budgets, MONTH).select("id", "category_id"), "category_id").select("id", "place")
+)
 PROGRESS = f"""SELECT *, limit_minor - spent_minor AS remaining_minor, CAST(CASE WHEN limit_minor = 0 THEN (CASE WHEN spent_minor > 0 THEN 1 ELSE 0 END) ELSE CAST(spent_minor AS REAL) / CAST(limit_minor AS REAL) END AS REAL) AS fraction FROM ({WITH_SPEND})"""
 STATUS = f"""SELECT id, category_id, limit_minor, spent_minor, remaining_minor, fraction, CASE WHEN spent_minor > limit_minor THEN 'OVER' WHEN limit_minor > 0 AND fraction >= CAST(0.9 AS REAL) THEN 'NEAR_LIMIT' ELSE 'UNDER' END AS status,
  spent_minor = limit_minor AS at_limit FROM ({PROGRESS})"""
