@@ -12,15 +12,17 @@ supported and the first by text; without any, the URL is allowed.
 Everything is DataFrame or SQL functions and Spark ML's FP-growth. Only distinct
 URLs are mined and joined, so a URL that fills a third of the rows counts once.
 
-Parameters: FP-growth mines from labelled URLs of at most ``MAX_TOKENS`` tokens,
-which bounds the number of token combinations; longer URLs are judged by all
-their tokens like any other. Null URLs and URLs without ``://`` have empty host
+FP-growth mines from all labelled URLs and their frequent tokens; tokens that always
+stand together are one item, so that a template's fixed parts are no combinations.
+Null URLs and URLs without ``://`` have empty host
 and path, no tokens and the verdict allow. An empty table gives no rows; further
 columns are ignored; repeated rows and null page_ids are rows of their own.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,6 @@ RULES = [
 ]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-MAX_TOKENS = 20
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -75,23 +76,49 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(part(host_of(url), r"\.", "h:"), part(path_of(url), r"[/._-]", "p:"), part(query, "&", "q:"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def frequent_classes(rows: DataFrame, min_support: float) -> DataFrame:
+    """token, class of the tokens of ``rows(u, tokens)`` that are in enough rows;
+    tokens that always stand together are of one class, named by the least of them.
+
+    An infrequent token is in no frequent combination, so leaving it out is exact;
+    and a template's fixed tokens are one item, not all their combinations. There are
+    at most (tokens of a row on average) / min_support of them.
+    """
+    least = int(math.ceil(min_support * rows.count()))
+    h = F.xxhash64("u")
+    each = rows.select("u", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+    often = each.where(F.col("n") >= least)
+    names = often.groupBy("n", "x", "s").agg(F.min("token").alias("class"))
+    return often.join(names, ["n", "x", "s"]).select("token", "class")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support, key) from
-    ``labelled(tokens, verdict)``; key is the antecedent's rarest token."""
+    ``labelled(tokens, verdict)``, all rows of it; key is the antecedent's rarest
+    token."""
     spark = labelled.sparkSession
-    items = cut(
-        labelled.where(f"verdict is not null and size(tokens) between 1 and {int(max_tokens)}")
-        .select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    )
+    rows = cut(labelled.where("verdict is not null and size(tokens) > 0").select("tokens", "verdict", F.monotonically_increasing_id().alias("u")))
     none = "antecedent array<string>, verdict string, confidence double, support double, key string"
-    if items.isEmpty():
+    if rows.isEmpty():
         return spark.createDataFrame([], none)
+    classes = cut(frequent_classes(rows, min_support))
+    told = rows.select("u", F.explode("tokens").alias("token")).join(classes, "token").groupBy("u").agg(F.collect_set("class").alias("items"))
+    items = cut(
+        rows.select("u", F.concat(F.lit("="), "verdict").alias("verdict")).join(told, "u", "left")
+        .select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array("verdict")).alias("items"))
+    )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = cut(
-        model.associationRules.where("consequent[0] in ('=allow', '=block') and not exists(antecedent, x -> startswith(x, '='))")
-        .select(F.array_sort("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 2)").alias("verdict"), "confidence", "support")
+    found = model.associationRules.where("consequent[0] in ('=allow', '=block') and not exists(antecedent, x -> startswith(x, '='))").select(
+        F.array_sort("antecedent").alias("classes"), F.expr("substring(consequent[0], 2)").alias("verdict"), "confidence", "support"
     )
-    often = model.freqItemsets.where("size(items) = 1").select(F.expr("items[0]").alias("key"), "freq")
+    # Any one token of a class says what the class says: a rule for each choice of them.
+    members = classes.groupBy("class").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    lists = found.select("classes", F.explode("classes").alias("class")).distinct().join(members, "class").groupBy("classes").agg(F.collect_list("tokens").alias("lists"))
+    one = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("lists", one, lambda acc, tokens: F.flatten(F.transform(acc, lambda a: F.transform(tokens, lambda t: F.array_append(a, t)))))
+    each = lists.select("classes", F.explode(choices).alias("antecedent")).select("classes", F.array_sort("antecedent").alias("antecedent"))
+    found = cut(found.join(each, "classes").select("antecedent", "verdict", "confidence", "support"))
+    often = model.freqItemsets.where("size(items) = 1").select(F.expr("items[0]").alias("class"), "freq").join(classes, "class").select(F.col("token").alias("key"), "freq")
     rarest = (
         found.select("antecedent", "verdict", F.explode("antecedent").alias("key")).join(often, "key")
         .groupBy("antecedent", "verdict").agg(F.min_by("key", F.struct("freq", "key")).alias("key"))

@@ -55,3 +55,12 @@ def test_mined_rules_match_by_brute_force(spark):
         fit = [x for x in found if set(x.antecedent) <= set(r.tokens)]
         assert (r.url in got) == bool(fit)
     assert got["http://x.spam1.net/de/7"] == "block" and got["http://q.net/fr/"] == "allow"
+
+
+def test_long_urls_are_mined(spark):
+    """URLs of 40 tokens that always stand together are one item, not 2**40."""
+    long = "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    seen = [(f"http://w.{'spam' if k % 2 else 'good'}.com/{long}/{'de' if k % 2 else 'fr'}", "block" if k % 2 else "allow") for k in range(40)]
+    labelled = spark.createDataFrame(seen, "url string, verdict string").withColumn("tokens", urls.tokens_of(F.col("url")))
+    found = {(tuple(r.antecedent), r.verdict) for r in urls.mine(labelled).collect()}
+    assert found == {(("h:spam",), "block"), (("p:de",), "block"), (("h:good",), "allow"), (("p:fr",), "allow")}
