@@ -46,6 +46,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Units up to this length are folded; boundaries are the bits of one long.
 LONGEST = 61
+#: Partitions of units for each usual one: a unit has some 25 edges, which a task sorts
+#: together, so that a partition of units is much more than it looks.
+FINER = 8
 #: Rows of a file that share one file of unit encodings.
 ROWS = 8192
 
@@ -296,7 +299,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     rows = located(docs)
     pieces = spark.createDataFrame([(p, i, r, p in odd) for i, p, r in ordinary] + [("", -1, -1, False)], "piece string, id int, rank int, odd boolean")
     # Both uses of what is dealt out need both columns, so that it is dealt out once.
-    dealt = stored(units_of_blocks(rows, ordinary), "units").repartition("unit")
+    parts = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(units_of_blocks(rows, ordinary), "units").repartition(parts, "unit")
     distinct = dealt.groupBy("unit").agg(F.count("block").alias("blocks")).where("blocks > 0").select("unit")
     coded = lattice(distinct, pieces, max(len(p) for _, p, _ in ordinary)).select("unit", fold(byte_ids).alias("ids"))
     path = work_dir(spark, "encodings")
