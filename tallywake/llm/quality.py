@@ -11,7 +11,9 @@ is done twice: for quality proper and for civility (insults). A document is kept
 if both scores say so.
 
 The sample is the ``SAMPLE`` documents (with labels: reviewed documents) with the
-smallest hash of doc_id; that is the only bound, and all else covers all texts.
+smallest hash of doc_id, as far as their features have ``SAMPLE_BYTES`` together
+(whole texts; a long one is at most 128 KB); that is the only bound, and all else
+covers all texts.
 
 Defined results: texts without words (null, empty, blank) get no votes, scores 0
 and are not kept. Repeated rows are judged alike; null doc_ids are judged as well.
@@ -22,13 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Bound on the rows that the scorer is fitted on.
-SAMPLE = 8000
+#: Bounds on the rows that the scorer is fitted on, and on their features' bytes.
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
 #: Hashed features, after the surface features.
 WIDTH = 1 << 16
 SURFACE = 13
@@ -185,6 +187,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
     chosen = chosen.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most SAMPLE ids, so the join below is a broadcast of proven size.
     some = rows.where("length(words) > 0").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).join(review, "doc_id", "left")
+    # One task numbers SAMPLE rows at most.
+    some = some.withColumn("_bytes", F.sum(F.length("words") + F.length("surface")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_bytes") <= SAMPLE_BYTES)
     some = some.selectExpr("concat(quality, coalesce(rq, '0')) as quality", "concat(civility, coalesce(rc, '0')) as civility", "surface", "words").collect()
     reviewed = cut(votes.join(review, "doc_id", "left").selectExpr("concat(quality, coalesce(rq, '0')) as quality", "concat(civility, coalesce(rc, '0')) as civility").groupBy("quality", "civility").count())
     weights, models = {}, {}

@@ -279,7 +279,9 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each component, the document with the smallest doc_id."""
+    """Pipeline: of each component, the document with the smallest doc_id. Rows that
+    share that doc_id stay together, also if their texts are of other components; a
+    component without any doc_id keeps all its rows."""
     found = similar_documents(docs)
     keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__d")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__d"]), "left_semi").select(*docs.columns)
