@@ -22,6 +22,10 @@ Empty tables give no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import operator
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,6 +47,8 @@ STOP = frozenset(
 )
 #: Insults.
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers trash scum pathetic disgusting worthless clown clowns dumb imbecile jerk bastard filth vermin".split())
+#: Bytes that count as symbols, like ! # $ %.
+SYMBOLS = [33, 35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 92, 94, 95, 124, 126]
 QUALITY = ("symbols", "capitals", "variety", "marks", "function words", "word length", "top word", "repeats", "nothing odd")
 CIVILITY = ("any insult", "several insults")
 
@@ -51,27 +57,50 @@ def vote(good: bool, bad: bool) -> str:
     return "-" if bad else "+" if good else "0"
 
 
+def known(word: str) -> tuple[int, str, tuple[int, int]]:
+    """What is asked of a word, once: 1 for a lone mark, 2 for a function word, 4 for
+    an insult, added up; the insult; the features of the word and of its beginning."""
+    crc = zlib.crc32
+    if word.isalpha():  # no marks to cut off
+        kind, insult, bare = 2 * (word in STOP) + 4 * (word in INSULTS), word, word
+    else:
+        insult = word.strip(".,;:!?\"'()[]*#$%&")
+        kind = (len(word) == 1 and not word.isalnum()) + 2 * (word.strip(".,;:!?") in STOP) + 4 * (insult in INSULTS)
+        bare = word.strip(".,;:!?#$%&*")
+    return kind, insult, (crc(bare.encode("utf-8", "surrogatepass")) & (WIDTH - 1), crc(("^" + bare[:4]).encode("utf-8", "surrogatepass")) & (WIDTH - 1))
+
+
 def look(text: str, memo: dict) -> tuple[str, str, np.ndarray, np.ndarray]:
     """A text's votes on quality and civility, surface features, hashed words."""
     words = text.lower().split()
     n = len(words)
     if not n:
         return "0" * len(QUALITY), "0" * len(CIVILITY), np.zeros(SURFACE, np.float32), np.empty(0, np.uint16)
-    count: dict[str, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
+    count = Counter(words)
+    if len(memo) > 200_000:
+        memo.clear()
+    marks = stop = insults = 0
+    rude, hashed = set(), []
+    for w, c in count.items():
+        k = memo.get(w)
+        if k is None:
+            k = memo[w] = known(w)
+        if k[0]:
+            marks += c * (k[0] & 1)
+            stop += c * (k[0] >> 1 & 1)
+            if k[0] & 4:
+                insults += c
+                rude.add(k[1])
+        hashed += k[2]
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     upper, lower = raw[65:91].sum(), raw[97:123].sum()
-    symbols = raw[[33, 35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 92, 94, 95, 124, 126]].sum() / n
+    symbols = raw[SYMBOLS].sum() / n
     capitals = upper / max(1, upper + lower)
     variety, top = len(count) / n, max(count.values()) / n
-    marks = sum(c for w, c in count.items() if len(w) == 1 and not w.isalnum()) / n
-    stop = sum(c for w, c in count.items() if w.strip(".,;:!?") in STOP) / n
+    marks, stop, density, different = marks / n, stop / n, insults / n, len(rude)
     length = sum(map(len, words)) / n
-    rude = {w: c for w, c in count.items() if w.strip(".,;:!?\"'()[]*#$%&") in INSULTS}
-    density, different = sum(rude.values()) / n, len({w.strip(".,;:!?\"'()[]*#$%&") for w in rude})
     long = n >= 20
-    repeats = sum(a == b for a, b in zip(words, words[1:])) / n
+    repeats = sum(map(operator.eq, words, words[1:])) / n
     # Each kind of junk has a labeller of its own, which is silent elsewhere.
     first = (
         vote(False, symbols > 0.2) + vote(False, capitals > 0.4) + vote(False, n >= 8 and variety < 0.1) + vote(False, marks > 0.1)
@@ -80,17 +109,6 @@ def look(text: str, memo: dict) -> tuple[str, str, np.ndarray, np.ndarray]:
     )
     second = vote(False, different > 0) + vote(False, different > 1)
     surface = np.array([1, min(symbols, 2), capitals, variety, min(marks * 3, 2), stop * 3, min(length / 8, 2), top, min(different, 3), min(density * 100, 3), different > 0, min(np.log10(n), 5) / 5, repeats], np.float32)
-    import zlib
-
-    hashed = []
-    for w in count:
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            bare = w.strip(".,;:!?#$%&*")
-            h = memo[w] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (WIDTH - 1) for x in (bare, "^" + bare[:4])]
-        hashed += h
     return first, second, surface, np.unique(np.array(hashed, np.uint16))
 
 
