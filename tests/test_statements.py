@@ -72,3 +72,43 @@ def test_layouts(name):
     for text in ("\n".join([head, *rows]), "My bank\n\n" + "\n".join([head, *rows, *rows])):
         m = S.infer(S.tokenize(text))
         assert m is not None and {k: getattr(m, k) for k in want} == want
+
+
+def statement(head, *rows):
+    return "\n".join([head, *rows] if head else rows)
+
+
+RUNNING = ["2025-03-01,rent,-100.00,900.00", "2025-03-02,wages,500.00,1400.00", "2025-03-03,bread,-20.00,1380.00", "2025-03-04,books,-80.00,1300.00", "2025-03-05,train,-50.00,1250.00"]
+SHAPES = {
+    "signed amounts": (statement("Day,What,Sum", "2025-03-01,rent,-100.00", "2025-03-02,wages,500.00"), dict(header_row=0, first_row=1, amount_column=2, uncertain=["AMOUNT_SIGN"])),
+    "pair, header": (statement("Day,What,Withdrawal Amt,Deposit Amt", "2025-03-01,rent,100.00,", "2025-03-02,wages,,500.00"), dict(debit_column=2, credit_column=3, uncertain=[])),
+    "pair, no header": (statement("", "2025-03-01,rent,100.00,", "2025-03-02,wages,,500.00"), dict(header_row=None, first_row=0, debit_column=2, credit_column=3, uncertain=["AMOUNT_COLUMNS"])),
+    "no header": (statement("", "2025-03-01,rent,-100.00", "2025-03-02,wages,500.00"), dict(header_row=None, first_row=0)),
+    "lines before": (statement("Holder: me\nMarch\n\nDay,What,Sum", "2025-03-01,rent,-100.00", "2025-03-02,wages,500.00", "2025-03-03,bread,-20.00"), dict(header_row=3, first_row=4)),
+    "balance last": (statement("Day,What,Sum,Left", *RUNNING), dict(amount_column=2, amount_sign="NEGATIVE_IS_DEBIT", unmapped=[3], uncertain=[])),
+    "balance with a gap": (statement("Day,What,Sum,Left", *RUNNING[:3], "2025-03-04,odd,-80.00,7000.00", "2025-03-05,train,-50.00,6950.00", "2025-03-06,milk,-5.00,6945.00"), dict(amount_column=2, unmapped=[3])),
+    "balance blank at first": (statement("Day,What,Sum,Left", "2025-02-27,tea,-3.00,", "2025-02-28,tea,-3.00,", *RUNNING), dict(amount_column=2, unmapped=[3])),
+    "two amounts without a role": (statement("Day,What,Fee,Sum", "2025-03-01,rent,2.00,-100.00", "2025-03-02,wages,3.00,500.00", "2025-03-03,bread,1.00,-20.00"), dict(amount_column=2, uncertain=["AMOUNT_COLUMNS", "AMOUNT_SIGN"])),
+    "pair and balance": (statement("Day,What,Withdrawal,Deposit,Left", "2025-03-01,rent,100.00,,900.00", "2025-03-02,wages,,500.00,1400.00", "2025-03-03,bread,20.00,,1380.00"), dict(uncertain=["AMOUNT_COLUMNS", "AMOUNT_SIGN"])),
+    "other ways to write amounts": (statement("Day,What,Sum", '2025-03-01,rent,"-1.100,50"', '2025-03-02,wages,"5,00,000.25"'), dict(amount_column=2)),
+    "either order": (statement("Day,What,Sum", "03/04/2025,rent,-100.00", "05/06/2025,wages,500.00"), dict(date_format="AMBIGUOUS", uncertain=["AMOUNT_SIGN", "DATE_FORMAT"])),
+    "day first": (statement("Day,What,Sum", "23/04/2025,rent,-100.00", "05/06/2025,wages,500.00"), dict(date_format="dd/MM/yyyy", uncertain=["AMOUNT_SIGN"])),
+    "month first": (statement("Day,What,Sum", "04/23/2025,rent,-100.00", "05/06/2025,wages,500.00"), dict(date_format="MM/dd/yyyy", uncertain=["AMOUNT_SIGN"])),
+    "named month": (statement("Day,What,Sum", "23-Apr-2025,rent,-100.00", "05-Jun-2025,wages,500.00"), dict(date_format="dd-MMM-yyyy")),
+    "orders that contradict": (statement("Day,What,Sum", "23/04/2025,rent,-100.00", "04/23/2025,wages,500.00"), dict(date_format="AMBIGUOUS", uncertain=["AMOUNT_SIGN", "DATE_FORMAT"])),
+    "too few columns": (statement("Day,Sum", "2025-03-01,-100.00"), None),
+    "prose": ("Nothing of a bank.\nOnly words.\nAnd more of them.", None),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_shapes(name):
+    text, want = SHAPES[name]
+    m = S.infer(S.tokenize(text))
+    assert (m is None) if want is None else {k: getattr(m, k) for k in want} == want
+
+
+def test_amounts_of_other_countries():
+    rows = S.tokenize(SHAPES["other ways to write amounts"][0])
+    m = S.infer(rows)
+    assert [S.map_row(r, m)[2] for r in rows[1:]] == [-110050, 50000025]
