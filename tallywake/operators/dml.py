@@ -137,18 +137,6 @@ def acknowledge(conflicts: DataFrame, hit: Column, now: int) -> DataFrame:
     return set_where(conflicts, hit & F.col("acknowledged_at").isNull(), {"acknowledged_at": F.lit(now).cast("bigint")})
 
 
-def restore_outcome(conflicts: DataFrame, tx: DataFrame, field: str) -> DataFrame:
-    """What restoring each conflict on a text field of transactions would do:
-    RESTORED, ROW_GONE or VALUE_CHANGED_SINCE, and the value after it."""
-    row = tx.select(F.col("id").alias("_i"), F.col(field).alias("_now"), F.col("deleted_at").alias("_gone"))
-    value = lambda c: F.when(F.col(c) != "null", F.regexp_extract(c, r'^"(.*)"$', 1))
-    out = conflicts.where(F.col("field") == field).join(row, F.col("row_id") == F.col("_i"), "left")
-    outcome = (
-        F.when(F.col("_i").isNull() | F.col("_gone").isNotNull(), "ROW_GONE").when(F.col("_now").eqNullSafe(value("chosen_value")), "RESTORED").otherwise("VALUE_CHANGED_SINCE")
-    )
-    return out.select("id", "row_id", outcome.alias("outcome"), F.when(outcome == "RESTORED", value("discarded_value")).otherwise(F.col("_now")).alias("value_after"))
-
-
 def claimants(budgets: DataFrame) -> DataFrame:
     """One budget for each category and month: a live one first, then the newest."""
     w = Window.partitionBy("category_id", "year_month").orderBy(F.col("deleted_at").isNotNull(), F.desc(F.coalesce("deleted_at", "updated_at")), "id")

@@ -178,3 +178,18 @@ def _reaped(L):
     for f in frames[1:]:
         frames[0] = frames[0].unionByName(f)
     return frames[0]
+
+
+RESTORED = "SELECT c.*, t.local_revision, CASE c.field WHEN 'category_id' THEN t.category_id ELSE t.notes END AS now, t.deleted_at IS NOT NULL AS gone FROM conflicts c JOIN tx t ON t.id = c.row_id"
+OUTCOME = f"SELECT *, CASE WHEN gone THEN 'ROW_GONE' WHEN '\"' || now || '\"' = chosen_value THEN 'RESTORED' ELSE 'VALUE_CHANGED_SINCE' END AS outcome FROM ({RESTORED})"
+query("conflict_restore", f"""SELECT id, row_id, outcome, CASE WHEN outcome = 'RESTORED' THEN (CASE WHEN discarded_value <> 'null' THEN 'gone' END) ELSE now END AS value_after,
+ CASE WHEN outcome = 'RESTORED' THEN coalesce(acknowledged_at, {NOW}) ELSE acknowledged_at END AS acknowledged_at, local_revision + (outcome = 'RESTORED')::INT AS local_revision FROM ({OUTCOME})
+ UNION ALL SELECT 'none', NULL, 'NOT_FOUND', NULL, NULL, NULL""")(lambda L: _restored(L))
+
+
+def _restored(L):
+    none = L.tx.sparkSession.createDataFrame([("none",)], "id string")
+    out, outcomes = sync.restored(state(L), L.conflicts.select("id").unionByName(none), NOW)
+    rows = out.tables["transactions"].select(F.col("id").alias("row_id"), "category_id", "notes", "local_revision")
+    after = out.conflicts.join(rows, "row_id").select("id", "row_id", F.when(F.col("field") == "notes", F.col("notes")).otherwise(F.col("category_id")).alias("value_after"), "acknowledged_at", "local_revision")
+    return outcomes.join(after, "id", "left").select("id", "row_id", "outcome", "value_after", "acknowledged_at", "local_revision")

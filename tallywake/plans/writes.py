@@ -98,10 +98,6 @@ def conflict_record(L):
 
 
 query("conflict_acknowledge", f"SELECT id, coalesce(acknowledged_at, {NOW}) AS acknowledged_at FROM conflicts")(lambda L: dml.acknowledge(L.conflicts, F.lit(True), NOW).select("id", "acknowledged_at"))
-query("conflict_restore", """SELECT c.id, c.row_id, CASE WHEN t.deleted_at IS NOT NULL THEN 'ROW_GONE' WHEN t.category_id = 'HOUSEHOLD' THEN 'RESTORED' ELSE 'VALUE_CHANGED_SINCE' END AS outcome,
- CASE WHEN t.deleted_at IS NULL AND t.category_id = 'HOUSEHOLD' THEN (CASE WHEN discarded_value <> 'null' THEN 'gone' END) ELSE t.category_id END AS value_after FROM conflicts c JOIN tx t ON t.id = c.row_id WHERE field = 'category_id'""")(
-    lambda L: dml.restore_outcome(L.conflicts, L.tx, "category_id")
-)
 query("conflict_purge", "SELECT id FROM conflicts WHERE acknowledged_at IS NULL OR acknowledged_at >= 1000000")(lambda L: L.conflicts.where("acknowledged_at is null or acknowledged_at >= 1000000").select("id"))
 query("conflict_forget_row", "SELECT id FROM conflicts WHERE NOT (table_name = 'transactions' AND row_id = '27')")(lambda L: L.conflicts.where("not (table_name = 'transactions' and row_id = '27')").select("id"))
 query("shadow_forget", "SELECT row_id FROM shadow WHERE NOT (table_name = 'transactions' AND row_id = '4')")(lambda L: L.shadow.where("not (table_name = 'transactions' and row_id = '4')").select("row_id"))

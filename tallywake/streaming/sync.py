@@ -263,3 +263,38 @@ def cycle(state: State, log: DataFrame, snapshot: DataFrame | None, horizon: Dat
     state = pull(state, log, device, now)
     sent = cut(batch(state, device, seq))
     return reaped(acknowledged(state, sent), cutoff), sent
+
+
+def restored(state: State, ids: DataFrame, now: int) -> tuple[State, DataFrame]:
+    """The state after the discarded values of the conflicts ``ids(id)`` are put back,
+    and id, outcome: RESTORED, ROW_GONE, VALUE_CHANGED_SINCE (the field is not what
+    the conflict chose any more) or NOT_FOUND. What is restored is acknowledged."""
+    asked = state.conflicts.join(ids.select("id").distinct(), "id", "left_semi")
+    parts = []
+    for t in TABLES:
+        current = F.create_map(*(x for f in SYNCED[t] for x in (F.lit(f), json_text(F.col(f)))))
+        rows = state.tables[t].select(F.col("id").alias("_id"), F.col("deleted_at").isNotNull().alias("_gone"), current.alias("_now"))
+        mine = asked.where(F.col("table_name") == t).join(rows, F.col("row_id") == F.col("_id"), "left")
+        outcome = F.when(F.col("_id").isNull() | F.col("_gone"), "ROW_GONE").when(F.try_element_at("_now", "field") == F.col("chosen_value"), "RESTORED").otherwise("VALUE_CHANGED_SINCE")
+        parts.append(mine.select("id", "table_name", "row_id", "field", "discarded_value", outcome.alias("outcome")))
+    done = cut(reduce(DataFrame.unionByName, parts))
+    tables = dict(state.tables)
+    for t in TABLES:
+        # A row has one conflict for each field at most, so the list is short.
+        values = F.map_from_entries(F.collect_list(F.struct("field", "discarded_value")))
+        mine = done.where((F.col("table_name") == t) & (F.col("outcome") == "RESTORED")).groupBy(F.col("row_id").alias("_id")).agg(values.alias("_old"))
+        rows = tables[t].join(mine, F.col("id") == F.col("_id"), "left")
+        hit = F.col("_id").isNotNull()
+        typed = lambda f: F.from_json(F.concat(F.lit('{"v":'), F.try_element_at("_old", F.lit(f)), F.lit("}")), f"v {TYPES.get(f, 'string')}")["v"]
+        change = {f: F.when(hit & F.map_contains_key("_old", F.lit(f)), typed(f)).otherwise(F.col(f)) for f in SYNCED[t]}
+        change |= {"updated_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")), "local_revision": F.when(hit, F.col("local_revision") + F.size("_old")).otherwise(F.col("local_revision"))}
+        change["pending_operation"] = F.when(hit, "UPSERT").otherwise(F.col("pending_operation"))
+        rows = rows.withColumns(change).select(*state.tables[t].columns)
+        if "content_hash" in rows.columns:
+            rows = rows.withColumn("content_hash", identity.content_hash(F.col("account_id"), F.col("date"), F.col("amount_minor"), F.col("description")))
+        tables[t] = rows
+    back = done.where("outcome = 'RESTORED'").select(F.col("id").alias("_c"))
+    seen = state.conflicts.join(back, F.col("id") == F.col("_c"), "left")
+    conflicts = seen.withColumn("acknowledged_at", F.when(F.col("_c").isNotNull(), F.coalesce("acknowledged_at", F.lit(now).cast("bigint"))).otherwise(F.col("acknowledged_at"))).select(*state.conflicts.columns)
+    missing = ids.select("id").distinct().join(state.conflicts.select("id"), "id", "left_anti").select("id", F.lit("NOT_FOUND").alias("outcome"))
+    return replace(state, tables=tables, conflicts=conflicts), done.select("id", "outcome").unionByName(missing)
