@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..ledger import NOW_MS as NOW
-from ..operators import dml, imports
+from ..operators import dml, imports, migrations
 from .registry import query
 
 
@@ -130,8 +130,43 @@ def _dedupe(L):
 query("quota_match", BUCKETS)(lambda L: _dedupe(L).select("row_index", "bucket"))
 query("quota_rank", BUCKETS)(lambda L: _dedupe(L).select("row_index", "bucket"))
 query("import_dedupe", f"SELECT bucket, count(*) AS n FROM ({BUCKETS}) GROUP BY 1")(lambda L: imports.counters(_dedupe(L)))
-for _k, _add in (("1_2", "import_batch_id"), ("3_4", "local_revision"), ("6_7", "updated_at")):
-    query(f"migration_{_k}", f"SELECT id, {'CAST(NULL AS VARCHAR)' if _k == '1_2' else 'CAST(1 AS BIGINT)' if _k == '3_4' else 'CAST(0 AS BIGINT)'} AS {_add} FROM {'tx' if _k == '1_2' else 'categories'}")(
-        lambda L, k=_k, a=_add: (L.tx if k == "1_2" else L.categories).drop(a).select("id", {"1_2": F.lit(None).cast("string"), "3_4": F.lit(1).cast("bigint"), "6_7": F.lit(0).cast("bigint")}[k].alias(a))
-    )
-query("migration_4_5", f"SELECT n, id AS new_id FROM tx WHERE source <> 'CSV_IMPORT' UNION ALL SELECT n, 'h1:' || content_hash || '#' || ({RN} - 1) FROM tx WHERE source = 'CSV_IMPORT'")(lambda L: dml.rekey_transactions(L.tx).select(number().alias("n"), "new_id"))
+
+
+# Migrations, each of tables as the version before has them
+
+query("migration_1_2", "SELECT id, CAST(NULL AS VARCHAR) AS import_batch_id FROM tx")(lambda L: migrations.step_1_2({"transactions": L.tx.drop("import_batch_id")})["transactions"].select("id", "import_batch_id"))
+query("migration_3_4", "SELECT id, CAST(1 AS BIGINT) AS local_revision, CAST(NULL AS BIGINT) AS remote_revision, CAST(NULL AS VARCHAR) AS pending_operation, CAST(NULL AS BIGINT) AS deleted_at FROM categories")(
+    lambda L: migrations.step_3_4({"categories": L.categories.drop(*REVISED)})["categories"].select("id", *REVISED)
+)
+REVISED = ("local_revision", "remote_revision", "pending_operation", "deleted_at")
+query("migration_6_7", "SELECT id, CAST(0 AS BIGINT) AS updated_at FROM categories")(lambda L: migrations.step_6_7({"categories": L.categories.drop("updated_at")})["categories"].select("id", "updated_at"))
+
+
+def _columns(tables, names):
+    """table_name, column_name and the number of rows of new tables."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(n, c, tables[n].count()) for n in names for c in tables[n].columns], "table_name string, column_name string, n_rows long")
+
+
+REVISIONS = "'created_at', 'updated_at', 'local_revision', 'remote_revision', 'pending_operation', 'deleted_at'"
+query("migration_2_3", f"""SELECT 'category_rules' AS table_name, unnest(['id', 'category_id', 'merchant_contains', 'priority', {REVISIONS}]) AS column_name, 0 AS n_rows
+ UNION ALL SELECT 'budgets', unnest(['id', 'category_id', 'year_month', 'limit_minor', 'currency_code', {REVISIONS}]), 0""")(
+    lambda L: _columns(migrations.step_2_3({"transactions": L.tx}), ("category_rules", "budgets"))
+)
+query("migration_5_6", """SELECT 'sync_shadow' AS table_name, unnest(['table_name', 'row_id', 'remote_revision', 'payload']) AS column_name, 0 AS n_rows
+ UNION ALL SELECT 'sync_conflicts', unnest(['id', 'table_name', 'row_id', 'field', 'resolved_at', 'chosen_value', 'discarded_value', 'reason', 'acknowledged_at']), 0""")(
+    lambda L: _columns(migrations.step_5_6({"transactions": L.tx}), ("sync_shadow", "sync_conflicts"))
+)
+
+
+def _rekeyed(L):
+    """Transactions with stale hashes, and budgets with ids of their own, each twice."""
+    one = L.budgets.withColumn("id", F.concat(F.lit("a-"), "id"))
+    two = L.budgets.withColumns({"id": F.concat(F.lit("b-"), "id"), "updated_at": F.col("updated_at") + 1})
+    out = migrations.step_4_5({"transactions": L.tx.withColumn("content_hash", F.lit("stale")), "budgets": one.unionByName(two)})
+    return out["transactions"].select("id", "content_hash").unionByName(out["budgets"].select("id", F.lit(None).cast("string").alias("content_hash")))
+
+
+query("migration_4_5", f"""SELECT id, content_hash FROM tx WHERE source <> 'CSV_IMPORT' UNION ALL SELECT 'h1:' || content_hash || '#' || (row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) - 1), content_hash FROM tx WHERE source = 'CSV_IMPORT'
+ UNION ALL SELECT CASE WHEN row_number() OVER (PARTITION BY category_id, year_month ORDER BY gone, made DESC, i) = 1 THEN key ELSE i END, NULL FROM (
+ SELECT p || id AS i, id AS key, category_id, year_month, deleted_at IS NOT NULL AS gone, coalesce(deleted_at, updated_at + d) AS made FROM budgets, (VALUES ('a-', 0), ('b-', 1)) v(p, d))""")(_rekeyed)
