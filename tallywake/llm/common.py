@@ -17,16 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is read from the session. Only where it is unset, as in tests on one
-    machine, is a temporary folder made and set.
+    It is read from the session. Only on one machine, as in tests, is a temporary
+    folder made and set where it is unset; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path and held.isDefined():
+        path = held.get()
     if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else ""
-    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tallywake-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -72,6 +75,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(rounds):
         # Large star: every larger neighbour is hung on the smallest neighbour.
