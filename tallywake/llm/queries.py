@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embedding, licenses, lines, lm, pieces, quality, simhash, urls, warc
+from . import centroids, decontam, embedding, licenses, lines, lm, merkle, pieces, quality, rules, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,8 +15,13 @@ QUERIES = {
     "op9_lines": lines.op9_lines,
     "op10_pieces": pieces.op10_pieces,
     "op8_lm": lm.op8_lm,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_rules": rules.op13_rules,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL1,
     "op5_licenses": licenses.SQL5,
+    "op11_merkle": merkle.SQL11,
+    "op12_centroids": centroids.SQL12,
 }
