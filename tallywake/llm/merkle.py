@@ -32,6 +32,8 @@ from .common import stored, table
 
 #: Nodes of a run.
 ARITY = 2
+#: Groups that are broadcast at most, with their paths some megabytes.
+LISTED = 10_000
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -141,7 +143,9 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     groups = groups.join(root.withColumnRenamed("gid", "_r"), F.col("gid") == F.col("_r")).select(
         F.col("g"), F.col("idx").alias("g_idx"), F.col("digest").alias("subroot"), F.col("path").alias("group_path"), F.col("top").alias("root")
     )
-    rows = rows.join(groups, F.col("gid") == F.col("g"))
+    # Beyond that a shuffle by group, whose large partitions Spark splits.
+    few = subroots.limit(LISTED + 1).count() <= LISTED
+    rows = rows.join(F.broadcast(groups) if few else groups, F.col("gid") == F.col("g"))
     siblings = F.filter(F.concat("path", "group_path"), lambda x: x.isNotNull())
     to_subroot = folded(F.coalesce("seen", "digest"), F.col("idx"), F.col("path"))
     rows = rows.withColumns({"proof_sha256": F.sha2(F.array_join(F.transform(siblings, shown), ""), 256), "_sub": to_subroot})

@@ -78,8 +78,11 @@ def test_manifest_against_brute_force(spark, sizes):
     assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=str) == brute(rows, lambda r: r[0] is not None and r[0] % 2 == 1)
 
 
-def test_manifest_of_one_large_group_and_of_nothing(spark):
-    """A group that is spread over partitions, with gaps between keys; a very long text."""
+@pytest.mark.parametrize("listed", [merkle.LISTED, 1])
+def test_manifest_of_one_large_group_and_of_nothing(spark, monkeypatch, listed):
+    """A group that is spread over partitions, with gaps between keys; a very long text;
+    with groups that are broadcast and others."""
+    monkeypatch.setattr(merkle, "LISTED", listed)
     rows = [(k * k, "s", "en" if k % 50 else "fr", k, "w") for k in range(700)] + [(5, "s", "en", 1, "long " * 100_000)]
     got = merkle.manifest(made(spark, rows).repartition(7)).collect()
     assert sorted(((r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in got), key=str) == brute(rows, lambda r: False)
