@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,19 @@ from .text import strip
 DECIMAL_PLACES = {"JPY": 0, "KRW": 0, "VND": 0, "CLP": 0, "KWD": 3, "BHD": 3, "OMR": 3, "JOD": 3, "TND": 3}
 
 
+@functools.cache
+def other_digits() -> list[str]:
+    """The decimal digits that are not ASCII."""
+    return [chr(k) for k in range(128, 1 << 16) if chr(k).isdecimal()]
+
+
+def plain(c: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    every = other_digits()
+    other = F.translate(c, "".join(every), "".join(str(int(x)) for x in every))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), other).otherwise(c)
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{Nd}]", "")
 
@@ -27,7 +42,7 @@ def parse(raw: Column, places: int = 2) -> Column:
     wrapped = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
     bare = F.when(wrapped, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     negative = (text.startswith("(") & text.endswith(")")) | bare.startswith("-")
-    kept = F.regexp_replace(bare, r"[^\p{Nd}.,]", "")
+    kept = plain(F.regexp_replace(bare, r"[^\p{Nd}.,]", ""))
     separated = kept.rlike("[.,]")
     whole = digits(F.when(separated, F.regexp_extract(kept, r"^(.*)[.,][^.,]*$", 1)).otherwise(kept))
     fraction = F.when(separated, F.regexp_extract(kept, r"[.,]([^.,]*)$", 1)).otherwise(F.lit(""))

@@ -1,7 +1,9 @@
 """The ledger: its tables, and how the given star schema is read as one.
 
-Transactions come from orders and customers, budgets and rules from small lists,
-the operation log from events. ``CTES`` says the same in SQL for the oracle.
+Transactions come from orders and customers, the operation log from events. There
+are a few categories, rules and budgets that all share, and besides a category and a
+budget of every customer's own and a rule for every part. ``CTES`` says the same in
+SQL for the oracle.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ CUTOFF_MS = NOW_MS - 90 * 86400000
 
 @dataclass
 class Ledger:
-    """The six tables and the operation log, as frames."""
+    """The six tables, the operation log, and given tables as they are, as frames."""
 
     tx: DataFrame
     categories: DataFrame
@@ -51,6 +53,9 @@ class Ledger:
     shadow: DataFrame
     conflicts: DataFrame
     ops: DataFrame
+    customers: DataFrame
+    parts: DataFrame
+    events: DataFrame
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").cast("string").alias("date"),
         F.concat(F.lit(" "), F.lower(F.col("o_orderpriority")), F.lit(" order ")).alias("description"),
         when(4, F.concat(F.lit("The Shop "), (u % 50).cast("string"))).alias("merchant"),
-        when(7, null.cast("string"), F.col("c_mktsegment"), u).alias("category_id"),
+        F.when(u % 7 == 1, F.concat(F.lit("own-"), u.cast("string"))).when(u % 7 != 0, F.col("c_mktsegment")).alias("category_id"),
         F.concat(F.lit("acct-"), (u % 20).cast("string")).alias("account_id"),
         when(3, F.lit("MANUAL"), F.lit("CSV_IMPORT")).alias("source"),
         when(8, F.concat(F.lit("note "), (k % 5).cast("string"))).alias("notes"),
@@ -93,22 +98,34 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str) -> Ledger:
     tx = transactions(spark, sf_dir)
+    customers, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "part"))
+    u, k = F.col("c_custkey"), F.col("p_partkey")
+    own = F.concat(F.lit("own-"), u.cast("string"))
     categories = spark.createDataFrame(CATEGORIES, "id string, name string, is_system_defined boolean, deleted_at bigint")
+    categories = categories.unionByName(customers.select(own.alias("id"), F.col("c_name").alias("name"), F.lit(False).alias("is_system_defined"), F.when(u % 13 == 0, F.lit(1690000000000) + u).alias("deleted_at")))
     categories = categories.select(
         "id", "name", F.lit(None).cast("string").alias("parent_id"), F.length("name").alias("color_argb"), F.lower("id").alias("icon_key"), "is_system_defined",
         F.lit(0).cast("bigint").alias("updated_at"), F.lit(2).cast("bigint").alias("local_revision"), F.lit(1).cast("bigint").alias("remote_revision"),
         F.when(F.col("deleted_at").isNotNull(), "DELETE").alias("pending_operation"), "deleted_at",
     )
-    rules = spark.createDataFrame(RULES, "id string, category_id string, merchant_contains string, priority int, deleted_at bigint").select(
+    rules = spark.createDataFrame(RULES, "id string, category_id string, merchant_contains string, priority int, deleted_at bigint")
+    needle = F.when(k % 4 == 0, F.concat(F.lit("shop "), (k % 60).cast("string"))).otherwise(F.concat(F.upper("p_name"), F.lit(" "), k.cast("string")))
+    rules = rules.unionByName(parts.select(
+        F.concat(F.lit("p"), k.cast("string")).alias("id"), F.get(F.array(*map(F.lit, BUDGETED)), (k % 4).cast("int")).alias("category_id"), needle.alias("merchant_contains"),
+        (k % 50 + 4).cast("int").alias("priority"), F.when(k % 17 == 0, F.lit(1700000000000)).alias("deleted_at"),
+    )).select(
         "id", "category_id", "merchant_contains", "priority", F.lit(0).cast("bigint").alias("created_at"), F.lit(0).cast("bigint").alias("updated_at"),
         F.lit(1).cast("bigint").alias("local_revision"), F.lit(None).cast("bigint").alias("remote_revision"), F.lit("UPSERT").alias("pending_operation"), "deleted_at",
     )
-    budgets = spark.createDataFrame([(c, m, i, j) for i, c in enumerate(BUDGETED) for j, m in enumerate(MONTHS)], "category_id string, year_month string, i int, j int").select(
-        budget_id(F.col("category_id"), F.col("year_month")).alias("id"), "category_id", "year_month",
-        ((F.col("j") % 4) * 300000000 + F.col("i") * 100000000).cast("bigint").alias("limit_minor"), F.lit("INR").alias("currency_code"),
-        F.lit(0).cast("bigint").alias("created_at"), (F.col("j") * 1000).cast("bigint").alias("updated_at"), F.lit(1).cast("bigint").alias("local_revision"),
-        F.lit(None).cast("bigint").alias("remote_revision"), F.lit("UPSERT").alias("pending_operation"),
-        F.when((F.col("i") + F.col("j")) % 9 == 8, F.lit(1600000000000)).cast("bigint").alias("deleted_at"),
+    budgets = spark.createDataFrame([(c, m, i, j) for i, c in enumerate(BUDGETED) for j, m in enumerate(MONTHS)], "category_id string, year_month string, i bigint, j bigint").select(
+        "category_id", "year_month", ((F.col("j") % 4) * 300000000 + F.col("i") * 100000000).alias("limit_minor"), (F.col("j") * 1000).alias("updated_at"), ((F.col("i") + F.col("j")) % 9 == 8).alias("gone")
+    )
+    month = F.concat(F.lit("1996-"), F.lpad((u % 12 + 1).cast("string"), 2, "0"))
+    limit = F.abs(F.round(F.col("c_acctbal") * 100).cast("bigint"))
+    budgets = budgets.unionByName(customers.select(own.alias("category_id"), month.alias("year_month"), limit.alias("limit_minor"), u.cast("bigint").alias("updated_at"), (u % 9 == 8).alias("gone"))).select(
+        budget_id(F.col("category_id"), F.col("year_month")).alias("id"), "category_id", "year_month", "limit_minor", F.lit("INR").alias("currency_code"),
+        F.lit(0).cast("bigint").alias("created_at"), "updated_at", F.lit(1).cast("bigint").alias("local_revision"),
+        F.lit(None).cast("bigint").alias("remote_revision"), F.lit("UPSERT").alias("pending_operation"), F.when(F.col("gone"), F.lit(1600000000000)).alias("deleted_at"),
     )
     n = F.col("id").cast("bigint")
     shadow = tx.where(n % 2 == 0).select(
@@ -121,14 +138,15 @@ def load(spark: SparkSession, sf_dir: str) -> Ledger:
         F.when(n % 2 == 0, F.lit('"HOUSEHOLD"')).otherwise(F.lit('"note 1"')).alias("chosen_value"), F.when(n % 4 == 0, F.lit('"gone"')).otherwise(F.lit("null")).alias("discarded_value"),
         F.lit("both devices changed this field; kept the newer value").alias("reason"), F.when(n % 27 == 0, n * 2000).alias("acknowledged_at"),
     )
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "props")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = events.select("event_id", "user_id", "event_type", "value", "props")
     k, u = F.col("event_id"), F.col("user_id")
     ops = e.select(
         F.concat(F.lit("dev-"), (k % 4).cast("string")).alias("device_id"), F.call_function("div", k, F.lit(40)).alias("seq"), F.when(k % 97 == 0, 2).otherwise(1).alias("version"),
         F.when(u % 5 == 0, F.lit("budgets")).otherwise(F.lit("transactions")).alias("table_name"), F.concat(F.lit("row-"), (u % 500).cast("string")).alias("row_id"),
         k.alias("remote_revision"), (k * 10).alias("updated_at"), F.when(k % 10 != 0, F.col("props")).alias("payload"),
     )
-    return Ledger(tx, categories, rules, budgets, shadow, conflicts, ops)
+    return Ledger(tx, categories, rules, budgets, shadow, conflicts, ops, customers, parts, events)
 
 
 def _values(rows: list[tuple]) -> str:
@@ -141,7 +159,7 @@ def _values(rows: list[tuple]) -> str:
 CTES = f"""WITH tx0 AS (
  SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST((CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE -1 END) * CAST(round(o_totalprice * 100) AS BIGINT) AS BIGINT) AS amount_minor,
   'INR' AS currency_code, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS date, ' ' || lower(o_orderpriority) || ' order ' AS description,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'The Shop ' || (o_custkey % 50) END AS merchant, CASE WHEN o_custkey % 7 <> 0 THEN c_mktsegment END AS category_id,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'The Shop ' || (o_custkey % 50) END AS merchant, CASE WHEN o_custkey % 7 = 1 THEN 'own-' || o_custkey WHEN o_custkey % 7 <> 0 THEN c_mktsegment END AS category_id,
   'acct-' || (o_custkey % 20) AS account_id, CASE WHEN o_orderkey % 3 = 0 THEN 'MANUAL' ELSE 'CSV_IMPORT' END AS source,
   CASE WHEN o_orderkey % 8 = 0 THEN 'note ' || (o_orderkey % 5) END AS notes, o_orderkey % 11 = 0 AS category_locked_by_user,
   CASE WHEN o_orderkey % 3 <> 0 THEN 'batch-' || (o_orderkey % 5) END AS import_batch_id, o_orderkey * 1000 AS created_at, o_orderkey * 1000 + (o_orderkey % 3) * 500 AS updated_at,
@@ -154,16 +172,21 @@ CTES = f"""WITH tx0 AS (
 ), categories AS (
  SELECT id, name, CAST(NULL AS VARCHAR) AS parent_id, CAST(length(name) AS INTEGER) AS color_argb, lower(id) AS icon_key, is_system_defined, CAST(0 AS BIGINT) AS updated_at,
   CAST(2 AS BIGINT) AS local_revision, CAST(1 AS BIGINT) AS remote_revision, CASE WHEN deleted_at IS NOT NULL THEN 'DELETE' END AS pending_operation, CAST(deleted_at AS BIGINT) AS deleted_at
- FROM (VALUES {_values(CATEGORIES)}) v(id, name, is_system_defined, deleted_at)
+ FROM (SELECT * FROM (VALUES {_values(CATEGORIES)}) v(id, name, is_system_defined, deleted_at)
+  UNION ALL SELECT 'own-' || c_custkey, c_name, false, CASE WHEN c_custkey % 13 = 0 THEN 1690000000000 + c_custkey END FROM customer)
 ), rules AS (
  SELECT id, category_id, merchant_contains, CAST(priority AS INTEGER) AS priority, CAST(0 AS BIGINT) AS created_at, CAST(0 AS BIGINT) AS updated_at, CAST(1 AS BIGINT) AS local_revision,
   CAST(NULL AS BIGINT) AS remote_revision, 'UPSERT' AS pending_operation, CAST(deleted_at AS BIGINT) AS deleted_at
- FROM (VALUES {_values(RULES)}) v(id, category_id, merchant_contains, priority, deleted_at)
+ FROM (SELECT * FROM (VALUES {_values(RULES)}) v(id, category_id, merchant_contains, priority, deleted_at)
+  UNION ALL SELECT 'p' || p_partkey, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD'][p_partkey % 4 + 1], CASE WHEN p_partkey % 4 = 0 THEN 'shop ' || p_partkey % 60 ELSE upper(p_name) || ' ' || p_partkey END,
+  p_partkey % 50 + 4, CASE WHEN p_partkey % 17 = 0 THEN 1700000000000 END FROM part)
 ), budgets AS (
- SELECT 'budget:' || category_id || ':' || year_month AS id, category_id, year_month, CAST((j % 4) * 300000000 + i * 100000000 AS BIGINT) AS limit_minor, 'INR' AS currency_code,
-  CAST(0 AS BIGINT) AS created_at, CAST(j * 1000 AS BIGINT) AS updated_at, CAST(1 AS BIGINT) AS local_revision, CAST(NULL AS BIGINT) AS remote_revision, 'UPSERT' AS pending_operation,
-  CASE WHEN (i + j) % 9 = 8 THEN 1600000000000 END AS deleted_at
- FROM (VALUES {_values([(c, m, i, j) for i, c in enumerate(BUDGETED) for j, m in enumerate(MONTHS)])}) v(category_id, year_month, i, j)
+ SELECT 'budget:' || category_id || ':' || year_month AS id, category_id, year_month, CAST(limit_minor AS BIGINT) AS limit_minor, 'INR' AS currency_code,
+  CAST(0 AS BIGINT) AS created_at, CAST(updated_at AS BIGINT) AS updated_at, CAST(1 AS BIGINT) AS local_revision, CAST(NULL AS BIGINT) AS remote_revision, 'UPSERT' AS pending_operation,
+  CASE WHEN gone THEN 1600000000000 END AS deleted_at
+ FROM (SELECT category_id, year_month, (j % 4) * 300000000 + i * 100000000 AS limit_minor, j * 1000 AS updated_at, (i + j) % 9 = 8 AS gone
+  FROM (VALUES {_values([(c, m, i, j) for i, c in enumerate(BUDGETED) for j, m in enumerate(MONTHS)])}) v(category_id, year_month, i, j)
+  UNION ALL SELECT 'own-' || c_custkey, '1996-' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0'), abs(CAST(round(c_acctbal * 100) AS BIGINT)), c_custkey, c_custkey % 9 = 8 FROM customer)
 ), shadow AS (
  SELECT 'transactions' AS table_name, id AS row_id, n % 3 + 1 AS remote_revision, CASE WHEN n % 26 <> 0 THEN '{{"notes":"base ' || (n % 5) || '"}}' END AS payload FROM tx WHERE n % 2 = 0
 ), conflicts AS (

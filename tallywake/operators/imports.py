@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity
@@ -21,9 +21,8 @@ def dedupe(existing: DataFrame, incoming: DataFrame, order: str = "row_index") -
     in the order of their ids, which the original leaves open. A row whose own id
     is stored already is a duplicate.
     """
-    rank = lambda *o: F.row_number().over(Window.partitionBy("content_hash").orderBy(*o))
-    old = existing.select("content_hash", rank("id").alias("rank"), F.col("deleted_at").isNotNull().alias("gone"))
-    new = incoming.withColumn("rank", rank(order)).join(old, ["content_hash", "rank"], "left")
+    old = identity.ranked(existing, "content_hash", ["id"]).select("content_hash", "rank", F.col("deleted_at").isNotNull().alias("gone"))
+    new = identity.ranked(incoming, "content_hash", [order]).join(old, ["content_hash", "rank"], "left")
     bucket = F.when(F.col("gone"), "previously_deleted").when(~F.col("gone"), "duplicate").otherwise("inserted")
     new = new.withColumn("bucket", bucket).drop("gone", "rank")
     taken = existing.select(F.col("id").alias("_i"))

@@ -56,6 +56,14 @@ class FilterState:
         return ("Range", "..".join(window)) if window else ("Filtered", None)
 
 
+def net_period(categories: Column, preset: Column, start: Column, end: Column, today: str) -> Column:
+    """``FilterState.net_period`` of columns: a struct of kind and period."""
+    month = preset.isNull() | (preset == "THIS_MONTH")
+    kind = F.when(F.size(F.coalesce(categories, F.array().cast("array<string>"))) > 0, "Filtered").when(month | (preset == "LAST_MONTH"), "Month").when(start.isNotNull() & end.isNotNull(), "Range").otherwise("Filtered")
+    period = F.when(kind == "Range", F.concat(start, F.lit(".."), end)).when(kind == "Month", F.when(month, today[:7]).otherwise(months.shift(today[:7], -1)))
+    return F.struct(kind.alias("kind"), period.alias("period"))
+
+
 def by_id(df: DataFrame, id_: str) -> DataFrame:
     return live(df).where(F.col("id") == id_)
 

@@ -1,20 +1,22 @@
 """Categorisation: the first matching rule by (priority, id) decides.
 
 A user's rules are a short list that is gathered into one sorted array; each row
-takes the first element that fits, so rows are never multiplied.
+takes the first element that fits, so rows are never multiplied. Beyond a bound they
+are an inverted index instead, so that rows and rules are never multiplied either.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_upper
 from ..ledger import live
+from ..lineage import cut
 from .reads import rule_candidates
 
-#: Rules of one broadcast array.
-AT_ONCE = 1000
+#: Rules of the broadcast array at most, and characters of the index's runs.
+AT_ONCE, GRAM = 1000, 3
 
 
 def prepare(rules: DataFrame) -> DataFrame:
@@ -27,23 +29,51 @@ def haystack() -> Column:
 
 
 def first_match(tx: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds ``rule_id`` and ``rule_category`` of the first rule that fits.
+    """Adds ``rule_id`` and ``rule_category`` of the first rule that fits. Up to
+    ``AT_ONCE`` rules are one broadcast array in order, of which each row takes the
+    first that fits; more are found by an index."""
+    listed = prepare(rules)
+    if listed.limit(AT_ONCE + 1).count() > AT_ONCE:
+        return by_index(tx, listed)
+    one = listed.agg(F.sort_array(F.collect_list(F.struct("priority", "id", "category_id", "needle"))).alias("_rules"))
+    rows = tx.withColumn("_hay", haystack()).join(F.broadcast(one), F.lit(True))
+    hit = F.get(F.filter("_rules", lambda r: F.contains(F.col("_hay"), r["needle"])), 0)
+    return rows.withColumn("_hit", hit).select(*tx.columns, F.col("_hit.id").alias("rule_id"), F.col("_hit.category_id").alias("rule_category"))
+
+
+def grams(text: Column, size: int) -> Column:
+    """The different runs of ``size`` characters of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    return F.array_distinct(F.filter(runs, lambda g: F.length(g) == size))
 
-    Rules are counted; each ``AT_ONCE`` of them, in order, are one broadcast array,
-    and the first array with a hit decides, so that rows are never multiplied.
+
+def by_index(tx: DataFrame, listed: DataFrame) -> DataFrame:
+    """``first_match`` for rules of any number, ``listed`` as by ``prepare``.
+
+    Of rules with one needle the first is enough. A needle is filed under that run
+    of ``GRAM`` characters which the fewest different texts hold, or whole if it is
+    shorter; a text meets the needles that are filed under its own runs, and only
+    those are looked for in it. Each different text is matched once.
     """
-    listed = prepare(rules)
-    blocks = max(1, -(-listed.count() // AT_ONCE))
-    order = F.struct("priority", "id", "category_id", "needle")
-    if blocks > 1:
-        listed = listed.withColumn("_block", F.call_function("div", F.row_number().over(Window.orderBy("priority", "id")) - 1, F.lit(AT_ONCE)))
-    rows, hits = tx.withColumn("_hay", haystack()), []
-    for k in range(blocks):
-        some = listed if blocks == 1 else listed.where(F.col("_block") == k)
-        one = some.agg(F.sort_array(F.collect_list(order)).alias(f"_rules{k}"))
-        rows = rows.join(F.broadcast(one), F.lit(True))
-        hits.append(F.get(F.filter(f"_rules{k}", lambda r: F.contains(F.col("_hay"), r["needle"])), 0))
-    return rows.withColumn("_hit", F.coalesce(*hits)).select(*tx.columns, F.col("_hit.id").alias("rule_id"), F.col("_hit.category_id").alias("rule_category"))
+    first = F.min(F.struct("priority", "id", "category_id"))
+    needles = cut(listed.groupBy("needle").agg(first.alias("rule")))
+    texts = tx.select(haystack().alias("_text")).where("_text is not null").distinct()
+    sizes = [r[0] for r in needles.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM rows at most
+    runs = lambda c: F.concat(*(grams(c, n) for n in sizes)) if sizes else F.array().cast("array<string>")
+    # A short needle is its own run.
+    keys = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(grams(F.col("needle"), GRAM))
+    keyed = needles.select("needle", "rule", F.explode(keys).alias("_gram"))
+    held = texts.select("_text", F.explode(runs(F.col("_text"))).alias("_gram")).join(keyed.select("_gram").distinct(), "_gram", "left_semi")
+    held = cut(held)
+    often = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # A run that no text holds ends its needle's search.
+    filed = keyed.join(often, "_gram", "left")
+    filed = filed.groupBy("needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("k"), F.first("rule").alias("rule")).where("k.n > 0")
+    met = held.join(filed.select(F.col("k.gram").alias("_gram"), "needle", "rule"), "_gram").where(F.contains("_text", "needle"))
+    best = met.groupBy("_text").agg(F.min("rule").alias("_rule"))
+    rows = tx.withColumn("_hay", haystack()).join(best, F.col("_hay") == F.col("_text"), "left")
+    return rows.select(*tx.columns, F.col("_rule.id").alias("rule_id"), F.col("_rule.category_id").alias("rule_category"))
 
 
 def assignments(tx: DataFrame, rules: DataFrame, uncategorised_only: bool = False) -> DataFrame:

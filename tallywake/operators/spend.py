@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import months
+from ..functions import identity, months
 from ..ledger import live
 
 UNCATEGORISED = "uncategorised"
@@ -124,11 +124,13 @@ def net_total(tx: DataFrame, predicate: Column) -> DataFrame:
 
 
 def by_date(tx: DataFrame, today: str) -> DataFrame:
-    """A row for each date: header, ids newest first, and the net amount."""
+    """Live rows under their dates: date, header, id, place (newest first), and of the
+    date n and net_minor. A date may hold very many rows; they stay rows."""
     yesterday = F.date_sub(F.lit(today).cast("date"), 1).cast("string")
     header = F.when(F.col("date") == today, "Today").when(F.col("date") == yesterday, "Yesterday").otherwise("Dated")
-    newest = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("created_at")).alias("c"), "id"))), lambda x: x["id"])
-    return live(tx).groupBy("date").agg(newest.alias("ids"), F.count("*").alias("n"), F.sum("amount_minor").alias("net_minor")).select("date", header.alias("header"), "ids", "n", "net_minor")
+    rows = identity.ranked(live(tx).select("date", "id", "created_at", "amount_minor"), "date", [F.desc("created_at"), "id"], "place")
+    dates = live(tx).groupBy(F.col("date").alias("_d")).agg(F.count("*").alias("n"), F.sum("amount_minor").alias("net_minor"))
+    return rows.join(dates, F.col("date") == F.col("_d")).select("date", header.alias("header"), "id", "place", "n", "net_minor")
 
 
 def next_priority(rules: DataFrame) -> DataFrame:

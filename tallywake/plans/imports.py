@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity
+from ..lineage import work_dir
 from ..operators import imports, rules
 from ..sources import statements as S
+from . import scalars
 from .registry import query
 
 HEAD = "Date,Description,Amount,Balance"
@@ -23,13 +25,28 @@ def files(L):
 
 
 ORDERS = "SELECT 'f' || (n % 400) AS path, 'Order, no. ' || n AS description, date, amount_minor, n FROM tx"
-query("src_csv_bytes", "SELECT DISTINCT 'f' || (n % 400) AS path, true AS small FROM tx")(lambda L: files(L).select("path", (F.octet_length("content") <= S.MOST_BYTES).alias("small")))
+LINES = """SELECT 'f' || (n % 400) AS path, n, date || ',"Order, no. ' || n || '",' || printf('%s%d.%02d', CASE WHEN amount_minor < 0 THEN '-' ELSE '' END, abs(amount_minor) // 100, abs(amount_minor) % 100) || ',' AS line FROM tx"""
+CRLF = "chr(13) || chr(10)"
+query("src_csv_bytes", f"SELECT path, CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS digest FROM (SELECT path, 'My bank' || {CRLF} || {CRLF} || '{HEAD}' || {CRLF} || string_agg(line, {CRLF} ORDER BY n) || {CRLF} AS t FROM ({LINES}) GROUP BY path)")(lambda L: _read(L))
 
 
-@query("csv_decode", "SELECT * FROM (VALUES ('nul', 'NotText'), ('odd', 'EncodingUnclear'), ('good', 'Success'), ('large', 'TooLarge')) v(name, outcome)")
-def csv_decode(L):
-    cases = {"nul": b"a\0b", "odd": b"\xff", "good": "é".encode(), "large": None}
-    return L.tx.sparkSession.createDataFrame([(k, S.decode(v)[0]) for k, v in cases.items()], "name string, outcome string")
+def _read(L):
+    """The statements as files of their own, read as bytes."""
+    root = work_dir(L.tx.sparkSession, "statements")
+    text = F.regexp_replace(F.col("content").cast("string"), "\r\n$", "")
+    files(L).select("path", text.alias("value")).repartition("path").write.partitionBy("path").option("lineSep", "\r\n").text(root)
+    out = S.read_files(L.tx.sparkSession, f"{root}/*/*.txt")
+    return out.select(F.regexp_extract("path", "path=(f[0-9]+)", 1).alias("path"), "length", F.sha2("content", 256).alias("digest"))
+
+
+query("csv_decode", "SELECT id, CASE n % 4 WHEN 0 THEN 'NotText' WHEN 1 THEN 'EncodingUnclear' WHEN 2 THEN 'Success' ELSE 'TooLarge' END AS outcome, CASE WHEN n % 4 = 2 THEN description || 'é' END AS text FROM tx")(lambda L: _decoded(L))
+
+
+def _decoded(L):
+    """Descriptions as bytes: with a zero, with a byte that is no UTF-8, whole, none."""
+    n, text = F.col("id").cast("bigint"), F.concat("description", F.lit("é")).cast("binary")
+    content = F.when(n % 4 == 0, F.concat(text, F.lit(b"\0"))).when(n % 4 == 1, F.concat(text, F.lit(b"\xff"))).when(n % 4 == 2, text)
+    return S.decoded(L.tx.select(F.col("id").alias("path"), content.alias("content"))).withColumnRenamed("path", "id")
 
 
 query("csv_tokenize", f"SELECT path, count(*) + 3 AS n_rows FROM ({ORDERS}) GROUP BY 1")(lambda L: S.cells_of(files(L)).groupBy("path").agg(F.count("*").alias("n_rows")))
@@ -37,39 +54,43 @@ query("csv_preview", f"SELECT path, date, description, amount_minor FROM ({ORDER
 for _n, _c, _v in (("inf_date_column", "date_column", "0"), ("inf_date_format", "date_format", "'yyyy-MM-dd'"), ("inf_description", "description_column", "1"), ("inf_money_column", "amount_column", "2"), ("inf_amount_fallback", "amount_sign", "'NEGATIVE_IS_DEBIT'")):
     query(_n, f"SELECT DISTINCT path, {_v} AS {_c} FROM ({ORDERS})")(lambda L, c=_c: S.mappings_of(files(L)).select("path", c))
 query("csv_unmapped", f"SELECT DISTINCT path, '3' AS unmapped FROM ({ORDERS})")(lambda L: S.mappings_of(files(L)).select("path", F.array_join("unmapped", ",").alias("unmapped")))
-query("csv_date_candidates", f"SELECT path, CAST(count(*) AS INTEGER) AS day_first_failures FROM ({ORDERS}) GROUP BY 1")(lambda L: S.mappings_of(files(L)).select("path", "day_first_failures"))
 query("csv_apply_mapping", f"SELECT path, -amount_minor AS amount_minor, date FROM ({ORDERS})")(
     lambda L: S.rows_of(files(L), S.Mapping(2, 3, 0, "yyyy-MM-dd", 1, 2, "POSITIVE_IS_DEBIT")).where("reason is null").select("path", "amount_minor", "date")
 )
 
 
 def paired(L):
+    """Statements with amounts on two sides; in every other file only one has a name."""
     lines = F.concat_ws(",", "date", F.concat(F.lit("Order "), F.col("id")), F.when(F.col("amount_minor") < 0, (-F.col("amount_minor")).cast("string")).otherwise(""), F.when(F.col("amount_minor") > 0, F.col("amount_minor").cast("string")).otherwise(""))
     rows = L.tx.groupBy((F.col("id").cast("bigint") % 399).alias("f")).agg(F.array_join(F.sort_array(F.collect_list(lines)), "\n").alias("t"))
-    return rows.select(F.concat(F.lit("f"), "f").alias("path"), F.concat(F.lit("Date,Narration,Withdrawal,Deposit\n"), "t").cast("binary").alias("content"))
+    head = F.concat(F.lit("Date,Narration,Withdrawal,"), F.when(F.col("f") % 2 == 0, "Deposit").otherwise("Other"), F.lit("\n"))
+    return rows.select(F.concat(F.lit("f"), "f").alias("path"), F.concat(head, "t").cast("binary").alias("content"))
 
 
 PAIRED = "SELECT 'f' || (n % 399) AS path, 'Order ' || n AS description, {0}amount_minor * 100 AS amount_minor FROM tx"
 query(
-    "inf_debit_credit", f"SELECT DISTINCT path, 2 AS debit_column, 3 AS credit_column FROM ({PAIRED.format('')}) WHERE path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)"
-)(lambda L: S.mappings_of(paired(L)).where("debit_column is not null").select("path", "debit_column", "credit_column"))
+    "inf_debit_credit",
+    f"""SELECT DISTINCT path, 2 AS debit_column, 3 AS credit_column, CASE WHEN CAST(substr(path, 2) AS INTEGER) % 2 = 0 THEN '' ELSE 'AMOUNT_COLUMNS' END AS uncertain FROM ({PAIRED.format('')})
+ WHERE path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)""",
+)(lambda L: S.mappings_of(paired(L)).where("debit_column is not null").select("path", "debit_column", "credit_column", F.array_join("uncertain", ",").alias("uncertain")))
 BOTH = "path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor > 0) AND path IN (SELECT 'f' || (n % 399) FROM tx WHERE amount_minor < 0)"
 query("csv_swap_debit_credit", f"SELECT path, description, amount_minor FROM ({PAIRED.format('-')}) WHERE {BOTH}")(
     lambda L: S.rows_of(paired(L), swap=True).join(S.mappings_of(paired(L)).where("debit_column is not null").select("path"), "path", "left_semi").select("path", "description", "amount_minor")
 )
 
 
-@query("inf_balance_column", "SELECT 2 AS amount_column, 'POSITIVE_IS_DEBIT' AS amount_sign")
-def inf_balance_column(L):
-    text = "Date,Details,Amount,Balance\n" + "\n".join(f"2026-01-{d:02d},shop {d},{d}.00,{1000 - d * (d + 1) // 2}.00" for d in range(1, 9))
-    one = L.tx.sparkSession.createDataFrame([("f", text.encode())], "path string, content binary")
-    return S.mappings_of(one).select("amount_column", "amount_sign")
+query("inf_balance_column", "SELECT DISTINCT 's' || (n // 64) AS path, 2 AS amount_column, 'NEGATIVE_IS_DEBIT' AS amount_sign, '3,4' AS unmapped, 'AMOUNT_COLUMNS,AMOUNT_SIGN' AS uncertain FROM tx")(
+    lambda L: S.mappings_of(balanced(L, fee=True)).select("path", "amount_column", "amount_sign", F.array_join("unmapped", ",").alias("unmapped"), F.array_join("uncertain", ",").alias("uncertain"))
+)
+DAY, MON, YEAR = "substr(date, 9, 2)", "substr(date, 6, 2)", "substr(date, 1, 4)"
+query("inf_date_shape", f"SELECT id, CASE n % 7 WHEN 3 THEN false WHEN 4 THEN false WHEN 6 THEN false ELSE true END AS date_like FROM tx")(lambda L: L.tx.select("id", S.date_like(_dates()).alias("date_like")))
 
 
-SHAPES = [("2026-08-15", True), ("15-Aug-2026", True), ("31/12/2026", True), ("12/31/2026", True), ("32/13/2026", False), ("hello", False), ("5/3/2026", True)]
-query("inf_date_shape", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in SHAPES) + ") v(cell, date_like)")(
-    lambda L: L.tx.sparkSession.createDataFrame([(a, S.date_like(a)) for a, _ in SHAPES], "cell string, date_like boolean")
-)
+def _dates():
+    """Dates of orders in seven shapes, three of which are none."""
+    n, y, m, d = F.col("id").cast("bigint"), F.substring("date", 1, 4), F.substring("date", 6, 2), F.substring("date", 9, 2)
+    shapes = [F.col("date"), F.concat(F.lit(" "), d, F.lit("-"), F.date_format(F.col("date").cast("date"), "MMM"), F.lit("-"), y), F.concat_ws("/", d, m, y), F.concat(F.lit("32/13/"), y), F.concat(y, F.lit("-13-"), d), F.concat_ws(".", m, d, y), F.col("description")]
+    return F.get(F.array(*shapes), (n % 7).cast("int"))
 
 
 def imported(L):
@@ -122,15 +143,18 @@ def _of_file(name: str, column: str, sql: str):
     query(name, f"SELECT {FILE}, {sql} AS {column} FROM ({LAYOUTS}) GROUP BY f, kind")(lambda L: S.mappings_of(layouts(L)).select("path", column))
 
 
+query(
+    "csv_date_candidates",
+    f"SELECT {FILE}, CAST(0 AS INTEGER) AS day_first_failures, CAST(count(*) FILTER (substr(date, 9, 2)::INT > 12) AS INTEGER) AS month_first_failures FROM ({LAYOUTS}) WHERE kind = 1 GROUP BY f",
+)(lambda L: S.date_candidates(layouts(L)).where("cast(substring(path, 2) as bigint) % 3 = 1"))
 # Most records of a file without a header have four cells; the others come every seventh.
 _of_file("inf_modal_width", "width", "CAST(CASE kind WHEN 1 THEN 3 ELSE 4 END AS INTEGER)")
 _of_file("inf_header_row", "header_row", "CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 0 END AS INTEGER)")
 _of_file("inf_first_data_row", "first_row", "CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE min(spot) FILTER (n % 7 <> 0) END AS INTEGER)")
 _of_file("modal_hit_rate", "date_rate", "CAST(1 AS DOUBLE)")
 
-MONEY = [("1,234.50", True), ("(12.00)", True), ("-5", True), ("12,5", True), ("\u00b2", False), ("Rs 5", False), ("", False), ("--", False), ("\u0663", True)]
-query("inf_money_shape", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in MONEY) + ") v(cell, money_like)")(
-    lambda L: L.tx.sparkSession.createDataFrame([(a, S.money_like(a)) for a, _ in MONEY], "cell string, money_like boolean")
+query("inf_money_shape", "SELECT id, n % 9 < 8 AND n % 8 <> 6 AS money_like FROM tx")(
+    lambda L: scalars.orders(L).select("id", S.money_like(F.when(F.col("n") % 9 == 8, F.concat(F.lit("Rs "), F.col("cents").cast("string"))).otherwise(scalars.written(F.col("cents"), F.col("n")))).alias("money_like"))
 )
 query(
     "csv_map_row",
@@ -159,18 +183,20 @@ query("csv_amount", "SELECT 'Order ' || n AS description, CASE n % 5 WHEN 0 THEN
 )
 
 
-def balanced(L):
+def balanced(L, fee=False):
     """A statement for each 64 orders with a running balance, in which the amounts of
-    every other file are debits when positive."""
+    every other file are debits when positive; or one with a fee besides."""
     from pyspark.sql import Window
 
     n = F.col("id").cast("bigint")
     tx = L.tx.select(F.call_function("div", n, F.lit(64)).alias("f"), n.alias("n"), "date", "amount_minor")
     tx = tx.withColumn("balance", 900000000000 + F.sum(F.when(F.col("f") % 2 == 0, F.col("amount_minor")).otherwise(-F.col("amount_minor"))).over(Window.partitionBy("f").orderBy("n")))
     euro = lambda c: F.format_string("%s%d.%02d", F.when(c < 0, "-").otherwise(""), F.call_function("div", F.abs(c), F.lit(100)), F.abs(c) % 100)
-    line = F.concat_ws(",", "date", F.concat(F.lit("Order "), "n"), euro(F.col("balance")), euro(F.col("amount_minor")))
+    columns = [F.lit("1.50"), euro(F.col("amount_minor")), euro(F.col("balance"))] if fee else [euro(F.col("balance")), euro(F.col("amount_minor"))]
+    head = "Date,Details,Fee,Value,Closing\n" if fee else "Date,Details,Closing,Value\n"
+    line = F.concat_ws(",", "date", F.concat(F.lit("Order "), "n"), *columns)
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n")
-    return tx.groupBy("f").agg(lines.alias("t")).select(F.concat(F.lit("s"), "f").alias("path"), F.concat(F.lit("Date,Details,Closing,Value\n"), "t").cast("binary").alias("content"))
+    return tx.groupBy("f").agg(lines.alias("t")).select(F.concat(F.lit("s"), "f").alias("path"), F.concat(F.lit(head), "t").cast("binary").alias("content"))
 
 
 query("balance_lag", f"SELECT DISTINCT 's' || (n // 64) AS path, 3 AS amount_column, CASE n // 64 % 2 WHEN 0 THEN 'NEGATIVE_IS_DEBIT' ELSE 'POSITIVE_IS_DEBIT' END AS amount_sign FROM tx")(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, merge
 from ..operators.merge import NOTES_MARKER
-from ..streaming import replication
+from ..streaming import observed, replication
 from .registry import query
 
 JS = "coalesce('\"' || category_id || '\"', 'null')"
@@ -65,24 +65,22 @@ query("merge_delete_vs_edit", f"SELECT * FROM ({DELETED}) WHERE local_gone <> re
 query("merge_both_deleted", f"SELECT * FROM ({DELETED}) WHERE local_gone AND remote_gone")(lambda L: deletion(L).where("local_gone and remote_gone"))
 
 
-@query("field_policies", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{f}', '{merge.policy(t, f)}')" for t, fs in merge.SYNCED.items() for f in fs) + ") v(table_name, field, policy)")
-def field_policies(L):
-    return L.tx.sparkSession.createDataFrame([(t, f, merge.policy(t, f)) for t, fs in merge.SYNCED.items() for f in fs], "table_name string, field string, policy string")
-
-
-query("synced_field_names", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(fs)})" for t, fs in merge.SYNCED.items()) + ") v(table_name, n)")(
-    lambda L: L.tx.sparkSession.createDataFrame([(t, len(fs)) for t, fs in merge.SYNCED.items()], "table_name string, n int")
-)
-query("json_decode_value", "SELECT * FROM (VALUES ('\"a\"', 'Text'), ('5', 'Number'), ('true', 'Flag'), ('null', 'None'), ('1.5', 'Text')) v(raw, kind)")(
-    lambda L: L.tx.sparkSession.createDataFrame([(x,) for x in ('"a"', "5", "true", "null", "1.5")], "raw string").select("raw", merge.kind_of(F.col("raw")).alias("kind"))
-)
 query("to_field_map", """SELECT id, '{"amount_minor":' || amount_minor || ',"category_id":' || coalesce('"' || category_id || '"', 'null') || '}' AS payload FROM tx""")(
     lambda L: L.tx.select("id", replication.payload(["amount_minor", "category_id"]).alias("payload"))
 )
 query("from_field_map", "SELECT id, amount_minor, category_id FROM tx")(lambda L: replication.from_payload(L.tx.select("id", replication.payload(["amount_minor", "category_id"]).alias("payload")), "amount_minor bigint, category_id string"))
-query("json_patch", """SELECT row_id, '{"notes":"patched"}' AS payload FROM shadow WHERE payload IS NOT NULL""")(
-    lambda L: L.shadow.where("payload is not null").select("row_id", replication.patch(F.col("payload"), "notes", F.lit("patched")).alias("payload"))
-)
+ALL_KINDS = """'{"amount_minor":' || amount_minor || ',"category_locked_by_user":' || category_locked_by_user || ',"notes":' || NOTES || ',"extra":{"a":[1,null,"2"],"b":false}'"""
+KEPT = ALL_KINDS.replace("NOTES", """coalesce('"' || notes || '"', 'null')""")
+QUOTED = """'"patched"'"""
+query("json_patch", f"SELECT id, {ALL_KINDS.replace('NOTES', QUOTED)} || '}}' AS patched, {KEPT} || ',\"limit_minor\":-5}}' AS added FROM tx")(lambda L: _patched(L))
+
+
+def _patched(L):
+    """Objects with values of all kinds: one field that is there, one that is not."""
+    extra = F.parse_json(F.lit('{"a": [1, null, "2"], "b": false}')).alias("extra")
+    rows = L.tx.select("id", F.to_json(F.struct("amount_minor", "category_locked_by_user", "notes", extra), {"ignoreNullFields": "false"}).alias("payload"))
+    return rows.select("id", replication.patch(F.col("payload"), "notes", F.lit('"patched"')).alias("patched"), replication.patch(F.col("payload"), "limit_minor", F.lit("-5")).alias("added"))
+
 
 # Replication over the operation log
 
@@ -91,8 +89,9 @@ NEWEST = f"SELECT * FROM ({GOOD}) QUALIFY row_number() OVER (PARTITION BY table_
 for _n in ("newest_op_per_row", "newest"):
     query(_n, f"SELECT table_name, row_id, remote_revision, payload FROM ({NEWEST})")(lambda L: replication.newest(replication.readable(L.ops)).select("table_name", "row_id", "remote_revision", "payload"))
 query("horizon_per_device", "SELECT device_id, max(seq) AS horizon FROM ops GROUP BY 1")(lambda L: replication.horizon(L.ops))
-for _n in ("compact_memory", "compact_drive", "src_snapshot"):
-    query(_n, f"SELECT table_name, row_id, remote_revision, payload FROM ({NEWEST}) WHERE payload IS NOT NULL")(lambda L: replication.compact(replication.readable(L.ops)).select("table_name", "row_id", "remote_revision", "payload"))
+query("compact_memory", f"SELECT table_name, row_id, remote_revision, payload FROM ({NEWEST}) WHERE payload IS NOT NULL")(
+    lambda L: replication.compact(replication.readable(L.ops)).select("table_name", "row_id", "remote_revision", "payload")
+)
 
 
 def cursor(L):
@@ -100,12 +99,10 @@ def cursor(L):
 
 
 CURSOR = "SELECT device_id, max(seq) - 2 AS seq FROM ops WHERE device_id <> 'dev-3' GROUP BY 1"
-for _n in ("oplog_vs_cursor", "src_oplog"):
-    query(_n, f"SELECT o.device_id, o.seq, o.row_id, o.remote_revision FROM ops o LEFT JOIN ({CURSOR}) c ON o.device_id = c.device_id WHERE o.seq > coalesce(c.seq, 0)")(lambda L: joins.after_cursor(L.ops, cursor(L)).select("device_id", "seq", "row_id", "remote_revision"))
+query("oplog_vs_cursor", f"SELECT o.device_id, o.seq, o.row_id, o.remote_revision FROM ops o LEFT JOIN ({CURSOR}) c ON o.device_id = c.device_id WHERE o.seq > coalesce(c.seq, 0)")(
+    lambda L: joins.after_cursor(L.ops, cursor(L)).select("device_id", "seq", "row_id", "remote_revision")
+)
 query("horizon_check", f"SELECT bool_or(coalesce(c.seq, 0) < h.horizon) AS behind FROM (SELECT device_id, max(seq) AS horizon FROM ops GROUP BY 1) h LEFT JOIN ({CURSOR}) c ON c.device_id = h.device_id")(lambda L: joins.behind_horizon(replication.horizon(L.ops), cursor(L)))
-query("elect_owner", "SELECT min(device_id) AS owner FROM ops")(lambda L: L.ops.agg(F.min("device_id").alias("owner")))
-query("take_over", "SELECT min(device_id) AS owner FROM ops WHERE device_id <> 'dev-0'")(lambda L: L.ops.where("device_id <> 'dev-0'").agg(F.min("device_id").alias("owner")))
-query("is_stale", "SELECT 1709000000000 - max(updated_at) > 7776000000 AS stale FROM ops")(lambda L: L.ops.agg((F.lit(1709000000000) - F.max("updated_at") > 7776000000).alias("stale")))
 
 
 def renamed(L):
@@ -118,16 +115,15 @@ query("apply_idempotent", f"SELECT o.row_id, o.remote_revision FROM ({OURS}) o L
     lambda L: replication.not_applied(renamed(L), L.shadow).select("row_id", "remote_revision")
 )
 query("snapshot_missing", f"SELECT id FROM tx WHERE id NOT IN (SELECT row_id FROM ({OURS}) WHERE table_name = 'transactions')")(lambda L: joins.missing_from(L.tx, renamed(L).where("table_name = 'transactions'")).select("id"))
-query("reactive_combine", f"SELECT table_name, row_id, remote_revision FROM ({NEWEST}) WHERE payload IS NOT NULL")(lambda L: replication.stream_once(L.ops))
+query("reactive_combine", f"SELECT table_name, row_id, remote_revision FROM ({NEWEST}) WHERE payload IS NOT NULL")(
+    lambda L: observed.once(L.ops).select("table_name", "row_id", "remote_revision")
+)
+OP = "device_id, seq, version, table_name, row_id, remote_revision, updated_at, payload"
 query("seal_batch")(lambda L: replication.sealed(L.ops))
-query("open_batch", "SELECT device_id, seq, count(*) AS n FROM ops GROUP BY 1, 2")(lambda L: replication.opened(replication.sealed(L.ops)))
+query("open_batch", f"SELECT {OP} FROM ops")(lambda L: replication.opened(replication.sealed(L.ops)))
 query("seal_snapshot")(lambda L: replication.sealed(replication.compact(replication.readable(L.ops))))
-query("open_snapshot", f"SELECT device_id, seq, count(*) AS n FROM ({NEWEST}) WHERE payload IS NOT NULL GROUP BY 1, 2")(lambda L: replication.opened(replication.sealed(replication.compact(replication.readable(L.ops)))))
+query("open_snapshot", f"SELECT {OP} FROM ({NEWEST}) WHERE payload IS NOT NULL")(lambda L: replication.opened(replication.sealed(replication.compact(replication.readable(L.ops)))))
 query("derive_key", "SELECT 32 AS bytes")(lambda L: L.tx.sparkSession.createDataFrame([(len(replication.derive_key("correct horse", b"salt" * 4)),)], "bytes int"))
-query("pairing_code", "SELECT 'c2FsdHNhbHRzYWx0c2FsdA==' AS code, true AS back")(lambda L: L.tx.sparkSession.createDataFrame([(c := replication.pairing_code(b"salt" * 4), replication.from_pairing_code(c) == b"salt" * 4)], "code string, back boolean"))
-query("run_outcome", "SELECT * FROM (VALUES (200, 'success'), (404, 'terminal'), (429, 'retryable'), (503, 'retryable')) v(code, outcome)")(
-    lambda L: L.tx.sparkSession.createDataFrame([(c, replication.run_outcome(c)) for c in (200, 404, 429, 503)], "code int, outcome string")
-)
 query("snk_disabled", "SELECT 'transport is not configured' AS message")(lambda L: L.tx.sparkSession.createDataFrame([(replication.disabled_message(),)], "message string"))
 query("src_prefs", f"SELECT device_id, seq FROM ({CURSOR})")(cursor)
 query("schedule", "SELECT '4 hours' AS period")(lambda L: L.tx.sparkSession.createDataFrame([(replication.PERIOD,)], "period string"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import identity, money, months, text
+from ..functions import months
 from ..ledger import CUTOFF_MS, MONTH, NOW_MS, TODAY, TX, live
 from ..operators import joins, reads, rules, spend
-from .registry import ORACLE_SQL, QUERIES, query
+from .registry import query
 
 A, Z = months.window(MONTH)
 WINDOW = (A, Z)
@@ -35,13 +35,6 @@ query("sort_tx", f"SELECT {DOMAIN}, row_number() OVER (ORDER BY date DESC, creat
 )
 
 
-@query("net_period", "SELECT * FROM (VALUES (1, 'Month', '1996-03'), (2, 'Month', '1996-02'), (3, 'Range', '1996-01-05..1996-01-09'), (4, 'Filtered', NULL), (5, 'Filtered', NULL)) v(k, kind, period)")
-def net_period(L):
-    S = reads.FilterState
-    states = [S(), S(preset="LAST_MONTH"), S(preset="CUSTOM", start="1996-01-05", end="1996-01-09"), S(preset="CUSTOM", start="1996-01-05"), S(("BUILDING",))]
-    return L.tx.sparkSession.createDataFrame([(k, *s.net_period(TODAY)) for k, s in enumerate(states, 1)], "k int, kind string, period string")
-
-
 query("existing_by_hash", "SELECT id, content_hash, deleted_at IS NOT NULL AS deleted FROM tx WHERE content_hash IN (SELECT content_hash FROM tx WHERE n % 17 = 0)")(
     lambda L: reads.existing_by_hash(L.tx, L.tx.where(F.col("id").cast("bigint") % 17 == 0))
 )
@@ -52,9 +45,7 @@ query("cat_all", f"SELECT id, name FROM categories WHERE {LIVE}")(lambda L: live
 query("cat_by_id", f"SELECT id, name FROM categories WHERE id = 'BUILDING' AND {LIVE}")(lambda L: reads.by_id(L.categories, "BUILDING").select("id", "name"))
 query("rules_all", f"SELECT id, category_id, priority FROM rules WHERE {LIVE}")(lambda L: reads.ordered_rules(L.rules).select("id", "category_id", "priority"))
 query("rule_by_id", f"SELECT id, category_id FROM rules WHERE id = 'r2' AND {LIVE}")(lambda L: reads.by_id(L.rules, "r2").select("id", "category_id"))
-query("sort_rules", f"SELECT id, row_number() OVER (ORDER BY priority, id) AS place FROM rules WHERE {LIVE}")(
-    lambda L: reads.ordered_rules(L.rules).select("id", F.expr("row_number() over (order by priority, id)").cast("bigint").alias("place"))
-)
+query("sort_rules", f"SELECT id, row_number() OVER (ORDER BY priority, id) AS place FROM rules WHERE {LIVE}")(lambda L: reads.placed(live(L.rules).select("id", "priority"), "priority", "id").select("id", "place"))
 query("budgets_for_month", f"SELECT id, category_id, limit_minor FROM budgets WHERE year_month = '{MONTH}' AND {LIVE}")(lambda L: reads.budgets_for(L.budgets, MONTH).select("id", "category_id", "limit_minor"))
 query("budgets_all_active", f"SELECT id, limit_minor FROM budgets WHERE {LIVE}")(lambda L: live(L.budgets).select("id", "limit_minor"))
 query("budget_by_id", f"SELECT id, limit_minor FROM budgets WHERE id = 'budget:BUILDING:{MONTH}' AND {LIVE}")(lambda L: reads.by_id(L.budgets, f"budget:BUILDING:{MONTH}").select("id", "limit_minor"))
@@ -151,8 +142,8 @@ query("monthly_budgets", f"SELECT category_id, limit_minor, spent_minor FROM ({W
 query("budget_flags", f"SELECT bool_and(spent_minor = 0) AS nothing_counted_yet, bool_or(spent_minor > limit_minor) AS any_over FROM ({WITH_SPEND})")(lambda L: spend.budget_flags(L.tx, L.budgets, MONTH))
 query("net_total_month", f"SELECT CAST(coalesce(sum(amount_minor), 0) AS BIGINT) AS net_minor FROM tx WHERE {LIVE} AND substr(date, 1, 7) = '{MONTH}'")(lambda L: spend.net_total(L.tx, months.month_of_date(F.col("date")) == MONTH))
 query("net_total_filtered", f"SELECT CAST(coalesce(sum(amount_minor), 0) AS BIGINT) AS net_minor FROM tx WHERE {LIVE} AND category_id = 'BUILDING'")(lambda L: spend.net_total(L.tx, reads.Filter(("BUILDING",)).predicate()))
-query("group_by_date", f"""SELECT date, CASE WHEN date = '{TODAY}' THEN 'Today' WHEN date = '1996-03-19' THEN 'Yesterday' ELSE 'Dated' END AS header, string_agg(id, ',' ORDER BY created_at DESC, id) AS ids,
- count(*) AS n, CAST(sum(amount_minor) AS BIGINT) AS net_minor FROM tx WHERE {LIVE} GROUP BY date""")(lambda L: spend.by_date(L.tx, TODAY).withColumn("ids", F.array_join("ids", ",")))
+query("group_by_date", f"""SELECT date, CASE WHEN date = '{TODAY}' THEN 'Today' WHEN date = '1996-03-19' THEN 'Yesterday' ELSE 'Dated' END AS header, id, row_number() OVER (PARTITION BY date ORDER BY created_at DESC, id) AS place,
+ count(*) OVER (PARTITION BY date) AS n, CAST(sum(amount_minor) OVER (PARTITION BY date) AS BIGINT) AS net_minor FROM tx WHERE {LIVE}""")(lambda L: spend.by_date(L.tx, TODAY))
 query("next_rule_priority", f"SELECT CAST(coalesce(max(priority), -1) + 1 AS INTEGER) AS next_priority FROM rules WHERE {LIVE}")(lambda L: spend.next_priority(L.rules))
 
 # Rules
@@ -174,50 +165,4 @@ query("apply_rule_category", f"SELECT count(*) AS changed FROM ({MATCHED}) WHERE
     lambda L: rules.apply(L.tx, rules.assignments(L.tx, L.rules), NOW_MS).agg(F.count_if("changed").alias("changed"))
 )
 
-# Scalars over stated inputs; the oracle states the results
-
-MONEY = [("1234.56", 123456), ("1,234.56", 123456), ("12,34,567.89", 123456789), ("(1,234.56)", -123456), ("1.234,56", 123456), ("₹ 1,234.56", 123456), ("$1234.56", 123456), ("1,234", 123400), ("12.5", 1250), ("", None), ("N/A", None),
-         ("₹-500", 50000), ("500-", 50000), ("1.234", 123400), ("12.3456", 1234), (".", 0), ("-", None), ("0.125", 12500), ("-42", -4200), ("99999999999999999999", None)]
-
-
-def stated(name: str, rows: list[tuple], kind: str, f) -> None:
-    """A query of one function over given inputs."""
-    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    sql_kind = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}[kind]
-    ORACLE_SQL[name] = "SELECT raw, CAST(result AS " + sql_kind + ") AS result FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in rows) + ") v(raw, result)"
-    QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame([(a,) for a, _ in rows], "raw string").select("raw", f(F.col("raw")).alias("result"))
-
-
-stated("money_parse", MONEY, "bigint", money.parse)
-stated("title_case_desc", [("BLUE TOKAI COFFEE", "Blue Tokai Coffee"), ("UPI PAYMENT PVR", "UPI Payment PVR"), ("Uber Eats", "Uber Eats"), ("123", "123"), ("HDFC BANK EMI", "HDFC Bank EMI")], "string", text.title_case)
-stated("trim_upper", [("  coffee shop ", "COFFEE SHOP"), (" Tea ", "TEA"), ("", "")], "string", text.trim_upper)
-stated("amount_sanitize", [("1,2", "12"), ("12.3.4", "12.34"), ("abc", ""), (".5", ".5")], "string", money.sanitize_input)
-stated("amount_parse_magnitude", [(".", None), ("12.5", 1250), ("", None), ("7", 700)], "bigint", money.parse_magnitude)
-stated("amount_format_edit", [("123456", "1234.56"), ("5", "0.05"), ("0", "0.00")], "string", lambda c: money.format_for_editing(c.cast("bigint")))
-stated("decimal_places", [("INR", 2), ("JPY", 0), ("KWD", 3)], "int", money.decimal_places)
-stated("ym_parse", [("2026-08", "2026-08"), (" 2026-08 ", "2026-08"), ("2026-8", None), ("2026-13", None)], "string", months.parse_month)
-stated("ym_plus_months", [("2026-11", "2027-01"), ("2026-01", "2026-03")], "string", lambda c: months.plus_months(c, 2))
-stated("ym_date_range", [("2024-02", "2024-02-01..2024-02-29"), ("2026-04", "2026-04-01..2026-04-30")], "string", lambda c: F.concat(months.first_day(c), F.lit(".."), months.last_day(c)))
-stated("ym_of", [("2026", "2026-08"), ("0", None)], "string", lambda c: months.month_of(c.cast("int"), F.lit(8)))
-stated("ym_from", [("2026-08-14", "2026-08")], "string", months.month_of_date)
-stated("ym_compare", [("2025-12", -1), ("2026-01", 0), ("2026-02", 1)], "int", lambda c: F.when(c < "2026-01", -1).when(c == "2026-01", 0).otherwise(1))
-stated("ym_display", [("2026-08", "August 2026")], "string", lambda c: F.date_format(months.first_day(c).cast("date"), "MMMM yyyy"))
-stated("format_money", [("123456789", "INR 1,234,567.89")], "string", lambda c: money.display(c.cast("bigint"), F.lit("INR")))
-stated("scheme_of", [("h1:abc123#2", "h1"), ("h9:abc#0", None), ("uuid", None)], "string", identity.scheme_of)
-stated("is_content_derived", [("h1:abc123#2", "true"), ("h7:00ff#0", "true"), ("h1:xyz#0", "false"), ("c1", "false")], "string", lambda c: identity.is_content_derived(c).cast("string"))
-stated("budget_id", [("food", "budget:food:2026-08")], "string", lambda c: identity.budget_id(c, F.lit("2026-08")))
-stated("money_arith", [("5", 4), ("-9", 4)], "bigint", lambda c: F.abs(-(c.cast("bigint")) + 5 - 0) + F.when(c.cast("bigint") > 0, 4).otherwise(-10))
-stated("form_rules", [("INCOME", 500), ("EXPENSE", -500)], "bigint", lambda c: money.signed(F.lit(500).cast("bigint"), c))
-
-
-def last_sync(minutes):
-    """Never, JustNow, or how long ago, with a mark after three days."""
-    return (
-        F.when(minutes.isNull(), "Never").when(minutes < 1, "JustNow").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" minutes")))
-        .when(minutes < 1440, F.concat(F.call_function("div", minutes, F.lit(60)).cast("string"), F.lit(" hours")))
-        .otherwise(F.concat(F.call_function("div", minutes, F.lit(1440)).cast("string"), F.lit(" days"), F.when(minutes >= 4320, " stale").otherwise("")))
-    )
-
-
-stated("last_sync_display", [("0", "JustNow"), ("59", "59 minutes"), ("61", "1 hours"), ("1500", "1 days"), ("4320", "3 days stale"), (None, "Never")], "string", lambda c: last_sync(c.cast("int")))
 query("content_hash", "SELECT id, content_hash FROM tx")(lambda L: L.tx.select("id", "content_hash"))

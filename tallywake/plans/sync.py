@@ -92,16 +92,30 @@ def applied(L):
     return sync.apply(state(L), sent(L), "near", NOW)
 
 
-AFTER = f"""SELECT t.id, CASE WHEN d.how <> 'gone' THEN d.ma ELSE t.amount_minor END AS amount_minor, CASE WHEN d.how <> 'gone' THEN d.mt ELSE t.notes END AS notes,
+
+
+def after_sql(seen: str = "true") -> str:
+    """The transactions after the batches that ``seen`` (of n) holds for."""
+    return f"""SELECT t.id, CASE WHEN d.how <> 'gone' THEN d.ma ELSE t.amount_minor END AS amount_minor, CASE WHEN d.how <> 'gone' THEN d.mt ELSE t.notes END AS notes,
  CASE WHEN d.how <> 'gone' THEN d.mc ELSE t.category_id END AS category_id, CASE WHEN d.how <> 'gone' THEN d.mk ELSE t.category_locked_by_user END AS category_locked_by_user,
  CASE WHEN d.how IS NULL THEN t.deleted_at WHEN d.how = 'gone' THEN {NOW} END AS deleted_at, coalesce(d.mat, t.updated_at) AS updated_at, coalesce(d.mrev, t.local_revision) AS local_revision,
- coalesce(d.rrev, t.remote_revision) AS remote_revision, CASE WHEN d.how IS NULL THEN t.pending_operation ELSE d.pending END AS pending_operation FROM tx t LEFT JOIN ({DECIDED}) d ON d.id = t.id
- UNION ALL SELECT 'new-' || id, amount_minor, notes, category_id, category_locked_by_user, NULL, n * 1000 + n % 4 * 400, n % 5 + 1, n % 5 + 1, NULL {ADDED} AND n % 10 <> 0"""
+ coalesce(d.rrev, t.remote_revision) AS remote_revision, CASE WHEN d.how IS NULL THEN t.pending_operation ELSE d.pending END AS pending_operation FROM tx t LEFT JOIN (SELECT * FROM ({DECIDED}) WHERE {seen}) d ON d.id = t.id
+ UNION ALL SELECT 'new-' || id, amount_minor, notes, category_id, category_locked_by_user, NULL, n * 1000 + n % 4 * 400, n % 5 + 1, n % 5 + 1, NULL {ADDED} AND n % 10 <> 0 AND {seen}"""
+
+
+AFTER = after_sql()
 COLUMNS = "id, amount_minor, notes, category_id, category_locked_by_user, deleted_at, updated_at, local_revision, remote_revision, pending_operation"
 query("apply_ops", AFTER)(lambda L: applied(L).tables["transactions"].select(*COLUMNS.split(", ")))
-SHADOW = f"""SELECT id AS row_id, rrev AS remote_revision, CASE WHEN how <> 'gone' THEN ma END AS amount_minor, CASE WHEN how <> 'gone' THEN mt END AS notes FROM ({DECIDED})
- UNION ALL SELECT 'new-' || id, n % 5 + 1, CASE WHEN n % 10 <> 0 THEN amount_minor END, CASE WHEN n % 10 <> 0 THEN notes END {ADDED}
- UNION ALL SELECT id, seen, ba, bt FROM ({SIDES}) WHERE hb AND id NOT IN (SELECT id FROM ({DECIDED}))"""
+
+
+def shadow_sql(seen: str = "true") -> str:
+    """The shadow after them."""
+    return f"""SELECT id AS row_id, rrev AS remote_revision, CASE WHEN how <> 'gone' THEN ma END AS amount_minor, CASE WHEN how <> 'gone' THEN mt END AS notes FROM ({DECIDED}) WHERE {seen}
+ UNION ALL SELECT 'new-' || id, n % 5 + 1, CASE WHEN n % 10 <> 0 THEN amount_minor END, CASE WHEN n % 10 <> 0 THEN notes END {ADDED} AND {seen}
+ UNION ALL SELECT id, seen, ba, bt FROM ({SIDES}) WHERE hb AND id NOT IN (SELECT id FROM ({DECIDED}) WHERE {seen})"""
+
+
+SHADOW = shadow_sql()
 query("record_shadow", SHADOW)(
     lambda L: applied(L).shadow.select("row_id", "remote_revision", F.get_json_object("payload", "$.amount_minor").cast("bigint").alias("amount_minor"), F.from_json("payload", "notes string")["notes"].alias("notes"))
 )
@@ -114,7 +128,7 @@ query("apply_conflicts", f"""SELECT id AS row_id, 'amount_minor' AS field, ma::V
  WHERE how = 'both' AND st = 3 AND (lt IS NULL OR rt IS NULL OR NOT (contains(rt, lt) OR contains(lt, rt)))""")(
     lambda L: applied(L).conflicts.where(f"resolved_at = {NOW}").select("row_id", "field", *(F.from_json(F.concat(F.lit('{"v":'), f"{c}_value", F.lit("}")), "v string")["v"].alias(c) for c in ("chosen", "discarded")), "reason")
 )
-query("pull", "SELECT 'far' AS device_id, max(n // 100 + 1) AS seq FROM tx WHERE n % 3 <> 0 OR n % 11 = 0")(lambda L: sync.pull(state(L), sent(L), "near", NOW).cursor)
+REACHED = "SELECT 'far' AS device_id, max(n // 100 + 1) AS seq FROM tx WHERE n % 3 <> 0 OR n % 11 = 0"
 
 DIRTY = {
     "categories": "SELECT id, local_revision, deleted_at FROM categories", "budgets": "SELECT id, local_revision, deleted_at FROM budgets", "category_rules": "SELECT id, local_revision, deleted_at FROM rules",
@@ -131,12 +145,22 @@ def pushed(s):
     return sync.batch(s, "near", 1).select("table_name", "row_id", "remote_revision", F.col("payload").isNotNull().alias("alive"))
 
 
-for _n in ("push", "snk_oplog"):
-    query(_n, pushed_sql("SELECT id, local_revision, deleted_at FROM tx WHERE local_revision > CASE WHEN n % 2 = 0 THEN n % 3 ELSE 0 END"))(lambda L: pushed(state(L)))
-SEEN = f"SELECT a.id, a.local_revision, a.deleted_at FROM ({AFTER}) a LEFT JOIN ({SHADOW}) s ON s.row_id = a.id WHERE a.local_revision > coalesce(s.remote_revision, 0)"
-query("sync_cycle", pushed_sql(SEEN))(
-    lambda L: sync.cycle(state(L), sent(L), None, None, "near", 1, NOW, 0)[1].select("table_name", "row_id", "remote_revision", F.col("payload").isNotNull().alias("alive"))
-)
+PUSHED = "SELECT id, local_revision, deleted_at FROM tx WHERE local_revision > CASE WHEN n % 2 = 0 THEN n % 3 ELSE 0 END"
+query("push", pushed_sql(PUSHED))(lambda L: pushed(state(L)))
+# A cycle of a device that is behind what was compacted: the snapshot has what both agreed
+# on and covers the first five batches, the rest are pulled; then it sends, and forgets.
+LATER = "n >= 500"
+SEEN = f"SELECT a.id, a.local_revision, a.deleted_at FROM ({after_sql(LATER)}) a LEFT JOIN ({shadow_sql(LATER)}) s ON s.row_id = a.id WHERE a.local_revision > coalesce(s.remote_revision, 0)"
+query("sync_cycle", f"SELECT 'sent' AS what, * FROM ({pushed_sql(SEEN)}) UNION ALL SELECT 'cursor', 'far', '', max(n // 100 + 1), true FROM tx WHERE n % 3 <> 0 OR n % 11 = 0 UNION ALL SELECT 'cursor', 'near', '', 1, true")(lambda L: _cycled(L))
+
+
+def _cycled(L):
+    s = state(L)
+    agreed = s.shadow.select("table_name", "row_id", "remote_revision", F.lit(0).cast("bigint").alias("updated_at"), "payload")
+    horizon = L.tx.sparkSession.createDataFrame([("far", 5)], "device_id string, horizon bigint")
+    out, batch = sync.cycle(s, sent(L), agreed, horizon, "near", 1, NOW, CUT)
+    rows = batch.select(F.lit("sent").alias("what"), "table_name", "row_id", "remote_revision", F.col("payload").isNotNull().alias("alive"))
+    return rows.unionByName(out.cursor.select(F.lit("cursor").alias("what"), F.col("device_id").alias("table_name"), F.lit("").alias("row_id"), F.col("seq").alias("remote_revision"), F.lit(True).alias("alive")))
 
 
 def snapshot(L):
@@ -180,16 +204,33 @@ def _reaped(L):
     return frames[0]
 
 
-RESTORED = "SELECT c.*, t.local_revision, CASE c.field WHEN 'category_id' THEN t.category_id ELSE t.notes END AS now, t.deleted_at IS NOT NULL AS gone FROM conflicts c JOIN tx t ON t.id = c.row_id"
+RESTORED = "SELECT c.*, t.n, t.local_revision, CASE c.field WHEN 'category_id' THEN t.category_id ELSE t.notes END AS now, t.deleted_at IS NOT NULL AS gone FROM conflicts c JOIN tx t ON t.id = c.row_id"
 OUTCOME = f"SELECT *, CASE WHEN gone THEN 'ROW_GONE' WHEN '\"' || now || '\"' = chosen_value THEN 'RESTORED' ELSE 'VALUE_CHANGED_SINCE' END AS outcome FROM ({RESTORED})"
-query("conflict_restore", f"""SELECT id, row_id, outcome, CASE WHEN outcome = 'RESTORED' THEN (CASE WHEN discarded_value <> 'null' THEN 'gone' END) ELSE now END AS value_after,
- CASE WHEN outcome = 'RESTORED' THEN coalesce(acknowledged_at, {NOW}) ELSE acknowledged_at END AS acknowledged_at, local_revision + (outcome = 'RESTORED')::INT AS local_revision FROM ({OUTCOME})
+# Every eighteenth row has an older conflict of the same field, acknowledged before; of
+# every other of these the newer one puts back what the older one chose.
+BOTH = f"""SELECT *, outcome = 'RESTORED' AND n % 36 = 0 AS twice FROM ({OUTCOME})"""
+AFTERWARDS = f"""SELECT *, CASE WHEN twice THEN 'BUILDING' WHEN outcome = 'RESTORED' THEN (CASE WHEN discarded_value <> 'null' THEN 'gone' END) ELSE now END AS value_after,
+ local_revision + (outcome = 'RESTORED')::INT + twice::INT AS revision FROM ({BOTH})"""
+query("conflict_restore", f"""SELECT id, row_id, outcome, value_after, CASE WHEN outcome = 'RESTORED' THEN coalesce(acknowledged_at, {NOW}) ELSE acknowledged_at END AS acknowledged_at, revision AS local_revision FROM ({AFTERWARDS})
+ UNION ALL SELECT 'd' || id, row_id, CASE WHEN outcome = 'ROW_GONE' THEN outcome WHEN twice THEN 'RESTORED' ELSE 'VALUE_CHANGED_SINCE' END, value_after, 7, revision FROM ({AFTERWARDS}) WHERE n % 18 = 0
  UNION ALL SELECT 'none', NULL, 'NOT_FOUND', NULL, NULL, NULL""")(lambda L: _restored(L))
 
 
+def with_older(conflicts):
+    """Conflicts, and for some of them an older one of the same field."""
+    n = F.col("row_id").cast("bigint")
+    older = conflicts.where(n % 18 == 0).withColumns({
+        "id": F.concat(F.lit("d"), "id"), "resolved_at": F.lit(1).cast("bigint"), "chosen_value": F.when(n % 36 == 0, '"gone"').otherwise('"HOUSEHOLD"'), "discarded_value": F.lit('"BUILDING"'),
+        "acknowledged_at": F.lit(7).cast("bigint"),
+    })
+    return conflicts.unionByName(older)
+
+
 def _restored(L):
     none = L.tx.sparkSession.createDataFrame([("none",)], "id string")
-    out, outcomes = sync.restored(state(L), L.conflicts.select("id").unionByName(none), NOW)
+    s = state(L)
+    s.conflicts = with_older(L.conflicts)
+    out, outcomes = sync.restored(s, s.conflicts.select("id").unionByName(none), NOW)
     rows = out.tables["transactions"].select(F.col("id").alias("row_id"), "category_id", "notes", "local_revision")
     after = out.conflicts.join(rows, "row_id").select("id", "row_id", F.when(F.col("field") == "notes", F.col("notes")).otherwise(F.col("category_id")).alias("value_after"), "acknowledged_at", "local_revision")
     return outcomes.join(after, "id", "left").select("id", "row_id", "outcome", "value_after", "acknowledged_at", "local_revision")

@@ -1,24 +1,28 @@
 """Bank statements as CSV: bytes to text to cells to a mapping to rows.
 
-Files are read as bytes and cut into records by a Python table function, because
-statements are ragged and have lines before their header. What the columns mean is
-inferred from at most ``SAMPLE`` rows of each file, in the same table function's
-style (a file is 5 MiB at most), and never guessed where the rows do not say.
+Only cutting a text into records is Python, as statements are ragged, quoted over
+lines and have lines before their header. All else is expressions: a file's sample of
+at most ``SAMPLE`` records is one row of arrays, a file being 5 MiB at most, and what its
+columns mean is inferred there, and never guessed where the rows do not say. Rows are
+then mapped one by one, wherever they lie.
 """
 
 from __future__ import annotations
 
-import calendar
 import csv
 import io
-import re
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import money
+from ..functions.text import strip
+
 #: Fixed values.
 MOST_BYTES, SNIFFED, SAMPLE = 5 * 1024 * 1024, 8192, 50
+#: Shares of cells or rows that decide, and pairs of rows that a balance is seen in.
+ENOUGH, BALANCED, PAIRS, CLOSE = 0.8, 0.75, 3, 0.85
 #: Why a row fails.
 FEW_COLUMNS, NOT_CONFIRMED = "expected at least {} columns, found {}", 'date format "{}" is not confirmed'
 BAD_DATE, BAD_AMOUNT = 'unparseable date "{}"', "unparseable or ambiguous amount"
@@ -27,9 +31,10 @@ DEBIT_HINTS, CREDIT_HINTS = ("debit", "withdrawal", "dr"), ("credit", "deposit",
 MONTH_NAMES = tuple("jan feb mar apr may jun jul aug sep oct nov dec".split())
 AMBIGUOUS = "AMBIGUOUS"
 SIGNS = ("NEGATIVE_IS_DEBIT", "POSITIVE_IS_DEBIT", "SIGN_COLUMN")
-ISO = re.compile(r"(\d{4})-(\d{2})-(\d{2})")
-NAMED = re.compile(r"(\d{1,2})-([A-Za-z]{3})-(\d{4})")
-NUMERIC = re.compile(r"(\d{1,2})([/.\-])(\d{1,2})[/.\-](\d{4})")
+ISO, NAMED, NUMERIC = r"^(\d{4})-(\d{2})-(\d{2})$", r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$", r"^(\d{1,2})([/.\-])(\d{1,2})[/.\-](\d{4})$"
+
+
+# Files, texts, records
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -51,65 +56,84 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def decode(content: bytes | None, length: int | None = 0) -> tuple[str, str | None]:
-    """(Success, text) or what is wrong: ReadFailed, TooLarge, NotText,
-    EncodingUnclear. A null content of null length was not read."""
-    if content is None:
-        return ("ReadFailed" if length is None else "TooLarge"), None
-    if len(content) > MOST_BYTES:
-        return "TooLarge", None
-    if b"\0" in content[:SNIFFED]:
-        return "NotText", None
-    text = content.decode("utf-8", "replace")
-    return ("EncodingUnclear", None) if "\ufffd" in text else ("Success", text)
+def decoded(files: DataFrame) -> DataFrame:
+    """path, outcome and text of ``files(path, content[, length])``: Success, or what is
+    wrong: ReadFailed, TooLarge, NotText, EncodingUnclear, without a text. A null
+    content of null length was not read."""
+    length = F.col("length") if "length" in files.columns else F.lit(0)
+    text, content = F.col("content").cast("string"), F.col("content")
+    outcome = (
+        F.when(content.isNull(), F.when(length.isNull(), "ReadFailed").otherwise("TooLarge"))
+        .when(F.octet_length(content) > MOST_BYTES, "TooLarge")
+        .when(F.contains(F.substring(content, 1, SNIFFED), F.lit(b"\0")), "NotText")
+        .when(~F.is_valid_utf8(text) | F.contains(text, F.lit("�")), "EncodingUnclear")
+        .otherwise("Success")
+    )
+    return files.select("path", outcome.alias("outcome"), F.when(outcome == "Success", text).alias("text"))
 
 
 def tokenize(text: str) -> list[list[str]]:
     """Records of RFC 4180 text. A blank line is a record with one empty cell; a
     quote that is never closed makes one cell of the rest, however long."""
     csv.field_size_limit(max(csv.field_size_limit(), 4 * MOST_BYTES))
-    rows = list(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), strict=False))
+    rows = list(csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""), strict=False))
     return [r or [""] for r in rows]
 
 
-def money(raw: str, places: int = 2) -> int | None:
-    """``functions.money.parse`` for one text."""
-    t = raw.strip()
-    negative = t.startswith("(") and t.endswith(")")
-    if negative and len(t) > 1:
-        t = t[1:-1]
-    negative |= t.startswith("-")
-    kept = "".join(c for c in t if c.isdecimal() or c in ".,")
-    if not kept:
-        return None
-    at = max(kept.rfind("."), kept.rfind(","))
-    whole, fraction = (kept, "") if at < 0 else (kept[:at], kept[at + 1 :])
-    if len(fraction) == 3:
-        whole, fraction = whole + fraction, ""
-    n = int((re.sub(r"[.,]", "", whole) or "0") + fraction.ljust(places, "0")[:places])
-    return None if n >= 1 << 63 else -n if negative else n
+def cells_of(files: DataFrame) -> DataFrame:
+    """path, outcome, row_index, cells: every record of ``files``. A file that is no text
+    has one row, with its outcome and no cells."""
+
+    def task(batches):
+        import pandas as pd
+
+        for b in batches:
+            for p, o, t in zip(b["path"], b["outcome"], b["text"]):
+                rows = [(p, o, None, None)] if t is None else [(p, o, i, r) for i, r in enumerate(tokenize(t))]
+                yield pd.DataFrame(rows, columns=["path", "outcome", "row_index", "cells"], dtype=object)
+
+    return decoded(files).mapInPandas(task, "path string, outcome string, row_index int, cells array<string>")
+
+
+# Cells
+
+
+def date_parts(cell: Column) -> Column:
+    """What a cell is as a date: like (its shape, with day and month in range; the
+    calendar is not asked), iso, named, and the numbers a and b around the separator of
+    a numeric date."""
+    t = strip(cell)
+    part = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
+    a, b = part(NUMERIC, 1), part(NUMERIC, 3)
+    iso = t.rlike(ISO) & part(ISO, 2).between(1, 12) & part(ISO, 3).between(1, 31)
+    named = t.rlike(NAMED)
+    month = F.lower(F.regexp_extract(t, NAMED, 2)).isin(*MONTH_NAMES)
+    numeric = (a.between(1, 31) & b.between(1, 12)) | (a.between(1, 12) & b.between(1, 31))
+    like = F.when(t.rlike(ISO), iso).when(named, part(NAMED, 1).between(1, 31) & month).otherwise(F.coalesce(numeric, F.lit(False)))
+    return F.struct(like.alias("like"), iso.alias("iso"), named.alias("named"), a.alias("a"), b.alias("b"), F.regexp_extract(t, NUMERIC, 2).alias("separator"))
+
+
+def date_like(cell: Column) -> Column:
+    return date_parts(cell)["like"]
 
 
-def date_like(cell: str) -> bool:
-    """A date's shape with day and month in range; the calendar is not asked."""
-    t = cell.strip()
-    if m := ISO.fullmatch(t):
-        return 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 31
-    if m := NAMED.fullmatch(t):
-        return 1 <= int(m[1]) <= 31 and m[2].lower() in MONTH_NAMES
-    if m := NUMERIC.fullmatch(t):
-        a, b = int(m[1]), int(m[3])
-        return (1 <= a <= 31 and 1 <= b <= 12) or (1 <= a <= 12 and 1 <= b <= 31)
-    return False
+def money_like(cell: Column) -> Column:
+    return ~cell.rlike(r"\p{L}") & money.parse(cell).isNotNull()
 
 
-def money_like(cell: str) -> bool:
-    return not any(c.isalpha() for c in cell) and money(cell) is not None
+def facts(cell: Column) -> Column:
+    """All that inference asks of a cell."""
+    t = strip(cell)
+    return F.struct(date_parts(cell).alias("d"), money.parse(cell).alias("m"), money_like(cell).alias("shaped"), (t != "").alias("filled"), F.length(t).alias("length"))
 
 
-def data_like(cells: list[str]) -> bool:
-    first = next((i for i, c in enumerate(cells) if date_like(c)), None)
-    return first is not None and any(i != first and money_like(c) for i, c in enumerate(cells))
+def data_like(row: Column) -> Column:
+    """Whether a row of facts has a date and, elsewhere, an amount."""
+    first = F.array_position(F.transform(row, lambda c: c["d"]["like"]), True)
+    return (first > 0) & F.exists(F.transform(row, lambda c, i: c["shaped"] & (i + 1 != first)), lambda x: x)
+
+
+# Mappings
 
 
 @dataclass
@@ -146,240 +170,220 @@ class Mapping:
         if (self.amount_sign == "SIGN_COLUMN") != (self.sign_column is not None):
             raise ValueError("a sign column goes with SIGN_COLUMN, and with nothing else")
 
-    def used(self) -> set[int]:
-        return {c for c in (self.date_column, self.description_column, self.amount_column, self.sign_column, self.debit_column, self.credit_column) if c is not None}
-
-
-def date_format_of(values: list[str], uncertain: set[str]) -> str:
-    """A pattern if all dates agree on one, else AMBIGUOUS."""
-    values = [v.strip() for v in values if date_like(v)]
-    if values and all(ISO.fullmatch(v) for v in values):
-        return "yyyy-MM-dd"
-    if values and all(NAMED.fullmatch(v) for v in values):
-        return "dd-MMM-yyyy"
-    found = [m for m in map(NUMERIC.fullmatch, values) if m]
-    day_first = bool(found) and all(int(m[1]) <= 31 and int(m[3]) <= 12 for m in found)
-    month_first = bool(found) and all(int(m[1]) <= 12 and int(m[3]) <= 31 for m in found)
-    if day_first != month_first:
-        s = found[0][2]
-        return f"dd{s}MM{s}yyyy" if day_first else f"MM{s}dd{s}yyyy"
-    uncertain.add("DATE_FORMAT")
-    return AMBIGUOUS
-
-
-def balance_of(sample: list[list[str]], columns: list[int]) -> tuple[int, int, str] | None:
-    """(balance, amount, sign) if exactly one ordered pair of columns behaves as a
-    running balance and its amounts."""
-    found = []
-    for balance in columns:
-        for amount in columns:
-            if balance == amount:
-                continue
-            plus = minus = pairs = 0
-            for before, now in zip(sample, sample[1:]):
-                b0, b1, a = money(before[balance]), money(now[balance]), money(now[amount])
-                if None in (b0, b1, a):
-                    continue
-                pairs += 1
-                plus += b1 - b0 == a
-                minus += b1 - b0 == -a
-            if pairs >= 3 and max(plus, minus) >= 0.75 * pairs:
-                found.append((balance, amount, "NEGATIVE_IS_DEBIT" if plus >= minus else "POSITIVE_IS_DEBIT"))
-    return found[0] if len(found) == 1 else None
-
-
-def hinted(header: list[str] | None, columns, hints) -> list[int]:
-    return [c for c in columns if header and any(h in header[c].lower() for h in hints)]
-
-
-def amounts_of(sample, columns: list[int], header, uncertain: set[str]) -> dict | None:
-    """How amounts are written: one column with a sign, or debit and credit."""
-    if not columns:
-        return None
-    if balance := balance_of(sample, columns):
-        return {"amount_column": balance[1], "amount_sign": balance[2]}
-    if len(columns) == 1:
-        uncertain.add("AMOUNT_SIGN")
-        return {"amount_column": columns[0], "amount_sign": "NEGATIVE_IS_DEBIT"}
-    if len(columns) == 2:
-        a, b = columns
-        one = sum(bool(r[a].strip()) != bool(r[b].strip()) for r in sample)
-        if one >= 0.8 * len(sample):
-            debit, credit = hinted(header, columns, DEBIT_HINTS), hinted(header, columns, CREDIT_HINTS)
-            if len(debit) == 1 and debit != credit:
-                return {"debit_column": debit[0], "credit_column": b if debit[0] == a else a}
-            if len(credit) == 1:
-                return {"debit_column": b if credit[0] == a else a, "credit_column": credit[0]}
-            uncertain.add("AMOUNT_COLUMNS")
-            return {"debit_column": a, "credit_column": b}
-    uncertain |= {"AMOUNT_COLUMNS", "AMOUNT_SIGN"}
-    return {"amount_column": columns[0], "amount_sign": "NEGATIVE_IS_DEBIT"}
-
-
-def description_of(sample, columns: list[int], header, uncertain: set[str]) -> int | None:
-    if len(columns) < 2:
-        return columns[0] if columns else None
-    if len(hint := hinted(header, columns, DESCRIPTION_HINTS)) == 1:
-        return hint[0]
-    length = sorted(((sum(len(r[c].strip()) for r in sample) / len(sample), -c) for c in columns), reverse=True)
-    if length[0][0] == 0 or length[1][0] / length[0][0] > 0.85:
-        uncertain.add("DESCRIPTION")
-    return -length[0][1]
-
-
-def layout(rows: list[list[str]]) -> tuple[int, int | None, int | None]:
-    """(the width that most records have, of equals the one seen first; the first
-    data row; its header)."""
-    widths: dict[int, int] = {}
-    for r in rows:
-        widths[len(r)] = widths.get(len(r), 0) + 1
-    width = max(widths, key=widths.get, default=0)
-    first = next((i for i, r in enumerate(rows[:SAMPLE]) if len(r) == width and data_like(r)), None)
-    above = -1 if first is None else first - 1
-    return width, first, above if above >= 0 and len(rows[above]) == width and not data_like(rows[above]) else None
-
-
-def date_rates(rows: list[list[str]], width: int, first: int) -> list[float]:
-    """The share of dates in each column of the sample."""
-    sample = [r for r in rows[first:] if len(r) == width][:SAMPLE]
-    return [sum(date_like(r[c]) for r in sample) / len(sample) for c in range(width)]
-
-
-def infer(rows: list[list[str]]) -> Mapping | None:
-    """The mapping of a file's columns, or None where there is none."""
-    width, first, header_row = layout(rows)
-    if width < 3 or first is None:
-        return None
-    header = rows[header_row] if header_row is not None else None
-    sample = [r for r in rows[first:] if len(r) == width][:SAMPLE]
-    uncertain: set[str] = set()
-    rates = date_rates(rows, width, first)
-    date = rates.index(max(rates))
-    if rates[date] < 0.8 or rates.count(rates[date]) > 1:
-        uncertain.add("DATE_COLUMN")
-
-    def is_money(c: int) -> bool:
-        cells = [r[c] for r in sample if r[c].strip()]
-        return bool(cells) and sum(map(money_like, cells)) >= 0.8 * len(cells)
-
-    moneys = [c for c in range(width) if c != date and is_money(c)]
-    amounts = amounts_of(sample, moneys, header, uncertain)
-    rest = [c for c in range(width) if c != date and c not in moneys]
-    description = description_of(sample, rest, header, uncertain)
-    if amounts is None or description is None:
-        return None
-    m = Mapping(header_row, first, date, date_format_of([r[date] for r in sample], uncertain), description, **amounts)
-    m.uncertain, m.unmapped = sorted(uncertain), [c for c in range(width) if c not in m.used()]
-    return m
-
-
-def parse_date(text: str, pattern: str) -> str | None:
-    """yyyy-MM-dd, or None. A day past the month's end becomes its last day, up to
-    the 31st; day and month need two digits."""
-    t = text.strip()
-    if pattern == "dd-MMM-yyyy":
-        m = NAMED.fullmatch(t)
-        if not m or len(m[1]) != 2 or m[2].lower() not in MONTH_NAMES:
-            return None
-        y, mo, d = int(m[3]), MONTH_NAMES.index(m[2].lower()) + 1, int(m[1])
-    else:
-        shape = re.fullmatch(r"(yyyy|dd|MM)(.)(dd|MM)(.)(yyyy|dd|MM)", pattern)
-        if not shape:
-            return None
-        expression = "".join(r"(\d{4})" if p == "yyyy" else r"(\d{2})" if p in ("dd", "MM") else re.escape(p) for p in shape.groups())
-        m = re.fullmatch(expression, t)
-        if not m:
-            return None
-        part = dict(zip([p for p in shape.groups() if p in ("yyyy", "dd", "MM")], map(int, m.groups())))
-        y, mo, d = part["yyyy"], part["MM"], part["dd"]
-    if not (1 <= mo <= 12 and 1 <= d <= 31 and y >= 1):
-        return None
-    return f"{y:04d}-{mo:02d}-{min(d, calendar.monthrange(y, mo)[1]):02d}"
-
-
-def amount_of(cells: list[str], m: Mapping) -> int | None:
-    if m.debit_column is not None:
-        debit, credit = money(cells[m.debit_column]), money(cells[m.credit_column])
-        if (debit is None) == (credit is None):
-            return None
-        return -abs(debit) if debit is not None else abs(credit)
-    n = money(cells[m.amount_column])
-    if n is None:
-        return None
-    if m.amount_sign == "SIGN_COLUMN":
-        mark = cells[m.sign_column].strip().lower()
-        if mark.startswith("d") or "dr" in mark:
-            return -abs(n)
-        return abs(n) if mark.startswith("c") or "cr" in mark else None
-    return -n if m.amount_sign == "POSITIVE_IS_DEBIT" else n
-
-
-def map_row(cells: list[str], m: Mapping) -> tuple[str | None, str | None, int | None, str | None]:
-    """(date, description, amount, reason of failure)."""
-    need = max(m.used()) + 1
-    if len(cells) < need:
-        return None, None, None, FEW_COLUMNS.format(need, len(cells))
-    if m.date_format == AMBIGUOUS:
-        return None, None, None, NOT_CONFIRMED.format(m.date_format)
-    date = parse_date(cells[m.date_column], m.date_format)
-    if date is None:
-        return None, None, None, BAD_DATE.format(cells[m.date_column])
-    amount = amount_of(cells, m)
-    if amount is None:
-        return None, None, None, BAD_AMOUNT
-    return date, cells[m.description_column].strip(), amount, None
-
-
-CELLS = "path string, outcome string, row_index int, cells array<string>"
-ROWS = "path string, row_index int, date string, description string, amount_minor long, reason string, raw string"
-MAPPINGS = "path string, outcome string, width int, header_row int, first_row int, date_rate double, date_column int, date_format string, description_column int, amount_column int, amount_sign string, debit_column int, credit_column int, uncertain array<string>, unmapped array<int>, day_first_failures int, month_first_failures int"
-
-
-def _table(files: DataFrame, schema: str, of) -> DataFrame:
-    """The rows that ``of(path, content, length)`` gives of each file."""
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def task(batches):
-        import pandas as pd
-
-        for b in batches:
-            for p, c, n in zip(b["path"], b["content"], b["length"]):
-                yield pd.DataFrame(of(p, c, None if n < 0 else n), columns=names, dtype=object)
+NUMBERS = ("header_row", "first_row", "date_column", "description_column", "amount_column", "sign_column", "debit_column", "credit_column")
+TEXTS = ("date_format", "amount_sign")
+
+
+def stated(mapping: Mapping) -> dict[str, Column]:
+    """A mapping as columns."""
+    held = asdict(mapping)
+    return {k: F.lit(held[k]).cast("int") for k in NUMBERS} | {k: F.lit(held[k]).cast("string") for k in TEXTS}
+
+
+def count_of(rows: Column, test) -> Column:
+    return F.size(F.filter(rows, test))
+
+
+def at(items: Column, index) -> Column:
+    """An element by its place from 0; null beyond the end."""
+    return F.get(items, index)
+
+
+def hinted(header: Column, column: Column, hints: tuple[str, ...]) -> Column:
+    """Whether a header names a column so; false without one."""
+    name = F.lower(at(header, column))
+    return F.coalesce(F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(name, h)), F.lit(False))
+
+
+def samples_of(cells: DataFrame) -> DataFrame:
+    """A row for each text: path, width (that most records have; of equals the one seen
+    first), first_row (the first of the first ``SAMPLE`` that holds data), header_row (the
+    one above, if it is as wide and no data), header, and sample: the facts of at most
+    ``SAMPLE`` records of that width from the first on."""
+    rows = cells.where("cells is not null").withColumn("w", F.size("cells"))
+    width = rows.groupBy("path", "w").agg(F.count("*").alias("n"), F.min("row_index").alias("seen"))
+    width = width.groupBy("path").agg(F.max_by("w", F.struct("n", -F.col("seen"))).alias("width"))
+    wide = rows.join(width, "path").where("w = width")
+    early = wide.where(F.col("row_index") < SAMPLE).select("path", "row_index", "cells", F.transform("cells", facts).alias("facts")).withColumn("data", data_like(F.col("facts")))
+    first = early.where("data").groupBy("path").agg(F.min("row_index").alias("first_row"))
+    above = early.where("not data").select("path", (F.col("row_index") + 1).alias("first_row"), F.col("cells").alias("header"))
+    known = width.join(first, "path", "left").join(above, ["path", "first_row"], "left")
+    known = known.withColumn("header_row", F.when(F.col("header").isNotNull(), F.col("first_row") - 1))
+    # Files are small, and ranks stop at the sample.
+    later = wide.select("path", "row_index", "cells").join(first, "path").where("row_index >= first_row")
+    later = later.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("row_index"))).where(F.col("r") <= SAMPLE)
+    each = later.select("path", "r", F.transform("cells", facts).alias("facts"))
+    sample = each.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "facts"))), lambda x: x["facts"]).alias("sample"))
+    return known.join(sample, "path", "left")
+
+
+def with_columns(s: DataFrame) -> DataFrame:
+    """Adds date_column, date_rate, and the columns of amounts (``moneys``) and of
+    neither (``texts``)."""
+    rows, n = F.col("sample"), F.size("sample")
+    columns = F.sequence(F.lit(0), F.col("width") - 1)
+    tally = lambda c: F.struct(
+        c.alias("c"), count_of(rows, lambda r: at(r, c)["d"]["like"]).alias("dates"), count_of(rows, lambda r: at(r, c)["filled"]).alias("filled"), count_of(rows, lambda r: at(r, c)["shaped"]).alias("shaped"),
+        F.aggregate(rows, F.lit(0), lambda x, r: x + at(r, c)["length"]).alias("length"),
+    )
+    s = s.withColumn("tally", F.transform(columns, tally))
+    most = F.array_max(F.transform("tally", lambda t: t["dates"]))
+    s = s.withColumn("best", F.filter("tally", lambda t: t["dates"] == most))
+    s = s.withColumns({"date_column": at(F.col("best"), 0)["c"], "date_rate": at(F.col("best"), 0)["dates"] / n})
+    is_money = lambda t: (t["c"] != F.col("date_column")) & (t["filled"] > 0) & (t["shaped"] / F.when(t["filled"] > 0, t["filled"]) >= ENOUGH)
+    s = s.withColumn("moneys", F.transform(F.filter("tally", is_money), lambda t: t["c"]))
+    return s.withColumn("texts", F.filter("tally", lambda t: (t["c"] != F.col("date_column")) & ~F.array_contains("moneys", t["c"])))
+
+
+def with_balance(s: DataFrame) -> DataFrame:
+    """Adds ``balance``: (balance, amount, sign) if exactly one ordered pair of amount
+    columns behaves as a running balance and its amounts, and the amount columns that
+    are left without it (``left``)."""
+    rows = F.col("sample")
+    steps = F.when(F.size(rows) > 1, F.sequence(F.lit(1), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def seen(b: Column, a: Column) -> Column:
+        each = F.transform(steps, lambda i: F.struct(F.try_subtract(at(at(rows, i), b)["m"], at(at(rows, i - 1), b)["m"]).alias("step"), at(at(rows, i), a)["m"].alias("v")))
+        return F.filter(each, lambda x: x["step"].isNotNull() & x["v"].isNotNull())
+
+    pairs = F.flatten(F.transform("moneys", lambda b: F.transform(F.filter("moneys", lambda a: a != b), lambda a: F.struct(b.alias("balance"), a.alias("amount"), seen(b, a).alias("seen")))))
+    s = s.withColumn("pairs", pairs)
+    share = lambda p, test: count_of(p["seen"], test) / F.size(p["seen"])
+    plus = lambda p: share(p, lambda x: x["step"] == x["v"]) >= BALANCED
+    minus = lambda p: share(p, lambda x: (x["step"] == -x["v"]) & (x["step"] != x["v"])) >= BALANCED
+    sign = lambda p: F.when(F.size(p["seen"]) >= PAIRS, F.when(plus(p), "NEGATIVE_IS_DEBIT").when(minus(p), "POSITIVE_IS_DEBIT"))
+    s = s.withColumn("pairs", F.filter(F.transform("pairs", lambda p: F.struct(p["balance"].alias("balance"), p["amount"].alias("amount"), sign(p).alias("sign"))), lambda p: p["sign"].isNotNull()))
+    s = s.withColumn("balance", F.when(F.size("pairs") == 1, at(F.col("pairs"), 0)))
+    return s.withColumn("left", F.filter("moneys", lambda c: ~c.eqNullSafe(F.col("balance.balance"))))
+
+
+def with_amounts(s: DataFrame) -> DataFrame:
+    """Adds ``amounts``: one column with a sign, or debit and credit, and whether the
+    columns or the sign are uncertain; null without any amount."""
+    rows, header, left = F.col("sample"), F.col("header"), F.col("left")
+    a, b = at(left, 0), at(left, 1)
+    there = lambda r, c: at(r, c)["m"].isNotNull()
+    exclusive = count_of(rows, lambda r: there(r, a) != there(r, b)) / F.size(rows) >= ENOUGH
+    debit, credit = ({k: hinted(header, c, h) for k, c in (("a", a), ("b", b))} for h in (DEBIT_HINTS, CREDIT_HINTS))
+    null, no, yes = F.lit(None), F.lit(False), F.lit(True)
+
+    def out(amount=null, sign=null, debit=null, credit=null, columns=no, signs=no) -> Column:
+        return F.struct(amount.cast("int").alias("amount_column"), sign.cast("string").alias("amount_sign"), debit.cast("int").alias("debit_column"), credit.cast("int").alias("credit_column"), columns.alias("columns"), signs.alias("signs"))
+
+    negative = F.lit("NEGATIVE_IS_DEBIT")
+    pair = F.when(debit["a"] & credit["b"], out(debit=a, credit=b)).when(debit["b"] & credit["a"], out(debit=b, credit=a)).otherwise(out(debit=a, credit=b, columns=yes))
+    unclear = out(a, negative, columns=yes, signs=yes)
+    single = out(a, F.coalesce(F.col("balance.sign"), negative), signs=F.col("balance").isNull())
+    amounts = F.when(F.size(left) == 1, single).when((F.size(left) == 2) & exclusive, pair).when(F.size(left) > 1, unclear)
+    return s.withColumn("amounts", amounts)
+
+
+def with_description(s: DataFrame) -> DataFrame:
+    """Adds ``description``: the column and whether it is uncertain; null without any."""
+    named = F.filter("texts", lambda t: hinted(F.col("header"), t["c"], DESCRIPTION_HINTS))
+    # By length, and of equals the first.
+    ranked = F.array_sort(F.transform("texts", lambda t: F.struct((-t["length"]).alias("less"), t["c"].alias("c"))))
+    best, second = at(ranked, 0), at(ranked, 1)
+    close = (best["less"] < 0) & (second["less"] / F.when(best["less"] < 0, best["less"]) > CLOSE)
+    of = lambda c, uncertain: F.struct(c.alias("c"), uncertain.alias("uncertain"))
+    found = F.when(F.size("texts") == 1, of(at(F.col("texts"), 0)["c"], F.lit(False))).when(F.size(named) == 1, of(at(named, 0)["c"], F.lit(False)))
+    return s.withColumn("description", found.when(F.size("texts") > 1, of(best["c"], F.coalesce(close, F.lit(False)))))
+
+
+def with_date_format(s: DataFrame) -> DataFrame:
+    """Adds date_format: a pattern if all cells of the date column agree on one, else
+    AMBIGUOUS."""
+    dates = F.transform("sample", lambda r: at(r, F.col("date_column"))["d"])
+    numeric = F.filter(dates, lambda d: d["a"].isNotNull())
+    some, mark = F.size(numeric) > 0, at(numeric, 0)["separator"]
+    day_first = some & F.forall(numeric, lambda d: d["a"].between(1, 31) & d["b"].between(1, 12))
+    month_first = some & F.forall(numeric, lambda d: d["a"].between(1, 12) & d["b"].between(1, 31))
+    pattern = lambda x, y: F.concat(F.lit(x), mark, F.lit(y), mark, F.lit("yyyy"))
+    chosen = F.when(F.forall(dates, lambda d: d["iso"]), "yyyy-MM-dd").when(F.forall(dates, lambda d: d["named"]), "dd-MMM-yyyy")
+    chosen = chosen.when(day_first & ~month_first, pattern("dd", "MM")).when(month_first & ~day_first, pattern("MM", "dd")).otherwise(AMBIGUOUS)
+    return s.withColumn("date_format", chosen)
+
+
+def inferred(cells: DataFrame) -> DataFrame:
+    """What was inferred of each text among ``cells_of``: path, found, width, header_row,
+    first_row, date_rate, the columns and signs of ``Mapping``, uncertain and unmapped.
+    Fewer than three columns, no data, no amount or no description: not found."""
+    s = with_date_format(with_description(with_amounts(with_balance(with_columns(samples_of(cells).where("width >= 3 and first_row is not null"))))))
+    s = s.withColumn("found", F.col("amounts").isNotNull() & F.col("description").isNotNull())
+    flags = {
+        "AMOUNT_COLUMNS": F.col("amounts.columns"), "AMOUNT_SIGN": F.col("amounts.signs"), "DATE_COLUMN": (F.col("date_rate") < ENOUGH) | (F.size("best") > 1),
+        "DATE_FORMAT": F.col("date_format") == AMBIGUOUS, "DESCRIPTION": F.col("description.uncertain"),
+    }
+    uncertain = F.filter(F.array(*(F.when(v, k) for k, v in flags.items())), lambda x: x.isNotNull())
+    used = F.array(F.col("date_column"), F.col("description.c"), *(F.col(f"amounts.{c}") for c in ("amount_column", "debit_column", "credit_column")))
+    unmapped = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda c: ~F.exists(used, lambda u: u.eqNullSafe(c)))
+    values = {
+        "date_column": F.col("date_column"), "date_format": F.col("date_format"), "description_column": F.col("description.c"), "amount_column": F.col("amounts.amount_column"), "amount_sign": F.col("amounts.amount_sign"),
+        "sign_column": F.lit(None).cast("int"), "debit_column": F.col("amounts.debit_column"), "credit_column": F.col("amounts.credit_column"), "uncertain": uncertain, "unmapped": unmapped,
+    }
+    out = s.select("path", "found", "date_rate", *(F.when(F.col("found"), v).alias(k) for k, v in values.items()))
+    return samples_of(cells).select("path", "width", "header_row", "first_row").join(out, "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
-    length = F.col("length") if "length" in files.columns else F.lit(0)
-    return files.select("path", "content", F.coalesce(length, F.lit(-1)).cast("long").alias("length")).mapInPandas(task, schema)
 
+def mappings_of(files: DataFrame) -> DataFrame:
+    """Every file with its outcome (NoMapping, where nothing was inferred) and what was
+    inferred of it."""
+    known = inferred(cells_of(files))
+    out = decoded(files).select("path", "outcome").join(known, "path", "left")
+    nothing = F.coalesce(~F.col("found"), F.lit(False)) | ((F.col("outcome") == "Success") & F.col("found").isNull())
+    return out.withColumn("outcome", F.when(nothing, "NoMapping").otherwise(F.col("outcome"))).drop("found")
 
-def cells_of(files: DataFrame) -> DataFrame:
-    """Every record of ``files(path, content[, length])``. A file that is no text
-    has one row, with its outcome and no cells."""
-
-    def of(path, content, length):
-        outcome, text = decode(content, length)
-        return [(path, outcome, None, None)] if text is None else [(path, outcome, i, r) for i, r in enumerate(tokenize(text))]
 
-    return _table(files, CELLS, of)
+# Rows
 
 
-def mappings_of(files: DataFrame) -> DataFrame:
-    """What was inferred of each file, and how many dates either order would lose."""
-    names = [x.split()[0] for x in MAPPINGS.split(", ")]
-
-    def of(path, content, length):
-        outcome, text = decode(content, length)
-        if text is None:
-            return [(path, outcome, *[None] * 15)]
-        rows = tokenize(text)
-        width, first, header = layout(rows)
-        m = infer(rows)
-        if m is None:
-            return [(path, "NoMapping", width, header, first, *[None] * 12)]
-        x = asdict(m)
-        data = [r[m.date_column] for r in rows[m.first_row :] if len(r) > m.date_column]
-        lost = [sum(parse_date(v, f) is None for v in data) for f in ("dd/MM/yyyy", "MM/dd/yyyy")]
-        return [(path, outcome, width, header, first, max(date_rates(rows, width, first)), *(x[k] for k in names[6:15]), *lost)]
-
-    return _table(files, MAPPINGS, of)
+def parse_date(text: Column, pattern: Column) -> Column:
+    """yyyy-MM-dd, or null. A day past the month's end becomes its last day, up to
+    the 31st; day and month need two digits."""
+    t = strip(text)
+    month_name = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.lower(F.regexp_extract(t, NAMED, 2))).cast("int")
+    shape = F.translate(pattern, "yMd", "999")
+    fits = (F.regexp_replace(t, "[0-9]", "9") == shape) & pattern.rlike("^(yyyy|dd|MM).(dd|MM).(yyyy|dd|MM)$")
+    number = lambda p: F.when(F.instr(pattern, p) > 0, F.substring(t, F.instr(pattern, p), F.lit(len(p)))).try_cast("int")
+    named = (pattern == "dd-MMM-yyyy") & t.rlike(r"^\d{2}-[A-Za-z]{3}-\d{4}$")
+    y = F.when(named, F.substring(t, 8, 4).try_cast("int")).when(fits, number("yyyy"))
+    m = F.when(named, month_name).when(fits, number("MM"))
+    d = F.when(named, F.substring(t, 1, 2).try_cast("int")).when(fits, number("dd"))
+    good = (y >= 1) & m.between(1, 12) & d.between(1, 31)
+    start = F.when(good, F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0")))
+    last = F.dayofmonth(F.last_day(F.concat(start, F.lit("-01")).cast("date")))
+    return F.concat(start, F.lit("-"), F.lpad(F.least(d, last).cast("string"), 2, "0"))
+
+
+def amount_of(cells: Column, m: dict[str, Column]) -> Column:
+    """A row's signed amount under a mapping; null where it says none, or both."""
+    one, debit, credit = (money.parse(at(cells, m[c])) for c in ("amount_column", "debit_column", "credit_column"))
+    mark = F.lower(strip(at(cells, m["sign_column"])))
+    by_mark = F.when(mark.startswith("d") | mark.contains("dr"), -F.abs(one)).when(mark.startswith("c") | mark.contains("cr"), F.abs(one))
+    pair = F.when(debit.isNull() != credit.isNull(), F.coalesce(-F.abs(debit), F.abs(credit)))
+    sign = m["amount_sign"]
+    return F.when(m["debit_column"].isNotNull(), pair).when(sign == "SIGN_COLUMN", by_mark).when(sign == "POSITIVE_IS_DEBIT", -one).otherwise(one)
+
+
+def mapped(rows: DataFrame, m: dict[str, Column]) -> DataFrame:
+    """``rows`` with date, description, amount_minor and reason, by a mapping of columns;
+    rows that fail have a reason and nothing else."""
+    cells = F.col("cells")
+    need = F.greatest(*(F.coalesce(m[c], F.lit(0)) for c in NUMBERS[2:])) + 1
+    said = lambda pattern, *values: F.concat(*(x for part, v in zip(pattern.split("{}"), [*values, F.lit("")]) for x in (F.lit(part), v.cast("string"))))
+    rows = rows.withColumns({"date": parse_date(at(cells, m["date_column"]), m["date_format"]), "amount_minor": amount_of(cells, m), "description": strip(at(cells, m["description_column"]))})
+    reason = (
+        F.when(F.size(cells) < need, said(FEW_COLUMNS, need, F.size(cells)))
+        .when(m["date_format"] == AMBIGUOUS, said(NOT_CONFIRMED, m["date_format"]))
+        .when(F.col("date").isNull(), said(BAD_DATE, at(cells, m["date_column"])))
+        .when(F.col("amount_minor").isNull(), BAD_AMOUNT)
+    )
+    rows = rows.withColumn("reason", reason)
+    return rows.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("date", "description", "amount_minor")})
+
+
+ROW = ["path", "row_index", "date", "description", "amount_minor", "reason", "raw"]
 
 
 def rows_of(files: DataFrame, mapping: Mapping | None = None, swap: bool = False) -> DataFrame:
@@ -387,20 +391,31 @@ def rows_of(files: DataFrame, mapping: Mapping | None = None, swap: bool = False
     failed rows have a reason and what stands there. A file that is no text has one
     row without an index, its outcome as the reason. ``swap`` exchanges debit and
     credit."""
-
-    def of(path, content, length):
-        outcome, text = decode(content, length)
-        if text is None:
-            return [(path, None, None, None, None, outcome, None)]
-        rows = tokenize(text)
-        m = mapping or infer(rows)
-        if m is None:
-            return [(path, i, None, None, None, "no mapping", ", ".join(r)) for i, r in enumerate(rows)]
-        if swap and m.debit_column is not None:
-            m = replace(m, debit_column=m.credit_column, credit_column=m.debit_column)
-        return [(path, i, *map_row(r, m), ", ".join(r)) for i, r in enumerate(rows) if i >= m.first_row and r != [""]]
-
-    return _table(files, ROWS, of)
+    cells = cells_of(files)
+    if mapping is not None:
+        rows, m = cells.withColumn("found", F.lit(True)), stated(mapping)
+    else:
+        rows = cells.join(inferred(cells).withColumnRenamed("width", "_w"), "path", "left")
+        m = {k: F.col(k) for k in (*NUMBERS, *TEXTS)}
+    if swap:
+        m = m | {"debit_column": m["credit_column"], "credit_column": m["debit_column"]}
+    blank = (F.size("cells") == 1) & (F.element_at("cells", 1) == "")
+    data = F.col("cells").isNull() | ~F.col("found") | ((F.col("row_index") >= m["first_row"]) & ~blank)
+    rows = mapped(rows.where(data), m)
+    unread, lost = F.col("cells").isNull(), ~F.col("found")
+    out = {c: F.when(~unread & ~lost, F.col(c)) for c in ("date", "description", "amount_minor")}
+    out["reason"] = F.when(unread, F.col("outcome")).when(lost, "no mapping").otherwise(F.col("reason"))
+    return rows.withColumns(out | {"raw": F.array_join("cells", ", ")}).select(*ROW)
+
+
+def date_candidates(files: DataFrame) -> DataFrame:
+    """path, day_first_failures, month_first_failures: how many dates either order would
+    lose, of each file that has a mapping."""
+    cells = cells_of(files)
+    known = inferred(cells).where("found").select("path", "first_row", "date_column")
+    dates = cells.join(known, "path").where("row_index >= first_row and size(cells) > date_column").select("path", at(F.col("cells"), F.col("date_column")).alias("d"))
+    lost = lambda f: F.count_if(parse_date(F.col("d"), F.lit(f)).isNull()).cast("int")
+    return dates.groupBy("path").agg(lost("dd/MM/yyyy").alias("day_first_failures"), lost("MM/dd/yyyy").alias("month_first_failures"))
 
 
 def failed_rows(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Replication: the operation log, snapshots, batches, and the stream over them."""
+"""Replication: the operation log, snapshots, batches and their envelopes."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import work_dir
 from ..operators.joins import dirty
 from ..operators.merge import SYNCED
 
@@ -64,8 +63,11 @@ def from_payload(df: DataFrame, schema: str) -> DataFrame:
 
 
 def patch(json: Column, key: str, value: Column) -> Column:
-    old = F.from_json(json, "map<string,string>")
-    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(F.lit(key), value)))
+    """A JSON object with one field set to a JSON text; it keeps its place if it was
+    there. All other values stay what they are: numbers, truths, nulls, objects."""
+    old, new = F.from_json(json, "map<string,variant>"), F.parse_json(value)
+    there = F.transform_values(old, lambda k, v: F.when(k == key, new).otherwise(v))
+    return F.to_json(F.when(F.map_contains_key(old, F.lit(key)), there).otherwise(F.map_concat(old, F.create_map(F.lit(key), new))))
 
 
 def batch(rows: DataFrame, shadow: DataFrame, table: str, device: str, seq: int) -> DataFrame:
@@ -76,38 +78,6 @@ def batch(rows: DataFrame, shadow: DataFrame, table: str, device: str, seq: int)
     )
 
 
-def follow(spark, log_dir: str, state_dir: str, checkpoint: str, schema) -> int | None:
-    """Folds every new file of an operation log into a versioned snapshot table
-    and ends when there is none. The checkpoint's offsets are the cursor; each
-    batch writes the folder of its own number, so a batch that runs twice writes
-    the same. The number of the last batch is returned, if there was one."""
-    done: list[int] = []
-
-    def fold(df: DataFrame, number: int) -> None:
-        before = f"{state_dir}/{number - 1}"
-        old = spark.read.schema(schema).parquet(before) if number else spark.createDataFrame([], schema)
-        newest(old.unionByName(readable(df))).select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{state_dir}/{number}")
-        done.append(number)
-
-    log = spark.readStream.schema(schema).parquet(log_dir)
-    run = log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    if run.exception():
-        raise run.exception()
-    return done[-1] if done else None
-
-
-def stream_once(ops: DataFrame) -> DataFrame:
-    """The log as a stream, once through: the live rows of the last snapshot."""
-    spark = ops.sparkSession
-    root = work_dir(spark, "replication")
-    ops.write.parquet(f"{root}/log")
-    last = follow(spark, f"{root}/log", f"{root}/state", f"{root}/offsets", ops.schema)
-    if last is None:
-        return ops.limit(0).select("table_name", "row_id", "remote_revision")
-    return spark.read.schema(ops.schema).parquet(f"{root}/state/{last}").where("payload is not null").select("table_name", "row_id", "remote_revision")
-
-
 def derive_key(passphrase: str, salt: bytes) -> bytes:
     """A 256-bit key by PBKDF2 with HMAC-SHA256."""
     return hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, ITERATIONS, 32)
@@ -124,6 +94,16 @@ def from_pairing_code(code: str) -> bytes | None:
         return None
 
 
+def code_of(salt: Column) -> Column:
+    """``pairing_code`` of a column."""
+    return F.base64(salt)
+
+
+def salt_of(code: Column) -> Column:
+    """``from_pairing_code`` of a column."""
+    return F.try_to_binary(code, F.lit("base64"))
+
+
 def seal(text: Column, key: bytes) -> Column:
     """Version byte, nonce, AES-256-GCM."""
     return F.concat(F.lit(VERSION), F.aes_encrypt(text.cast("binary"), F.lit(key), F.lit("GCM")))
@@ -134,18 +114,23 @@ def unseal(envelope: Column, key: bytes) -> Column:
 
 
 DEMO_KEY = hashlib.sha256(b"a key of the queries' own").digest()
+#: What an envelope holds of an operation, and of a row of a snapshot.
+ROW = "table_name string, row_id string, remote_revision bigint, updated_at bigint, payload string"
+SEALED = f"version int, {ROW}"
 
 
-def sealed(ops: DataFrame) -> DataFrame:
-    """One envelope for each batch (device and number)."""
-    fields = ["table_name", "row_id", "remote_revision", "updated_at", "payload"]
+def sealed(ops: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+    """One envelope for each batch (device and number). A batch is what one push
+    sends, some hundreds of rows of a table at most."""
+    fields = ["table_name", "row_id", "remote_revision", "updated_at", "payload", "version"]
     whole = F.to_json(F.sort_array(F.collect_list(F.struct(*fields))))
-    return ops.groupBy("device_id", "seq").agg(whole.alias("_x")).select("device_id", "seq", seal(F.col("_x"), DEMO_KEY).alias("envelope"))
+    return ops.groupBy("device_id", "seq").agg(whole.alias("_x")).select("device_id", "seq", seal(F.col("_x"), key).alias("envelope"))
 
 
-def opened(envelopes: DataFrame) -> DataFrame:
-    rows = F.from_json(unseal(F.col("envelope"), DEMO_KEY), "array<struct<table_name string, row_id string>>")
-    return envelopes.select("device_id", "seq", F.size(rows).cast("bigint").alias("n"))
+def opened(envelopes: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+    """The operations of envelopes, whole."""
+    rows = F.from_json(unseal(F.col("envelope"), key), f"array<struct<{SEALED}>>")
+    return envelopes.select("device_id", "seq", F.explode(rows).alias("x")).select("device_id", "seq", "x.*")
 
 
 def run_outcome(code: int) -> str:
@@ -154,6 +139,11 @@ def run_outcome(code: int) -> str:
     return "retryable" if code == 429 or code >= 500 else "terminal"
 
 
+def outcome_of(code: Column) -> Column:
+    """``run_outcome`` of a column."""
+    return F.when(code < 300, "success").when((code == 429) | (code >= 500), "retryable").otherwise("terminal")
+
+
 class NotConfigured(RuntimeError):
     """Raised by every call of a transport that is not set up."""
 

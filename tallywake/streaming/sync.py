@@ -265,6 +265,29 @@ def cycle(state: State, log: DataFrame, snapshot: DataFrame | None, horizon: Dat
     return reaped(acknowledged(state, sent), cutoff), sent
 
 
+def outcomes(asked: DataFrame) -> DataFrame:
+    """What putting conflicts back does, one after the other, the newest first.
+
+    ``asked`` has a row for each conflict: table_name, row_id, field, id, resolved_at,
+    chosen_value, discarded_value, now (the field's JSON text) and gone (the row is).
+    Of a field of a row there may be several, as acknowledged ones stay until they
+    are purged; a value that one puts back is what the next one finds. Returns
+    table_name, row_id, field, value (after all of them), n (how many were put back)
+    and done, an array of (id, outcome).
+    """
+    each = F.struct((-F.col("resolved_at")).alias("age"), "id", "chosen_value", "discarded_value")
+    # Conflicts of one field of one row: a short list.
+    lists = asked.groupBy("table_name", "row_id", "field").agg(F.sort_array(F.collect_list(each)).alias("list"), F.first("now").alias("now"), F.bool_or("gone").alias("gone"))
+    begun = F.struct(F.col("now").alias("value"), F.lit(0).alias("n"), F.array().cast("array<struct<id:string,outcome:string>>").alias("done"))
+
+    def step(a: Column, c: Column) -> Column:
+        fits = F.coalesce(~F.col("gone") & (a["value"] == c["chosen_value"]), F.lit(False))
+        said = F.when(F.col("gone"), "ROW_GONE").when(fits, "RESTORED").otherwise("VALUE_CHANGED_SINCE")
+        return F.struct(F.when(fits, c["discarded_value"]).otherwise(a["value"]).alias("value"), (a["n"] + fits.cast("int")).alias("n"), F.concat(a["done"], F.array(F.struct(c["id"].alias("id"), said.alias("outcome")))).alias("done"))
+
+    return lists.select("table_name", "row_id", "field", F.aggregate("list", begun, step).alias("x")).select("table_name", "row_id", "field", "x.*")
+
+
 def restored(state: State, ids: DataFrame, now: int) -> tuple[State, DataFrame]:
     """The state after the discarded values of the conflicts ``ids(id)`` are put back,
     and id, outcome: RESTORED, ROW_GONE, VALUE_CHANGED_SINCE (the field is not what
@@ -275,25 +298,26 @@ def restored(state: State, ids: DataFrame, now: int) -> tuple[State, DataFrame]:
         current = F.create_map(*(x for f in SYNCED[t] for x in (F.lit(f), json_text(F.col(f)))))
         rows = state.tables[t].select(F.col("id").alias("_id"), F.col("deleted_at").isNotNull().alias("_gone"), current.alias("_now"))
         mine = asked.where(F.col("table_name") == t).join(rows, F.col("row_id") == F.col("_id"), "left")
-        outcome = F.when(F.col("_id").isNull() | F.col("_gone"), "ROW_GONE").when(F.try_element_at("_now", "field") == F.col("chosen_value"), "RESTORED").otherwise("VALUE_CHANGED_SINCE")
-        parts.append(mine.select("id", "table_name", "row_id", "field", "discarded_value", outcome.alias("outcome")))
-    done = cut(reduce(DataFrame.unionByName, parts))
+        gone = F.col("_id").isNull() | F.col("_gone")
+        parts.append(mine.select("table_name", "row_id", "field", "id", "resolved_at", "chosen_value", "discarded_value", F.try_element_at("_now", "field").alias("now"), gone.alias("gone")))
+    fields = cut(outcomes(reduce(DataFrame.unionByName, parts)))
+    done = fields.select(F.explode("done").alias("x")).select("x.*")
     tables = dict(state.tables)
     for t in TABLES:
-        # A row has one conflict for each field at most, so the list is short.
-        values = F.map_from_entries(F.collect_list(F.struct("field", "discarded_value")))
-        mine = done.where((F.col("table_name") == t) & (F.col("outcome") == "RESTORED")).groupBy(F.col("row_id").alias("_id")).agg(values.alias("_old"))
+        # A row's fields are few, and each is there once.
+        values = F.map_from_entries(F.collect_list(F.struct("field", "value")))
+        mine = fields.where((F.col("table_name") == t) & (F.col("n") > 0)).groupBy(F.col("row_id").alias("_id")).agg(values.alias("_old"), F.sum("n").alias("_n"))
         rows = tables[t].join(mine, F.col("id") == F.col("_id"), "left")
         hit = F.col("_id").isNotNull()
         typed = lambda f: F.from_json(F.concat(F.lit('{"v":'), F.try_element_at("_old", F.lit(f)), F.lit("}")), f"v {TYPES.get(f, 'string')}")["v"]
         change = {f: F.when(hit & F.map_contains_key("_old", F.lit(f)), typed(f)).otherwise(F.col(f)) for f in SYNCED[t]}
-        change |= {"updated_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")), "local_revision": F.when(hit, F.col("local_revision") + F.size("_old")).otherwise(F.col("local_revision"))}
+        change |= {"updated_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")), "local_revision": F.col("local_revision") + F.coalesce("_n", F.lit(0))}
         change["pending_operation"] = F.when(hit, "UPSERT").otherwise(F.col("pending_operation"))
         rows = rows.withColumns(change).select(*state.tables[t].columns)
         if "content_hash" in rows.columns:
             rows = rows.withColumn("content_hash", identity.content_hash(F.col("account_id"), F.col("date"), F.col("amount_minor"), F.col("description")))
         tables[t] = rows
-    back = done.where("outcome = 'RESTORED'").select(F.col("id").alias("_c"))
+    back = done.where("outcome = 'RESTORED'").select(F.col("id").alias("_c")).distinct()
     seen = state.conflicts.join(back, F.col("id") == F.col("_c"), "left")
     conflicts = seen.withColumn("acknowledged_at", F.when(F.col("_c").isNotNull(), F.coalesce("acknowledged_at", F.lit(now).cast("bigint"))).otherwise(F.col("acknowledged_at"))).select(*state.conflicts.columns)
     missing = ids.select("id").distinct().join(state.conflicts.select("id"), "id", "left_anti").select("id", F.lit("NOT_FOUND").alias("outcome"))

@@ -10,10 +10,9 @@ CELLS = ["20\u00b2", "\u0663.5", "1,234.50", "(12.00)", "-5", "", "--", "1.234",
 
 
 def test_money_is_the_column_expression(spark):
-    rows = spark.createDataFrame([(c,) for c in CELLS if c.isascii()], "c string")
+    rows = spark.createDataFrame([(c,) for c in CELLS], "c string")
     got = {r.c: r.m for r in rows.select("c", money.parse(F.col("c"), 2).alias("m")).collect()}
-    assert got == {c: S.money(c) for c in got}
-    assert S.money("20\u00b2") == 2000 and S.money("\u0663.5") == 350
+    assert got == {"20\u00b2": 2000, "\u0663.5": 350, "1,234.50": 123450, "(12.00)": -1200, "-5": -500, "": None, "--": None, "1.234": 123400, "12,5": 1250, " 7 ": 700, "Rs 9": 900, "9223372036854775808": None}
 
 
 @pytest.mark.parametrize(
@@ -28,13 +27,34 @@ def test_mappings_that_make_no_sense(change):
         S.Mapping(0, 1, 0, "yyyy-MM-dd", 1, **change)
 
 
-def test_reasons_name_what_stands_there():
+def mapped(spark, rows, m):
+    """(date, description, amount, reason) of each row under a mapping."""
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, cells array<string>")
+    return [(r.date, r.description, r.amount_minor, r.reason) for r in S.mapped(df, S.stated(m)).orderBy("k").collect()]
+
+
+def test_reasons_name_what_stands_there(spark):
     m = S.Mapping(0, 1, 0, "dd/MM/yyyy", 1, 2, "NEGATIVE_IS_DEBIT")
-    assert S.map_row(["13/13/2026", "a", "1"], m)[3] == 'unparseable date "13/13/2026"'
-    assert S.map_row(["01/02/2026", "a"], m)[3] == "expected at least 3 columns, found 2"
-    assert S.map_row(["01/02/2026", "a", "x"], m)[3] == "unparseable or ambiguous amount"
+    rows = [["13/13/2026", "a", "1"], ["01/02/2026", "a"], ["01/02/2026", "a", "x"]]
+    assert [r[3] for r in mapped(spark, rows, m)] == ['unparseable date "13/13/2026"', "expected at least 3 columns, found 2", "unparseable or ambiguous amount"]
     m.date_format = S.AMBIGUOUS
-    assert S.map_row(["01/02/2026", "a", "1"], m)[3] == 'date format "AMBIGUOUS" is not confirmed'
+    assert mapped(spark, [["01/02/2026", "a", "1"]], m)[0] == (None, None, None, 'date format "AMBIGUOUS" is not confirmed')
+
+
+def test_dates_by_pattern(spark):
+    cases = [("2026-02-31", "yyyy-MM-dd", "2026-02-28"), (" 2024-02-30 ", "yyyy-MM-dd", "2024-02-29"), ("2026-2-03", "yyyy-MM-dd", None), ("31.04.2026", "dd.MM.yyyy", "2026-04-30"), ("04.31.2026", "dd.MM.yyyy", None), ("32/01/2026", "dd/MM/yyyy", None),
+             ("01-Sep-2026", "dd-MMM-yyyy", "2026-09-01"), ("1-Sep-2026", "dd-MMM-yyyy", None), ("01-Foo-2026", "dd-MMM-yyyy", None), ("0000-01-01", "yyyy-MM-dd", None), ("", "yyyy-MM-dd", None), ("01/02/2026", "nonsense", None), ("12-31-2026", "MM-dd-yyyy", "2026-12-31"), ("12/31/2026", "MM-dd-yyyy", None)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t string, p string, want string")
+    assert [r.got for r in df.select("k", S.parse_date(F.col("t"), F.col("p")).alias("got")).orderBy("k").collect()] == [c[2] for c in cases]
+
+
+def test_amounts_by_mapping(spark):
+    pair = S.Mapping(None, 0, 0, "yyyy-MM-dd", 1, debit_column=2, credit_column=3)
+    day = "2026-01-01"
+    assert [r[2] for r in mapped(spark, [[day, "a", "5", ""], [day, "a", "", "5"], [day, "a", "5", "5"], [day, "a", "", ""], [day, "a", "-5", ""]], pair)] == [-500, 500, None, None, -500]
+    mark = S.Mapping(None, 0, 0, "yyyy-MM-dd", 1, 2, "SIGN_COLUMN", 3)
+    assert [r[2] for r in mapped(spark, [[day, "a", "-5", " Dr"], [day, "a", "5", "by CR note"], [day, "a", "5", "c"], [day, "a", "5", "?"], [day, "a", "5", "debit"]], mark)] == [-500, 500, 500, None, -500]
+    assert mapped(spark, [[day, " a b ", "5"]], S.Mapping(None, 0, 0, "yyyy-MM-dd", 1, 2, "POSITIVE_IS_DEBIT"))[0] == (day, "a b", -500, None)
 
 
 def test_no_file_vanishes(spark, tmp_path):
@@ -66,12 +86,19 @@ HEADS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(HEADS))
-def test_layouts(name):
-    head, rows, want = HEADS[name]
-    for text in ("\n".join([head, *rows]), "My bank\n\n" + "\n".join([head, *rows, *rows])):
-        m = S.infer(S.tokenize(text))
-        assert m is not None and {k: getattr(m, k) for k in want} == want
+def inferred(spark, texts):
+    """The mapping of each text by its name; None where nothing was inferred."""
+    files = spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "path string, content binary")
+    return {r.path: None if r.outcome == "NoMapping" else r for r in S.mappings_of(files).collect()}
+
+
+def test_layouts(spark):
+    texts = {}
+    for name, (head, rows, _) in HEADS.items():
+        texts |= {name: "\n".join([head, *rows]), f"{name}, late": "My bank\n\n" + "\n".join([head, *rows, *rows])}
+    for name, m in inferred(spark, texts).items():
+        want = HEADS[name.removesuffix(", late")][2]
+        assert m is not None and {k: m[k] for k in want} == want, name
 
 
 def statement(head, *rows):
@@ -96,19 +123,31 @@ SHAPES = {
     "month first": (statement("Day,What,Sum", "04/23/2025,rent,-100.00", "05/06/2025,wages,500.00"), dict(date_format="MM/dd/yyyy", uncertain=["AMOUNT_SIGN"])),
     "named month": (statement("Day,What,Sum", "23-Apr-2025,rent,-100.00", "05-Jun-2025,wages,500.00"), dict(date_format="dd-MMM-yyyy")),
     "orders that contradict": (statement("Day,What,Sum", "23/04/2025,rent,-100.00", "04/23/2025,wages,500.00"), dict(date_format="AMBIGUOUS", uncertain=["AMOUNT_SIGN", "DATE_FORMAT"])),
+    "balance, fee and amount": (statement("Day,What,Fee,Sum,Left", "2025-03-01,rent,1.50,-100.00,900.00", "2025-03-02,wages,1.50,500.00,1400.00", "2025-03-03,bread,1.50,-20.00,1380.00", "2025-03-04,books,1.50,-80.00,1300.00", "2025-03-05,train,1.50,-50.00,1250.00"), dict(amount_column=2, amount_sign="NEGATIVE_IS_DEBIT", uncertain=["AMOUNT_COLUMNS", "AMOUNT_SIGN"], unmapped=[3, 4])),
+    "balance taken out leaves a pair": (statement("Day,What,Debit,Credit,Sum,Left", "2025-03-01,rent,100.00,,,900.00", "2025-03-02,wages,,500.00,,1400.00", "2025-03-03,bread,20.00,,,1380.00"), dict(uncertain=["AMOUNT_COLUMNS", "AMOUNT_SIGN"])),
+    "one hint alone": (statement("Day,What,Debit,Other", "2025-03-01,rent,100.00,", "2025-03-02,wages,,500.00"), dict(debit_column=2, credit_column=3, uncertain=["AMOUNT_COLUMNS"])),
+    "populated means parsed": (statement("Day,What,Debit,Credit", *[f"2025-03-{k:02d},rent,{k}.00,-" for k in range(1, 4)], *[f"2025-03-{k:02d},rent,-,{k}.00" for k in range(6, 8)], *[f"2025-03-{k:02d},rent,,{k}.00" for k in range(10, 20)], *[f"2025-03-{k:02d},rent,{k}.00," for k in range(20, 29)]), dict(debit_column=2, credit_column=3, uncertain=[])),
+    "a date that is none": (statement("Day,What,Sum", "2025-03-01,rent,-100.00", "2025-03-02,wages,500.00", "pending,bread,-5.00", *[f"2025-04-{k:02d},bread,-5.00" for k in range(1, 20)]), dict(date_column=0, date_format="AMBIGUOUS", uncertain=["AMOUNT_SIGN", "DATE_FORMAT"])),
     "too few columns": (statement("Day,Sum", "2025-03-01,-100.00"), None),
     "prose": ("Nothing of a bank.\nOnly words.\nAnd more of them.", None),
 }
 
 
-@pytest.mark.parametrize("name", sorted(SHAPES))
-def test_shapes(name):
-    text, want = SHAPES[name]
-    m = S.infer(S.tokenize(text))
-    assert (m is None) if want is None else {k: getattr(m, k) for k in want} == want
+def test_shapes(spark):
+    for name, m in inferred(spark, {k: t for k, (t, _) in SHAPES.items()}).items():
+        want = SHAPES[name][1]
+        assert (m is None) if want is None else {k: m[k] for k in want} == want, name
+
+
+def test_amounts_of_other_countries(spark):
+    files = spark.createDataFrame([("f", SHAPES["other ways to write amounts"][0].encode())], "path string, content binary")
+    assert [r.amount_minor for r in S.rows_of(files).orderBy("row_index").collect()] == [-110050, 50000025]
 
 
-def test_amounts_of_other_countries():
-    rows = S.tokenize(SHAPES["other ways to write amounts"][0])
-    m = S.infer(rows)
-    assert [S.map_row(r, m)[2] for r in rows[1:]] == [-110050, 50000025]
+def test_a_wide_and_a_long_file(spark):
+    """The sample is bounded, and rows beyond it are mapped all the same."""
+    rows = [f"2026-01-{k % 28 + 1:02d},row {k} of many,{k}.00" for k in range(3000)]
+    wide = ",".join(["2026-01-05", "text that is here", "5.00", *["x"] * 300])
+    files = spark.createDataFrame([("long", "\n".join(["Date,What,Sum", *rows]).encode()), ("wide", "\n".join([wide] * 3).encode())], "path string, content binary")
+    got = S.rows_of(files).groupBy("path").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("s")).collect()
+    assert {r.path: (r.n, r.s) for r in got} == {"long": (3000, 100 * sum(range(3000))), "wide": (3, 1500)}
