@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: Currencies whose number of decimal places is not two.
 DECIMAL_PLACES = {"JPY": 0, "KRW": 0, "VND": 0, "CLP": 0, "KWD": 3, "BHD": 3, "OMR": 3, "JOD": 3, "TND": 3}
@@ -22,8 +22,8 @@ def other_digits() -> list[str]:
 def plain(c: Column) -> Column:
     """Decimal digits of any script as 0 to 9."""
     every = other_digits()
-    other = F.translate(c, "".join(every), "".join(str(int(x)) for x in every))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), other).otherwise(c)
+    to_ascii = lambda k: F.translate(k, "".join(every), "".join(str(int(x)) for x in every))
+    return let(c, lambda k: F.when(k.rlike(r"[^\x00-\x7F]"), to_ascii(k)).otherwise(k))
 
 
 def digits(c: Column) -> Column:
@@ -38,19 +38,24 @@ def parse(raw: Column, places: int = 2) -> Column:
     thousands. Fractions are padded or cut to ``places``; what does not fit a long
     is null.
     """
-    text = strip(raw)
-    wrapped = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
-    bare = F.when(wrapped, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    negative = (text.startswith("(") & text.endswith(")")) | bare.startswith("-")
-    kept = plain(F.regexp_replace(bare, r"[^\p{Nd}.,]", ""))
-    separated = kept.rlike("[.,]")
-    whole = digits(F.when(separated, F.regexp_extract(kept, r"^(.*)[.,][^.,]*$", 1)).otherwise(kept))
-    fraction = F.when(separated, F.regexp_extract(kept, r"[.,]([^.,]*)$", 1)).otherwise(F.lit(""))
-    grouped = F.length(fraction) == 3
-    units = F.when(grouped, F.concat(whole, fraction)).otherwise(whole)
-    cents = F.rpad(F.when(grouped, F.lit("")).otherwise(fraction), places, "0") if places else F.lit("")
-    size = F.concat(F.when(units == "", F.lit("0")).otherwise(units), cents).try_cast("bigint")
-    return F.when(kept != "", F.when(negative, -size).otherwise(size))
+
+    def size(kept: Column) -> Column:
+        """The magnitude of digits, dots and commas; null where there are none."""
+        parts = F.when(kept.rlike("[.,]"), F.struct(F.regexp_extract(kept, r"^(.*)[.,][^.,]*$", 1).alias("whole"), F.regexp_extract(kept, r"[.,]([^.,]*)$", 1).alias("fraction")))
+        return let(F.coalesce(parts, F.struct(kept.alias("whole"), F.lit("").alias("fraction"))), lambda p: F.when(kept != "", minor(digits(p["whole"]), p["fraction"])))
+
+    def minor(whole: Column, fraction: Column) -> Column:
+        grouped = F.length(fraction) == 3
+        units = F.when(grouped, F.concat(whole, fraction)).otherwise(F.when(whole == "", "0").otherwise(whole))
+        cents = F.rpad(F.when(grouped, F.lit("")).otherwise(fraction), places, "0") if places else F.lit("")
+        return F.concat(units, cents).try_cast("bigint")
+
+    def signed_size(text: Column) -> Column:
+        wrapped = text.startswith("(") & text.endswith(")")
+        bare = F.when(wrapped & (F.length(text) > 1), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+        return let(bare, lambda b: let(let(F.regexp_replace(b, r"[^\p{Nd}.,]", ""), lambda k: size(plain(k))), lambda n: F.when(wrapped | b.startswith("-"), -n).otherwise(n)))
+
+    return let(strip(raw), signed_size)
 
 
 def decimal_places(currency: Column) -> Column:

@@ -11,6 +11,12 @@ ACRONYMS = ("ATM", "NEFT", "UPI", "EMI")
 SHORT = 5
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, in which the value is computed once however often it stands
+    there: a column that is used in several places is a tree that grows with each."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space around it, also that beyond ASCII."""
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")

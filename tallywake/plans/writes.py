@@ -82,8 +82,9 @@ query("mark_synced", "SELECT id, CASE WHEN n % 2 = 0 AND n % 3 <> 0 THEN 9 ELSE
 query("apply_remote_tombstone", "SELECT id, CASE WHEN n % 5 = 0 THEN 77 ELSE deleted_at END AS deleted_at, CASE WHEN n % 5 = 0 THEN greatest(local_revision, 3) ELSE local_revision END AS local_revision FROM tx")(
     lambda L: dml.remote_tombstone(L.tx, L.tx.where(number() % 5 == 0).select("id", F.lit(77).cast("bigint").alias("deleted_at"), F.lit(3).cast("bigint").alias("remote_revision"))).select("id", "deleted_at", "local_revision")
 )
-query("hard_delete", """SELECT 'tx' AS t, id, CASE WHEN category_id <> 'MACHINERY' THEN category_id END AS category_id FROM tx UNION ALL SELECT 'categories', id, id FROM categories WHERE id <> 'MACHINERY'
- UNION ALL SELECT 'budgets', id, category_id FROM budgets WHERE category_id <> 'MACHINERY' UNION ALL SELECT 'rules', id, category_id FROM rules WHERE category_id <> 'MACHINERY'""")(lambda L: _hard(L))
+GONE = "SELECT id FROM categories WHERE deleted_at IS NOT NULL"
+query("hard_delete", f"""SELECT 'tx' AS t, id, CASE WHEN category_id NOT IN ({GONE}) THEN category_id END AS category_id FROM tx UNION ALL SELECT 'categories', id, id FROM categories WHERE id NOT IN ({GONE})
+ UNION ALL SELECT 'budgets', id, category_id FROM budgets WHERE category_id NOT IN ({GONE}) UNION ALL SELECT 'rules', id, category_id FROM rules WHERE category_id NOT IN ({GONE})""")(lambda L: _hard(L))
 
 
 def _hard(L):

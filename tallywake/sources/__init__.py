@@ -1,0 +1,8 @@
+"""Functions that run in Python workers travel by value, so that executors need not
+have this package installed."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..functions.text import strip
+from ..functions.text import let, strip
+from ..lineage import cut
 
 #: Fixed values.
 MOST_BYTES, SNIFFED, SAMPLE = 5 * 1024 * 1024, 8192, 50
@@ -95,6 +96,14 @@ def cells_of(files: DataFrame) -> DataFrame:
     return decoded(files).mapInPandas(task, "path string, outcome string, row_index int, cells array<string>")
 
 
+def cells_once(files: DataFrame) -> DataFrame:
+    """``cells_of``, cut once and kept in the shared folder, as inference looks at the
+    first records and mapping at all. Dealt out by a number of partitions, as few
+    bytes here are much work."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(cells_of(files.repartition(n, "path")))
+
+
 # Cells
 
 
@@ -102,15 +111,20 @@ def date_parts(cell: Column) -> Column:
     """What a cell is as a date: like (its shape, with day and month in range; the
     calendar is not asked), iso, named, and the numbers a and b around the separator of
     a numeric date."""
-    t = strip(cell)
-    part = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
-    a, b = part(NUMERIC, 1), part(NUMERIC, 3)
-    iso = t.rlike(ISO) & part(ISO, 2).between(1, 12) & part(ISO, 3).between(1, 31)
-    named = t.rlike(NAMED)
-    month = F.lower(F.regexp_extract(t, NAMED, 2)).isin(*MONTH_NAMES)
-    numeric = (a.between(1, 31) & b.between(1, 12)) | (a.between(1, 12) & b.between(1, 31))
-    like = F.when(t.rlike(ISO), iso).when(named, part(NAMED, 1).between(1, 31) & month).otherwise(F.coalesce(numeric, F.lit(False)))
-    return F.struct(like.alias("like"), iso.alias("iso"), named.alias("named"), a.alias("a"), b.alias("b"), F.regexp_extract(t, NUMERIC, 2).alias("separator"))
+
+    def parts(t: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
+        iso = t.rlike(ISO) & part(ISO, 2).between(1, 12) & part(ISO, 3).between(1, 31)
+        month = F.lower(F.regexp_extract(t, NAMED, 2)).isin(*MONTH_NAMES)
+
+        def whole(n: Column) -> Column:
+            numeric = (n["a"].between(1, 31) & n["b"].between(1, 12)) | (n["a"].between(1, 12) & n["b"].between(1, 31))
+            like = F.when(t.rlike(ISO), iso).when(t.rlike(NAMED), part(NAMED, 1).between(1, 31) & month).otherwise(F.coalesce(numeric, F.lit(False)))
+            return F.struct(like.alias("like"), iso.alias("iso"), t.rlike(NAMED).alias("named"), n["a"].alias("a"), n["b"].alias("b"), F.regexp_extract(t, NUMERIC, 2).alias("separator"))
+
+        return let(F.struct(part(NUMERIC, 1).alias("a"), part(NUMERIC, 3).alias("b")), whole)
+
+    return let(strip(cell), parts)
 
 
 def date_like(cell: Column) -> Column:
@@ -123,14 +137,14 @@ def money_like(cell: Column) -> Column:
 
 def facts(cell: Column) -> Column:
     """All that inference asks of a cell."""
-    t = strip(cell)
-    return F.struct(date_parts(cell).alias("d"), money.parse(cell).alias("m"), money_like(cell).alias("shaped"), (t != "").alias("filled"), F.length(t).alias("length"))
+    whole = lambda t, m: F.struct(date_parts(t).alias("d"), m.alias("m"), (~cell.rlike(r"\p{L}") & m.isNotNull()).alias("shaped"), (t != "").alias("filled"), F.length(t).alias("length"))
+    return let(strip(cell), lambda t: let(money.parse(cell), lambda m: whole(t, m)))
 
 
 def data_like(row: Column) -> Column:
     """Whether a row of facts has a date and, elsewhere, an amount."""
     first = F.array_position(F.transform(row, lambda c: c["d"]["like"]), True)
-    return (first > 0) & F.exists(F.transform(row, lambda c, i: c["shaped"] & (i + 1 != first)), lambda x: x)
+    return let(first, lambda f: (f > 0) & F.exists(F.transform(row, lambda c, i: c["shaped"] & (i + 1 != f)), lambda x: x))
 
 
 # Mappings
@@ -205,7 +219,9 @@ def samples_of(cells: DataFrame) -> DataFrame:
     width = rows.groupBy("path", "w").agg(F.count("*").alias("n"), F.min("row_index").alias("seen"))
     width = width.groupBy("path").agg(F.max_by("w", F.struct("n", -F.col("seen"))).alias("width"))
     wide = rows.join(width, "path").where("w = width")
-    early = wide.where(F.col("row_index") < SAMPLE).select("path", "row_index", "cells", F.transform("cells", facts).alias("facts")).withColumn("data", data_like(F.col("facts")))
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    early = wide.where(F.col("row_index") < SAMPLE).repartition(n, "path").select("path", "row_index", "cells", F.transform("cells", facts).alias("facts"))
+    early = cut(early.select("path", "row_index", "cells", data_like(F.col("facts")).alias("data")))
     first = early.where("data").groupBy("path").agg(F.min("row_index").alias("first_row"))
     above = early.where("not data").select("path", (F.col("row_index") + 1).alias("first_row"), F.col("cells").alias("header"))
     known = width.join(first, "path", "left").join(above, ["path", "first_row"], "left")
@@ -213,7 +229,7 @@ def samples_of(cells: DataFrame) -> DataFrame:
     # Files are small, and ranks stop at the sample.
     later = wide.select("path", "row_index", "cells").join(first, "path").where("row_index >= first_row")
     later = later.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("row_index"))).where(F.col("r") <= SAMPLE)
-    each = later.select("path", "r", F.transform("cells", facts).alias("facts"))
+    each = later.repartition(n, "path").select("path", "r", F.transform("cells", facts).alias("facts"))
     sample = each.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "facts"))), lambda x: x["facts"]).alias("sample"))
     return known.join(sample, "path", "left")
 
@@ -309,8 +325,8 @@ def inferred(cells: DataFrame) -> DataFrame:
     """What was inferred of each text among ``cells_of``: path, found, width, header_row,
     first_row, date_rate, the columns and signs of ``Mapping``, uncertain and unmapped.
     Fewer than three columns, no data, no amount or no description: not found."""
-    s = with_date_format(with_description(with_amounts(with_balance(with_columns(samples_of(cells).where("width >= 3 and first_row is not null"))))))
-    s = s.withColumn("found", F.col("amounts").isNotNull() & F.col("description").isNotNull())
+    s = with_date_format(with_description(with_amounts(with_balance(with_columns(cut(samples_of(cells)))))))
+    s = s.withColumn("found", F.coalesce((F.col("width") >= 3) & F.col("first_row").isNotNull() & F.col("amounts").isNotNull() & F.col("description").isNotNull(), F.lit(False)))
     flags = {
         "AMOUNT_COLUMNS": F.col("amounts.columns"), "AMOUNT_SIGN": F.col("amounts.signs"), "DATE_COLUMN": (F.col("date_rate") < ENOUGH) | (F.size("best") > 1),
         "DATE_FORMAT": F.col("date_format") == AMBIGUOUS, "DESCRIPTION": F.col("description.uncertain"),
@@ -322,15 +338,16 @@ def inferred(cells: DataFrame) -> DataFrame:
         "date_column": F.col("date_column"), "date_format": F.col("date_format"), "description_column": F.col("description.c"), "amount_column": F.col("amounts.amount_column"), "amount_sign": F.col("amounts.amount_sign"),
         "sign_column": F.lit(None).cast("int"), "debit_column": F.col("amounts.debit_column"), "credit_column": F.col("amounts.credit_column"), "uncertain": uncertain, "unmapped": unmapped,
     }
-    out = s.select("path", "found", "date_rate", *(F.when(F.col("found"), v).alias(k) for k, v in values.items()))
-    return samples_of(cells).select("path", "width", "header_row", "first_row").join(out, "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return s.select("path", "width", "header_row", "first_row", "found", *(F.when(F.col("found"), v).alias(k) for k, v in ({"date_rate": F.col("date_rate")} | values).items()))
 
 
 def mappings_of(files: DataFrame) -> DataFrame:
     """Every file with its outcome (NoMapping, where nothing was inferred) and what was
     inferred of it."""
-    known = inferred(cells_of(files))
-    out = decoded(files).select("path", "outcome").join(known, "path", "left")
+    cells = cells_once(files)
+    # A text without records, as one of no bytes, has no row at all.
+    outcomes = cells.groupBy("path").agg(F.first("outcome").alias("outcome"))
+    out = outcomes.join(inferred(cells), "path", "left")
     nothing = F.coalesce(~F.col("found"), F.lit(False)) | ((F.col("outcome") == "Success") & F.col("found").isNull())
     return out.withColumn("outcome", F.when(nothing, "NoMapping").otherwise(F.col("outcome"))).drop("found")
 
@@ -341,29 +358,36 @@ def mappings_of(files: DataFrame) -> DataFrame:
 def parse_date(text: Column, pattern: Column) -> Column:
     """yyyy-MM-dd, or null. A day past the month's end becomes its last day, up to
     the 31st; day and month need two digits."""
-    t = strip(text)
-    month_name = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.lower(F.regexp_extract(t, NAMED, 2))).cast("int")
-    shape = F.translate(pattern, "yMd", "999")
-    fits = (F.regexp_replace(t, "[0-9]", "9") == shape) & pattern.rlike("^(yyyy|dd|MM).(dd|MM).(yyyy|dd|MM)$")
-    number = lambda p: F.when(F.instr(pattern, p) > 0, F.substring(t, F.instr(pattern, p), F.lit(len(p)))).try_cast("int")
-    named = (pattern == "dd-MMM-yyyy") & t.rlike(r"^\d{2}-[A-Za-z]{3}-\d{4}$")
-    y = F.when(named, F.substring(t, 8, 4).try_cast("int")).when(fits, number("yyyy"))
-    m = F.when(named, month_name).when(fits, number("MM"))
-    d = F.when(named, F.substring(t, 1, 2).try_cast("int")).when(fits, number("dd"))
-    good = (y >= 1) & m.between(1, 12) & d.between(1, 31)
-    start = F.when(good, F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0")))
-    last = F.dayofmonth(F.last_day(F.concat(start, F.lit("-01")).cast("date")))
-    return F.concat(start, F.lit("-"), F.lpad(F.least(d, last).cast("string"), 2, "0"))
+
+    def parts(t: Column) -> Column:
+        month_name = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.lower(F.regexp_extract(t, NAMED, 2))).cast("int")
+        fits = (F.regexp_replace(t, "[0-9]", "9") == F.translate(pattern, "yMd", "999")) & pattern.rlike("^(yyyy|dd|MM).(dd|MM).(yyyy|dd|MM)$")
+        number = lambda p: F.when(F.instr(pattern, p) > 0, F.substring(t, F.instr(pattern, p), F.lit(len(p)))).try_cast("int")
+        named = (pattern == "dd-MMM-yyyy") & t.rlike(r"^\d{2}-[A-Za-z]{3}-\d{4}$")
+        by_name = F.struct(F.substring(t, 8, 4).try_cast("int").alias("y"), month_name.alias("m"), F.substring(t, 1, 2).try_cast("int").alias("d"))
+        return F.when(named, by_name).when(fits, F.struct(number("yyyy").alias("y"), number("MM").alias("m"), number("dd").alias("d")))
+
+    def written(x: Column) -> Column:
+        good = (x["y"] >= 1) & x["m"].between(1, 12) & x["d"].between(1, 31)
+        start = F.when(good, F.concat(F.lpad(x["y"].cast("string"), 4, "0"), F.lit("-"), F.lpad(x["m"].cast("string"), 2, "0")))
+        last = lambda s: F.dayofmonth(F.last_day(F.concat(s, F.lit("-01")).cast("date")))
+        return let(start, lambda s: F.concat(s, F.lit("-"), F.lpad(F.least(x["d"], last(s)).cast("string"), 2, "0")))
+
+    return let(let(strip(text), parts), written)
 
 
 def amount_of(cells: Column, m: dict[str, Column]) -> Column:
     """A row's signed amount under a mapping; null where it says none, or both."""
-    one, debit, credit = (money.parse(at(cells, m[c])) for c in ("amount_column", "debit_column", "credit_column"))
-    mark = F.lower(strip(at(cells, m["sign_column"])))
-    by_mark = F.when(mark.startswith("d") | mark.contains("dr"), -F.abs(one)).when(mark.startswith("c") | mark.contains("cr"), F.abs(one))
-    pair = F.when(debit.isNull() != credit.isNull(), F.coalesce(-F.abs(debit), F.abs(credit)))
     sign = m["amount_sign"]
-    return F.when(m["debit_column"].isNotNull(), pair).when(sign == "SIGN_COLUMN", by_mark).when(sign == "POSITIVE_IS_DEBIT", -one).otherwise(one)
+    amount = lambda c: money.parse(at(cells, m[c]))
+
+    def by_mark(n: Column) -> Column:
+        mark = F.lower(strip(at(cells, m["sign_column"])))
+        return let(mark, lambda k: F.when(k.startswith("d") | k.contains("dr"), -F.abs(n)).when(k.startswith("c") | k.contains("cr"), F.abs(n)))
+
+    pair = let(F.struct(amount("debit_column").alias("debit"), amount("credit_column").alias("credit")), lambda x: F.when(x["debit"].isNull() != x["credit"].isNull(), F.coalesce(-F.abs(x["debit"]), F.abs(x["credit"]))))
+    single = let(amount("amount_column"), lambda n: F.when(sign == "SIGN_COLUMN", by_mark(n)).when(sign == "POSITIVE_IS_DEBIT", -n).otherwise(n))
+    return F.when(m["debit_column"].isNotNull(), pair).otherwise(single)
 
 
 def mapped(rows: DataFrame, m: dict[str, Column]) -> DataFrame:
@@ -391,7 +415,7 @@ def rows_of(files: DataFrame, mapping: Mapping | None = None, swap: bool = False
     failed rows have a reason and what stands there. A file that is no text has one
     row without an index, its outcome as the reason. ``swap`` exchanges debit and
     credit."""
-    cells = cells_of(files)
+    cells = cells_of(files) if mapping is not None else cells_once(files)
     if mapping is not None:
         rows, m = cells.withColumn("found", F.lit(True)), stated(mapping)
     else:
@@ -411,7 +435,7 @@ def rows_of(files: DataFrame, mapping: Mapping | None = None, swap: bool = False
 def date_candidates(files: DataFrame) -> DataFrame:
     """path, day_first_failures, month_first_failures: how many dates either order would
     lose, of each file that has a mapping."""
-    cells = cells_of(files)
+    cells = cells_once(files)
     known = inferred(cells).where("found").select("path", "first_row", "date_column")
     dates = cells.join(known, "path").where("row_index >= first_row and size(cells) > date_column").select("path", at(F.col("cells"), F.col("date_column")).alias("d"))
     lost = lambda f: F.count_if(parse_date(F.col("d"), F.lit(f)).isNull()).cast("int")
