@@ -36,25 +36,30 @@ def test_tokenize():
     assert S.tokenize('﻿a,"b ""q"" \n2",c\r\n\r\nd,e') == [["a", 'b "q" \n2', "c"], [""], ["d", "e"]]
 
 
-def test_inference():
-    m = S.infer(S.tokenize("Date,Narration,Withdrawal Amt,Deposit Amt\n01/02/2026,tea,5.00,\n13/02/2026,pay,,100.00\n"))
+def test_inference(spark):
+    texts = {
+        "pair": "Date,Narration,Withdrawal Amt,Deposit Amt\n01/02/2026,tea,5.00,\n13/02/2026,pay,,100.00\n", "order": "Date,Description,Amount\n01/02/2026,tea,5.00\n03/04/2026,bus,7.00\n",
+        "narrow": "Date,Amount\n2026-01-01,5\n", "prose": "some prose, and\nmore of it\n",
+    }
+    files = spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "path string, content binary")
+    got = {r.path: r for r in S.mappings_of(files).collect()}
+    m = got["pair"]
     assert (m.debit_column, m.credit_column, m.date_format, m.uncertain) == (2, 3, "dd/MM/yyyy", [])
-    m = S.infer(S.tokenize("Date,Description,Amount\n01/02/2026,tea,5.00\n03/04/2026,bus,7.00\n"))
+    m = got["order"]
     assert m.date_format == S.AMBIGUOUS and {"DATE_FORMAT", "AMOUNT_SIGN"} <= set(m.uncertain)
-    assert S.infer(S.tokenize("Date,Amount\n2026-01-01,5\n")) is None
-    assert S.infer(S.tokenize("some prose, and\nmore of it\n")) is None
+    assert got["narrow"].outcome == got["prose"].outcome == "NoMapping"
 
 
-def test_dates_are_clamped():
-    assert S.parse_date("31/02/2026", "dd/MM/yyyy") == "2026-02-28"
-    assert S.parse_date("5/3/2026", "dd/MM/yyyy") is None
-    assert S.parse_date("15-Aug-2026", "dd-MMM-yyyy") == "2026-08-15"
+def test_dates_are_clamped(spark):
+    df = spark.createDataFrame([(0, "31/02/2026", "dd/MM/yyyy"), (1, "5/3/2026", "dd/MM/yyyy"), (2, "15-Aug-2026", "dd-MMM-yyyy")], "k int, t string, p string")
+    assert [r.d for r in df.select("k", S.parse_date(F.col("t"), F.col("p")).alias("d")).orderBy("k").collect()] == ["2026-02-28", None, "2026-08-15"]
 
 
-def test_signs():
+def test_signs(spark):
     m = S.Mapping(None, 0, 0, "yyyy-MM-dd", 1, 2, "SIGN_COLUMN", sign_column=3)
-    assert [S.amount_of(["", "", "5", x], m) for x in ("Dr", "CR", "?")] == [-500, 500, None]
-    assert S.map_row(["2026-01-01"], m)[3] == "expected at least 4 columns, found 1"
+    df = spark.createDataFrame([(k, ["", "", "5", x]) for k, x in enumerate(("Dr", "CR", "?"))], "k int, cells array<string>")
+    assert [r.a for r in df.select("k", S.amount_of(F.col("cells"), S.stated(m)).alias("a")).orderBy("k").collect()] == [-500, 500, None]
+    assert S.mapped(spark.createDataFrame([(["2026-01-01"],)], "cells array<string>"), S.stated(m)).first().reason == "expected at least 4 columns, found 1"
 
 
 def test_merge_of_notes(spark):
