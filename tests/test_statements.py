@@ -151,3 +151,17 @@ def test_a_wide_and_a_long_file(spark):
     files = spark.createDataFrame([("long", "\n".join(["Date,What,Sum", *rows]).encode()), ("wide", "\n".join([wide] * 3).encode())], "path string, content binary")
     got = S.rows_of(files).groupBy("path").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("s")).collect()
     assert {r.path: (r.n, r.s) for r in got} == {"long": (3000, 100 * sum(range(3000))), "wide": (3, 1500)}
+
+
+def test_filters_do_not_compute_inference_again(spark):
+    """What a mapping or a row is filtered by is a column, and not the expressions
+    that made it, however many refer to each other."""
+    text = "Date,Narration,Withdrawal,Deposit\n2026-01-05,tea,5.00,\n2026-01-06,pay,,7.00\n2026-01-07,pay,,8.00\n"
+    files = spark.createDataFrame([("a", text.encode())], "path string, content binary")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    known = S.mappings_of(files).where("debit_column is not null")
+    assert plan(known).count("transform(") == 0
+    assert [(r.debit_column, r.credit_column, r.uncertain) for r in known.collect()] == [(2, 3, [])]
+    rows = S.rows_of(files).where("reason is null and amount_minor % 2 = 0")
+    assert plan(rows).count("last_day(") == 1
+    assert sorted(r.amount_minor for r in rows.collect()) == [-500, 700, 800]
