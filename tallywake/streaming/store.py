@@ -13,7 +13,9 @@ driver. Any file system that Hadoop knows will do.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,8 @@ from . import replication
 THRESHOLD, GRACE_MS, WAIT_S = 50, 3_600_000, 30
 #: After so long without a snapshot another device may take over.
 STALE_MS = 90 * 86_400_000
+#: Batches that are deleted by a number of threads, and held by name, at once.
+THREADS, AT_ONCE = 16, 4096
 LOG = "created_at bigint, envelope binary, device_id string, seq bigint"
 HORIZON = "device_id string, horizon bigint"
 FOLDED = "device_id string, seq bigint"
@@ -90,7 +94,9 @@ class Store:
         task or a job that runs again replaces what it wrote."""
         at = created_at if isinstance(created_at, Column) else F.lit(created_at)
         rows = replication.sealed(ops, self.key).withColumn("created_at", at.cast("bigint"))
-        rows.select("created_at", "envelope", "device_id", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_id", "seq").json(f"{self.root}/ops")
+        # Dealt out by a number of partitions: the work is folders and not bytes.
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(n, "device_id", "seq").select("created_at", "envelope", "device_id", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_id", "seq").json(f"{self.root}/ops")
 
     def push(self, ops: DataFrame, device: str, now: int, seq: int | None = None) -> int | None:
         """Writes one batch of the device and returns its number; nothing, if there is
@@ -222,10 +228,17 @@ class Store:
             if self.owner() != device:
                 return n
             left = left.unionByName(new)
-        for r in left.toLocalIterator():
-            self.remove(f"ops/device_id={self._partition(r['device_id'])}/seq={r['seq']}")
+        self._delete(left)
         return n
 
+    def _delete(self, batches: DataFrame) -> None:
+        """Deletes batches (device_id, seq), several at a time, as each is a few calls
+        that wait; no more than ``AT_ONCE`` of their names are held."""
+        with ThreadPoolExecutor(THREADS) as pool:
+            rows = batches.select("device_id", "seq").toLocalIterator()
+            while some := [f"ops/device_id={self._partition(r['device_id'])}/seq={r['seq']}" for r in islice(rows, AT_ONCE)]:
+                list(pool.map(self.remove, some))
+
     def _partition(self, device: str) -> str:
         """A device as Spark writes it into a folder's name."""
         return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(device)
