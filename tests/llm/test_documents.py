@@ -293,3 +293,22 @@ def test_items_of_any_length_are_found(spark):
 def test_crc_is_the_contract_s(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
+
+
+def test_pairs_of_buckets_are_met_once(spark):
+    """Each pair of two components that shares buckets is met in one of them, also in
+    blocks, and the pairs are not written anywhere."""
+    from tallywake.llm import lines
+
+    buckets = {1: range(0, 30), 2: range(10, 40), 3: range(25, 50), 4: [3, 60]}
+    c = {h: h // 3 * 3 for b in buckets.values() for h in b}
+    kept = spark.createDataFrame([(k, h, c[h], c[min(b)]) for k, b in buckets.items() for h in b], "key long, h long, c long, top long")
+    facts = spark.createDataFrame([(h, 0, 50 + (h == 60) * 50, f"t{h}") for h in c], "h long, fp long, len int, text string")
+    tried = spark.createDataFrame([(20, 10), (5, 0)], "a long, b long")
+    want = {(min(x, y), max(x, y)) for b in buckets.values() for x in b for y in b if c[x] != c[y] and 60 not in (x, y)} - {(10, 20), (0, 5)}
+    for run in (4, 256):
+        met = lines.met_once(kept, facts, tried, 0.8, run)
+        assert met._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [a") == 0
+        got = [(min(r.a, r.b), max(r.a, r.b)) for r in met.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert all((r.s, r.t) == (f"t{r.a}", f"t{r.b}") for r in met.collect())
