@@ -50,12 +50,15 @@ def json_text(value: Column) -> Column:
     return F.substring(inside, 2, F.length(inside) - 2)
 
 
-def fields_of(payload: Column, table: str) -> dict[str, Column]:
-    """The JSON text of each field of a payload; SQL null for a field that is not
-    there, which no value equals."""
-    typed = F.from_json(payload, schema_of(table))
-    there = F.from_json(payload, "map<string,string>")
-    return {f: F.when(F.map_contains_key(there, F.lit(f)), json_text(typed[f])) for f in SYNCED[table]}
+#: What JSON writes in another way than it is.
+ESCAPED = r'["\\\x00-\x1f\x7f]'
+
+
+def field_texts(values: Column, odd: Column, table: str) -> dict[str, Column]:
+    """``json_text`` of each field of a struct. Numbers and truths are their own texts,
+    and texts are quoted as they are unless ``odd``: some text has ``ESCAPED`` in it."""
+    quoted = lambda v: F.when(v.isNull(), "null").when(odd, json_text(v)).otherwise(F.concat(F.lit('"'), v, F.lit('"')))
+    return {f: F.coalesce(values[f].cast("string"), F.lit("null")) if f in TYPES else quoted(values[f]) for f in SYNCED[table]}
 
 
 def object_of(fields: dict[str, Column]) -> Column:
@@ -66,16 +69,21 @@ def resolve(sides: DataFrame, table: str) -> DataFrame:
     """``sides`` with ``merged`` (a payload, null for a tombstone) and ``found``, the
     fields that were settled: array of (field, chosen, discarded, reason).
 
-    ``sides`` has local, remote and base (payloads or null), local_at, remote_at,
-    local_device and remote_device. An edit beats a deletion unless it is none, or a
-    rule's guess at the category; that is not recorded.
+    ``sides`` has local (a struct of the fields, or null), remote and base (payloads or
+    null), local_at, remote_at, local_device and remote_device. An edit beats a deletion
+    unless it is none, or a rule's guess at the category; that is not recorded.
     """
     names = SYNCED[table]
-    null = F.lit("null")
-    sides = sides.withColumn("has_base", F.col("base").isNotNull())
-    parsed = {s: fields_of(F.col(s), table) for s in ("local", "remote", "base")}
+    # Payloads are parsed once, into columns of their own: in the expression of each
+    # field they would be parsed for each field.
+    keys_of = lambda s: F.map_keys(F.from_json(s, "map<string,string>"))
+    sides = sides.withColumns({"has_base": F.col("base").isNotNull(), "local__values": F.col("local"), "base__keys": keys_of("base"), **{f"{s}__values": F.from_json(s, schema_of(table)) for s in ("remote", "base")}})
+    texts = [f for f in names if f not in TYPES]
+    sides = sides.withColumns({f"{s}__odd": F.concat_ws("", *(F.col(f"{s}__values")[f] for f in texts)).rlike(ESCAPED) for s in ("local", "remote", "base")})
+    parsed = {s: field_texts(F.col(f"{s}__values"), F.col(f"{s}__odd"), table) for s in ("local", "remote", "base")}
     # A side's field that is not there is null; a base's is different from any value.
-    sides = sides.withColumns({f"{s}_{f}": v if s == "base" else F.coalesce(v, null) for s in parsed for f, v in parsed[s].items()})
+    parsed["base"] = {f: F.when(F.array_contains("base__keys", f), v) for f, v in parsed["base"].items()}
+    sides = sides.withColumns({f"{s}_{f}": v for s in parsed for f, v in parsed[s].items()})
     side = {s: {f: F.col(f"{s}_{f}") for f in names} for s in parsed}
     has = F.col("has_base")
     outcome = {f: merge.field(side["local"][f], side["remote"][f], side["base"][f], has, merge.policy(table, f)) for f in names}
@@ -96,12 +104,12 @@ def resolve(sides: DataFrame, table: str) -> DataFrame:
     )
     settled = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"out_{f}")["value"].alias("chosen"), F.col(f"out_{f}")["discarded"].alias("discarded"), F.col(f"out_{f}")["reason"].alias("reason")) for f in names))
     found = F.when(gone["local"] | gone["remote"], F.slice(settled, 1, 0)).otherwise(F.filter(settled, lambda x: x["reason"].isNotNull()))
-    whole = F.size(F.map_keys(F.from_json(F.col("remote"), "map<string,string>"))) == len(names)
-    theirs = F.when(F.col("remote").isNotNull() & whole, object_of(side["remote"]))
     kept = [c for c in sides.columns if not c.startswith(("local_", "remote_", "base_", "out_")) or c in ("local_at", "remote_at", "local_device", "remote_device", "remote_revision", "local_revision")]
-    # What the other side does not have yet: anything but what it sent.
-    contributed = ~merged.eqNullSafe(theirs) | (F.col("remote").isNotNull() & ~F.coalesce(whole, F.lit(False)))
-    return sides.select(*kept, merged.alias("merged"), found.alias("found"), contributed.alias("contributed"))
+    # What the other side does not have yet: anything but what it sent. Its keys are
+    # counted only where all values are the same.
+    whole = F.coalesce(F.size(keys_of("remote")) == len(names), F.lit(False))
+    contributed = F.when(gone["remote"], F.col("merged").isNotNull()).when(~F.col("merged").eqNullSafe(object_of(side["remote"])), True).otherwise(~whole)
+    return sides.withColumns({"merged": merged, "found": found}).select(*kept, "merged", "found", contributed.alias("contributed"))
 
 
 def decide(ops: DataFrame, rows: DataFrame, shadow: DataFrame, table: str, device: str) -> DataFrame:
@@ -109,13 +117,14 @@ def decide(ops: DataFrame, rows: DataFrame, shadow: DataFrame, table: str, devic
     (whether there is a row), merged, found, updated_at, local_revision (not below
     any revision seen, and one more if this side adds something), remote_revision,
     pending_operation."""
-    mine = replication.not_applied(replication.newest(ops.where(F.col("table_name") == table)), shadow.where(F.col("table_name") == table))
-    base = shadow.where(F.col("table_name") == table).select("row_id", F.col("payload").alias("base"))
+    # One join with the shadow, for what was seen and for what was agreed.
+    known = shadow.where(F.col("table_name") == table).select("row_id", F.col("remote_revision").alias("_seen"), F.col("payload").alias("base"))
+    mine = replication.newest(ops.where(F.col("table_name") == table)).join(known, "row_id", "left").where("remote_revision > coalesce(_seen, 0)")
     own = rows.select(
-        F.col("id").alias("row_id"), F.lit(True).alias("stored"), F.when(F.col("deleted_at").isNull(), replication.payload(SYNCED[table])).alias("local"),
+        F.col("id").alias("row_id"), F.lit(True).alias("stored"), F.when(F.col("deleted_at").isNull(), F.struct(*SYNCED[table])).alias("local"),
         F.col("updated_at").alias("_at"), F.col("local_revision").alias("_revision"),
     )
-    sides = mine.join(own, "row_id", "left").join(base, "row_id", "left").select(
+    sides = mine.join(own, "row_id", "left").select(
         "row_id", F.coalesce("stored", F.lit(False)).alias("stored"), "local", F.col("payload").alias("remote"), "base", F.coalesce("_at", F.lit(0)).alias("local_at"), F.col("updated_at").alias("remote_at"),
         F.lit(device).alias("local_device"), F.col("device_id").alias("remote_device"), F.col("remote_revision"), F.coalesce("_revision", F.lit(0)).alias("local_revision"),
     )

@@ -117,3 +117,18 @@ def test_reaping_lets_a_category_go_last(spark, L):
         assert df.where(F.col("deleted_at") < ledger.CUTOFF_MS).count() == 0, t
     assert out.tables["transactions"].where("category_id = 'MACHINERY'").count() == 0
     assert out.shadow.join(L.tx.where(F.col("deleted_at") < ledger.CUTOFF_MS), F.col("row_id") == F.col("id")).count() == 0
+
+
+def test_payloads_are_parsed_once(spark, L):
+    """Not once for each field, which made applying slow; odd texts stay what they are."""
+    odd = {"notes": 'a "b" \\ c\n\x01 é', "merchant": "it's {\"notes\":null}", "description": ""}
+    s = state(spark, L, [("x", ROW | {"account_id": 'q"'}, 30, 3, None), ("y", ROW, 10, 1, None)], [("x", 1, {k: v for k, v in ROW.items() if k != "source"})])
+    far = ops(spark, (1, 1, "x", 9, 20, ROW | odd | {"source": "CSV_IMPORT"}), (1, 1, "y", 9, 20, {"amount_minor": "5", "notes": 7}))
+    df = sync.decide(far, s.tables["transactions"], s.shadow, "transactions", "near")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 5
+    got = {r.row_id: (json.loads(r.merged), [x.field for x in r.found], r.pending_operation) for r in df.collect()}
+    merged, found, pending = got["x"]
+    assert merged == ROW | odd | {"account_id": 'q"', "source": "MANUAL"} and found == ["source"] and pending == "UPSERT"
+    # Without a base all is a change; a value of another kind is none, and the newer one stands.
+    merged, found, pending = got["y"]
+    assert merged["amount_minor"] is None and merged["notes"] == "7" and merged["description"] is None and pending == "UPSERT"
