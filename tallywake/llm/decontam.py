@@ -54,6 +54,8 @@ MARKS = b".,;:!?\"'()[]{}*#$%&|"
 BLANKS = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
 #: Bytes of a text whose words are hashed at once.
 CHUNK = 1 << 18
+#: Windows whose lengths are taken at once.
+AT_ONCE = 128
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long, contaminated boolean"
 
 
@@ -313,20 +315,33 @@ class Index:
             last = min(4096, len(cuts)) if at + block < len(f) else len(cuts)
             for length in WINDOWS:
                 per, stride = length // step, length // step // 3
-                start = np.arange(0, max(1, min(last, len(cuts) - per + stride)), stride)
-                whole, norm = score[start].copy(), square[start].copy()
+                end = max(1, min(last, len(cuts) - per + stride))
+                # Slices, not lists of places, so that only the sums are written.
+                whole, norm = score[0:end:stride].copy(), square[0:end:stride].copy()
                 for k in range(1, per):
-                    whole += score[start + k]
-                    norm += square[start + k]
+                    whole += score[k : end + k : stride]
+                    norm += square[k : end + k : stride]
                 # Words that recur in a window make its length more than the sum of
                 # squares says; windows that pass without that are measured again.
                 likely = np.flatnonzero((norm > 0) & (whole.max(axis=1) >= least * np.sqrt(norm)))
-                for i in likely.tolist():
-                    a = int(start[i]) * step
-                    feature, counts = np.unique(part[a : a + length], return_counts=True)
-                    true = float(np.sqrt(((counts * self.idf[feature]) ** 2).sum()))
-                    for k in np.flatnonzero(whole[i] >= least * true).tolist():
-                        yield k, at + a, length, min(1.0, float(whole[i, k]) / true)
+                for some in np.split(likely, range(AT_ONCE, len(likely), AT_ONCE)):
+                    begin = some * (stride * step)
+                    true = self.lengths(part, begin, length)
+                    row, k = np.nonzero(whole[some] >= (least * true)[:, None])
+                    cosine = np.minimum(1.0, whole[some[row], k] / true[row])
+                    for i, a, c in zip(k.tolist(), begin[row].tolist(), cosine.tolist()):
+                        yield i, at + a, length, c
+
+    def lengths(self, part: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+        """TF-IDF lengths of windows: a feature's squared weight times its squared count
+        is, over the places that have it, its squared weight times its count."""
+        place = begin[:, None] + np.arange(length)
+        there = place < len(part)
+        f = part[np.minimum(place, len(part) - 1)].astype(np.int32)
+        f[~there] = -1
+        count = (f[:, :, None] == f[:, None, :]).sum(axis=2, dtype=np.int16)
+        weight = np.where(there, self.idf[f].astype(np.float64), 0.0)
+        return np.sqrt((weight * weight * count).sum(axis=1))
 
     def matches(self, text: str | None, hasher: Hasher, least: float):
         """The best check of each item that has a candidate with enough of its words
@@ -345,7 +360,7 @@ class Index:
             a = max(0, start - max(0, m - length // 2))
             region = words[a : start + length + max(0, m - length // 2)]
             have = set(region)
-            if sum(w in have for w in self.items[k]) < LCS_WITH_ANSWER * m:
+            if sum(map(have.__contains__, self.items[k])) < LCS_WITH_ANSWER * m:
                 continue  # too few words for any common subsequence that counts
             lcs, answer = check(self.items[k], region)
             found = lcs >= LCS or (lcs >= LCS_WITH_ANSWER and answer >= ANSWER)

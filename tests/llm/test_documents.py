@@ -312,3 +312,17 @@ def test_pairs_of_buckets_are_met_once(spark):
         got = [(min(r.a, r.b), max(r.a, r.b)) for r in met.collect()]
         assert len(got) == len(want) and set(got) == want
         assert all((r.s, r.t) == (f"t{r.a}", f"t{r.b}") for r in met.collect())
+
+
+def test_lengths_of_windows_with_recurring_words():
+    """All windows at once, the last one cut short, as one by one."""
+    rng = np.random.default_rng(3)
+    index = decontam.Index.__new__(decontam.Index)
+    index.idf = rng.random(decontam.WIDTH).astype(np.float32)
+    part = rng.integers(0, 12, 200).astype(np.uint16)
+    begin = np.array([0, 8, 160, 184, 192])
+    for length in decontam.WINDOWS:
+        got = index.lengths(part, begin, length)
+        for a, x in zip(begin, got):
+            f, n = np.unique(part[a : a + length], return_counts=True)
+            assert abs(x - np.sqrt(((n * index.idf[f].astype(float)) ** 2).sum())) < 1e-6
