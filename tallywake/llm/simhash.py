@@ -40,6 +40,8 @@ SEED = 42
 STAGE_WIDTH, SIMILARITY, MINIMA = 5, 0.8, 10
 #: Fingerprints of a key that are compared within one block.
 RUN = 2048
+#: Marks the stage's Golay keys, which have 30 bits.
+GOLAY_KEY = np.int64(0x601A << 48)
 GOLAY = 0b101011100011  # generator polynomial of the binary Golay code (fixed value)
 
 
@@ -233,10 +235,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id for each row of ``docs(doc_id, text)``; two texts are
-    linked if ``least`` of all their distinct shingles are in both. Candidates share
-    one of ``MINIMA`` smallest shingles; their SimHashes spare most comparisons."""
+    linked if ``least`` of all their distinct shingles are in both. Candidates share a
+    Golay key of their SimHashes, as all within ``DISTANCE`` bits do, or, as texts that
+    are so alike may differ in more bits, one of ``MINIMA`` smallest shingles."""
     from .lines import line_links
 
+    codes = golay_keys()
     salts = np.random.default_rng(SEED).integers(0, 1 << 63, (MINIMA, 2), dtype=np.uint64)
 
     def task(batches):
@@ -248,6 +252,10 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
                 node = xxh(some.tobytes())  # texts of equal shingles are one node
                 keys = [((some ^ c) * (a | np.uint64(1))).min() ^ np.uint64(k) for k, (a, c) in enumerate(salts)] if len(some) else []
                 out.append((node, np.uint64(majority(all_)).astype(np.int64).item(), len(some), np.array(keys, np.uint64).view(np.int64).tolist()))
+            row, golay = keys_of(np.array([x[1] for x in out], np.int64).view(np.uint64), *codes)
+            for i, key in zip(row.tolist(), (golay | GOLAY_KEY).tolist()):
+                if out[i][2]:  # texts without shingles are one node
+                    out[i][3].append(key)
             cols = list(zip(*out)) if out else [[]] * 4
             types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "h", "fp", "len", "keys"])

@@ -326,3 +326,17 @@ def test_lengths_of_windows_with_recurring_words():
         for a, x in zip(begin, got):
             f, n = np.unique(part[a : a + length], return_counts=True)
             assert abs(x - np.sqrt(((n * index.idf[f].astype(float)) ** 2).sum())) < 1e-6
+
+
+def test_stage_finds_close_fingerprints_by_golay_keys(spark, monkeypatch):
+    """Without any smallest shingle, as ``op6_simhash`` finds them."""
+    monkeypatch.setattr(simhash, "MINIMA", 0)
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(40):
+        a = ["".join(x) for x in rng.choice(list("abcdefghij"), (2000, 6))]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join([*a[:k], "changed", *a[k + 1 :]]))]
+    fp = [simhash.fingerprint(t, simhash.STAGE_WIDTH) for _, t in rows]
+    close = {2 * k + 1 for k in range(40) if (fp[2 * k] ^ fp[2 * k + 1]).bit_count() <= simhash.DISTANCE}
+    kept = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(close) > 20 and not close & kept and kept >= set(range(0, 80, 2))
