@@ -304,12 +304,18 @@ class Index:
             # the items. The next block's first steps belong to windows that begin here.
             part = f[at : at + block + (most - 1) * step]
             cuts = np.arange(0, len(part), step)
-            row, weight = self.row[part], self.idf[part]
-            known = np.flatnonzero(row)
+            row, weight = np.zeros(len(cuts) * step, np.int32), self.idf[part]
+            row[: len(part)] = self.row[part]
+            row = row.reshape(-1, step)
             score = np.zeros((len(cuts) + most, self.q.shape[1]), np.float32)
-            if len(known):
-                of, first = np.unique(known // step, return_index=True)
-                score[of] = np.add.reduceat(self.v[row[known]], first, axis=0) @ self.q
+            of = np.flatnonzero(row.any(axis=1))
+            if len(of):
+                # The first words of all steps, then the second ones: unknown words add
+                # the first row of v, which is zero.
+                latent = self.v[row[of, 0]]
+                for j in range(1, step):
+                    latent += self.v[row[of, j]]
+                score[of] = latent @ self.q
             square = np.zeros(len(cuts) + most, np.float32)
             square[: len(cuts)] = np.add.reduceat(weight * weight, cuts)
             last = min(4096, len(cuts)) if at + block < len(f) else len(cuts)
@@ -349,13 +355,17 @@ class Index:
         flat = plain(text)
         f = hasher(flat)
         best: dict[int, tuple] = {}
-        words = None
         found_at = [*self.candidates(f, least), *((k, a, n, 0.0) for k, a, n in self.copies(f))] if len(f) else ()
+        if found_at:
+            words = flat.split()
+            every, enough = set(words), {}
         for k, start, length, cosine in found_at:
             if not self.items[k]:
                 continue
-            if words is None:
-                words = flat.split()
+            if k not in enough:  # a window has no more of an item's words than the text
+                enough[k] = sum(map(every.__contains__, self.items[k])) >= LCS_WITH_ANSWER * len(self.items[k])
+            if not enough[k]:
+                continue
             m = len(self.items[k])
             a = max(0, start - max(0, m - length // 2))
             region = words[a : start + length + max(0, m - length // 2)]

@@ -340,3 +340,20 @@ def test_stage_finds_close_fingerprints_by_golay_keys(spark, monkeypatch):
     close = {2 * k + 1 for k in range(40) if (fp[2 * k] ^ fp[2 * k + 1]).bit_count() <= simhash.DISTANCE}
     kept = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert len(close) > 20 and not close & kept and kept >= set(range(0, 80, 2))
+
+
+def test_texts_without_an_item_s_words_cost_one_look(monkeypatch):
+    item = " ".join(f"topic{i}" for i in range(30))
+    f, v = np.unique(decontam.Hasher()(decontam.plain(item))).astype(np.int64), None
+    v = np.ones((len(f), 1)) / np.sqrt(len(f))
+    index = decontam.Index([(1, item)], np.ones(decontam.WIDTH), f, v)
+    text = " ".join(f"topic{i % 9}" for i in range(2000))
+    found = [*index.candidates(decontam.Hasher()(decontam.plain(text)), decontam.COSINE)]
+    assert len(found) > 100
+    # Sums of steps, the last of them short, against each word by itself.
+    for _, start, length, cosine in found:
+        at, value = decontam.passage(" ".join(text.split()[start : start + length]), np.ones(decontam.WIDTH))
+        assert abs(cosine - value.sum() / np.sqrt(len(f))) < 1e-4
+    sets = []
+    monkeypatch.setattr(decontam, "set", lambda x: sets.append(1) or set(x), raising=False)
+    assert index.matches(text, decontam.Hasher(), decontam.COSINE) == {} and len(sets) == 1
