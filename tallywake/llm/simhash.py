@@ -273,7 +273,7 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
     def facts_of(hashes: DataFrame) -> DataFrame:
         wanted = marked.select("doc_id", "h", "fp", "len").join(hashes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("__d"), F.first("fp").alias("fp"), F.first("len").alias("len"))
         rows = docs.join(wanted.select("__d").distinct(), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi").select("text")
-        return rows.mapInArrow(shingles, "h long, text array<long>").dropDuplicates(["h"]).join(wanted, "h").select("h", "fp", "len", "text")
+        return stored(rows.mapInArrow(shingles, "h long, text array<long>").dropDuplicates(["h"]).join(wanted, "h").select("h", "fp", "len", "text"), "facts")
 
     def alike(pairs: DataFrame, least: float) -> DataFrame:
         both, all_ = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")

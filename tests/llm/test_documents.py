@@ -357,3 +357,21 @@ def test_texts_without_an_item_s_words_cost_one_look(monkeypatch):
     sets = []
     monkeypatch.setattr(decontam, "set", lambda x: sets.append(1) or set(x), raising=False)
     assert index.matches(text, decontam.Hasher(), decontam.COSINE) == {} and len(sets) == 1
+
+
+def test_scratch_tables_go_when_they_are_read(spark):
+    """Of the line and near-dedup stages only what the result reads is left, so that the
+    pipeline's later stages do not carry it."""
+    import os
+
+    from tallywake.llm import lines
+    from tallywake.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    rows = [(k, "\n".join(f"some words of line {j} that many texts share {k % 3}" for j in range(9))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (lines.stage, simhash.stage):
+        before = set(os.listdir(folder))
+        assert stage(spark, docs, "").count() > 0
+        left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+        assert not left & {"lines", "buckets", "texts", "facts", "named", "kept"}
