@@ -375,3 +375,28 @@ def test_scratch_tables_go_when_they_are_read(spark):
         assert stage(spark, docs, "").count() > 0
         left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
         assert not left & {"lines", "buckets", "texts", "facts", "named", "kept"}
+
+
+def test_words_are_coded_only_where_few_are_missing(spark):
+    """What the cheaper test lets through still decides as edit distance does."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    rows, want = [], set()
+    for k in range(120):
+        s = [word() for _ in range(80)]
+        t = [word() if rng.random() < k / 300 else x for x in s]
+        s, t = " ".join(s), " ".join(t[(k % 4) * 3 :])
+        p = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            q = [i]
+            for j, y in enumerate(t, 1):
+                q.append(min(p[j] + 1, q[j - 1] + 1, p[j - 1] + (x != y)))
+            p = q
+        rows.append((k, -k - 1, s, t))
+        if 1000 * p[-1] <= 200 * max(len(s), len(t)):
+            want.add(k)
+    from tallywake.llm import lines
+
+    found = lines.alike(spark.createDataFrame(rows, "a long, b long, s string, t string"), 0.8)
+    assert {r.a for r in found.collect()} == want and 10 < len(want) < 110
+    assert "array_except" in found._jdf.queryExecution().optimizedPlan().toString()
