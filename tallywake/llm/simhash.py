@@ -28,10 +28,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, stored, table
+from .common import components, cut, drop, stored, table
 
 WIDTH = 3
 DISTANCE = 3
@@ -40,6 +40,9 @@ SEED = 42
 STAGE_WIDTH, SIMILARITY, MINIMA = 5, 0.8, 10
 #: Fingerprints of a key that are compared within one block.
 RUN = 2048
+#: Columns of 64 bits each, the map of a text's shingles. Texts of some hundred shingles
+#: that share few of them are told apart by it.
+MAP = ("m0", "m1", "m2", "m3")
 #: Marks the stage's Golay keys, which have 30 bits.
 GOLAY_KEY = np.int64(0x601A << 48)
 GOLAY = 0b101011100011  # generator polynomial of the binary Golay code (fixed value)
@@ -233,12 +236,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def may_be_alike(least: float) -> Column:
+    """``lines.may_link``, and whether the maps of shingles allow a link: a bit of one
+    that the other lacks is a shingle that the other lacks, so that many such bound the
+    share of shingles in both from above. It leaves out no two texts that are alike."""
+    from .lines import may_link
+
+    missing = lambda a, b: sum(F.bit_count(F.col(f"{m}_{a}").bitwiseAND(F.bitwise_not(f"{m}_{b}"))) for m in MAP)
+    enough = lambda a, b: 1000 * (F.col(f"len_{a}") - missing(a, b)) >= round(1000 * least) * (F.col(f"len_{b}") + missing(a, b))
+    return may_link(least) & enough("a", "b") & enough("b", "a")
+
+
 def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id for each row of ``docs(doc_id, text)``; two texts are
     linked if ``least`` of all their distinct shingles are in both. Candidates share a
     Golay key of their SimHashes, as all within ``DISTANCE`` bits do, or, as texts that
     are so alike may differ in more bits, one of ``MINIMA`` smallest shingles."""
-    from .lines import line_links
+    from .lines import among, line_links
 
     codes = golay_keys()
     salts = np.random.default_rng(SEED).integers(0, 1 << 63, (MINIMA, 2), dtype=np.uint64)
@@ -251,14 +265,16 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
                 some = np.unique(all_)
                 node = xxh(some.tobytes())  # texts of equal shingles are one node
                 keys = [((some ^ c) * (a | np.uint64(1))).min() ^ np.uint64(k) for k, (a, c) in enumerate(salts)] if len(some) else []
-                out.append((node, np.uint64(majority(all_)).astype(np.int64).item(), len(some), np.array(keys, np.uint64).view(np.int64).tolist()))
+                held = np.zeros(64 * len(MAP), np.uint8)
+                held[(some >> np.uint64(32)) % np.uint64(len(held))] = 1
+                out.append((node, np.uint64(majority(all_)).astype(np.int64).item(), len(some), np.array(keys, np.uint64).view(np.int64).tolist(), *np.packbits(held).view(np.int64).tolist()))
             row, golay = keys_of(np.array([x[1] for x in out], np.int64).view(np.uint64), *codes)
             for i, key in zip(row.tolist(), (golay | GOLAY_KEY).tolist()):
                 if out[i][2]:  # texts without shingles are one node
                     out[i][3].append(key)
-            cols = list(zip(*out)) if out else [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "h", "fp", "len", "keys"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *(pa.int64() for _ in MAP)]
+            cols = list(zip(*out)) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "h", "fp", "len", "keys", *MAP])
 
     def xxh(raw: bytes) -> int:
         import xxhash
@@ -270,18 +286,29 @@ def similar_documents(docs: DataFrame, width: int = STAGE_WIDTH, least: float =
             sets = [np.unique(digests(x.as_py(), width)) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([xxh(x.tobytes()) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["h", "text"])
 
-    def facts_of(hashes: DataFrame) -> DataFrame:
-        wanted = marked.select("doc_id", "h", "fp", "len").join(hashes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("__d"), F.first("fp").alias("fp"), F.first("len").alias("len"))
-        rows = docs.join(wanted.select("__d").distinct(), docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi").select("text")
-        return stored(rows.mapInArrow(shingles, "h long, text array<long>").dropDuplicates(["h"]).join(wanted, "h").select("h", "fp", "len", "text"), "facts")
+    def texts_of(hashes: DataFrame) -> DataFrame:
+        wanted = marked.select("doc_id", "h").join(hashes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("__d"))
+        # Most texts are dropped before they are shuffled.
+        rows = among(docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text"), wanted.select(F.xxhash64("__d").alias("h"))).drop("h")
+        rows = rows.join(wanted.select("__d").distinct(), F.col("doc_id").eqNullSafe(F.col("__d"))).select("text")
+        made.append(stored(rows.mapInArrow(shingles, "h long, text array<long>").dropDuplicates(["h"]).join(wanted, "h").select("h", "text"), "facts"))
+        return made[-1]
 
     def alike(pairs: DataFrame, least: float) -> DataFrame:
         both, all_ = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
         return pairs.where(1000 * both >= round(1000 * least) * (all_ - both)).select("a", "b")
 
-    marked = stored(docs.select("doc_id", "text").mapInArrow(task, "doc_id long, h long, fp long, len int, keys array<long>"))
+    marked = stored(docs.select("doc_id", "text").mapInArrow(task, "doc_id long, h long, fp long, len int, keys array<long>, " + ", ".join(f"{m} long" for m in MAP)))
     keys = marked.select("h", F.explode("keys").alias("key")).distinct()
-    comps = line_links(keys, facts_of, least, alike)
+    made = []
+
+    def marks_of(hashes: DataFrame) -> DataFrame:
+        # Texts of equal shingles may repeat them differently: one of their SimHashes.
+        made.append(stored(marked.select("h", "fp", "len", *MAP).join(hashes, "h", "left_semi").groupBy("h").agg(F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("len", *MAP))), "marks"))
+        return made[-1]
+
+    comps = line_links(keys, marks_of, texts_of, least, alike, may_be_alike)
+    drop(*made)
     rooted = marked.join(comps, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 

@@ -400,3 +400,57 @@ def test_words_are_coded_only_where_few_are_missing(spark):
     found = lines.alike(spark.createDataFrame(rows, "a long, b long, s string, t string"), 0.8)
     assert {r.a for r in found.collect()} == want and 10 < len(want) < 110
     assert "array_except" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_go_only_to_lines_with_a_pair(spark):
+    """Of a bucket's lines those whose marks allow no link with another are told apart
+    without their texts."""
+    fps = [sum(((h & k).bit_count() & 1) << k for k in range(63)) for h in range(60)]  # 31 bits apart or more
+    near = {40: 41, 50: 52}
+    for a, b in near.items():
+        fps[b] = fps[a] ^ 5
+    keys = spark.createDataFrame([(h, k) for h in range(60) for k in (1, 2)], "h long, key long")
+    marks = spark.createDataFrame([(h, f, 100) for h, f in enumerate(fps)], "h long, fp long, len int")
+    texts = spark.createDataFrame([(h, f"{h if h not in near.values() else [a for a in near if near[a] == h][0]}") for h in range(60)], "h long, text string")
+    asked = set()
+
+    def texts_of(hashes):
+        asked.update(r.h for r in hashes.collect())
+        return texts
+
+    alike = lambda pairs, least: pairs.where("s = t").select("a", "b")
+    found = lines.line_links(keys, lambda hashes: marks, texts_of, 0.8, alike).collect()
+    assert {(r.node, r.component) for r in found} == {(40, 40), (41, 40), (50, 50), (52, 50)}
+    assert asked == {40, 41, 50, 52}
+
+
+def test_maps_of_shingles_leave_out_no_alike_texts(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+
+    def marks(x):
+        held = np.zeros(256, np.uint8)
+        held[(x >> np.uint64(32)) % np.uint64(256)] = 1
+        return [len(x), *np.packbits(held).view(np.int64).tolist()]
+
+    for k in range(400):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
+        y = np.unique(np.concatenate((x[: max(1, int(len(x) * (k % 20) / 19))], rng.integers(0, 1 << 63, len(x) // 10, dtype=np.uint64))))
+        if k % 2:  # another text of that length
+            y = np.unique(rng.integers(0, 1 << 63, len(x), dtype=np.uint64))
+        both = len(np.intersect1d(x, y))
+        rows.append((1000 * both >= 800 * (len(x) + len(y) - both), 0, 0, *marks(x), *marks(y)))
+    columns = [f"{c}_{k}" for k in "ab" for c in ("len", *simhash.MAP)]
+    df = spark.createDataFrame(rows, "alike boolean, fp_a long, fp_b long, " + ", ".join(f"{c} {'int' if c[:3] == 'len' else 'long'}" for c in columns))
+    got = df.select("alike", simhash.may_be_alike(0.8).alias("may"), lines.may_link(0.8).alias("near")).collect()
+    assert all(r.may for r in got if r.alike) and sum(r.alike for r in got) > 10
+    # Left out are most that are not alike and that lengths let through.
+    assert sum(r.near and not r.alike for r in got) > 2 * sum(r.may and not r.alike for r in got)
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: cuts.append(1) or cut(df))
+    edges = spark.createDataFrame([(k, k % 7) for k in range(7, 60)] + [(3, 3), (60, 0), (60, 0)], "a long, b long")
+    found = {r.node: r.component for r in common.components(edges).collect()}
+    assert found == {k: k % 7 for k in range(60)} | {60: 0} and len(cuts) == 1
