@@ -454,3 +454,26 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     edges = spark.createDataFrame([(k, k % 7) for k in range(7, 60)] + [(3, 3), (60, 0), (60, 0)], "a long, b long")
     found = {r.node: r.component for r in common.components(edges).collect()}
     assert found == {k: k % 7 for k in range(60)} | {60: 0} and len(cuts) == 1
+
+
+def test_keys_are_grouped_in_parts_and_gone_before_texts_are_written(spark, monkeypatch):
+    """Of the tables of the line stage those with keys do not stay on disk."""
+    docs = spark.createDataFrame([(k, "\n".join(f"line {i} of some words that repeat in few other documents {i * 7 % 31}" for i in range(k, k + 5))) for k in range(20)], "doc_id long, text string")
+    held, at, stored, drop = {}, [], lines.stored, lines.drop
+
+    def writes(df, what="table"):
+        at.append((what, sorted(held.values())))
+        out = stored(df, what)
+        held[id(out)] = what
+        return out
+
+    def drops(*tables):
+        for t in tables:
+            held.pop(id(t))
+        drop(*tables)
+
+    monkeypatch.setattr(lines, "stored", writes)
+    monkeypatch.setattr(lines, "drop", drops)
+    lines.removed_lines(docs).collect()
+    assert [x for x, _ in at[: lines.PASSES + 2]] == ["keys", *["buckets"] * lines.PASSES, "texts"]
+    assert dict(at)["texts"] == ["buckets"] * lines.PASSES and sorted(held.values()) == ["places"]
