@@ -477,3 +477,17 @@ def test_keys_are_grouped_in_parts_and_gone_before_texts_are_written(spark, monk
     lines.removed_lines(docs).collect()
     assert [x for x, _ in at[: lines.PASSES + 2]] == ["keys", *["buckets"] * lines.PASSES, "texts"]
     assert dict(at)["texts"] == ["buckets"] * lines.PASSES and sorted(held.values()) == ["places"]
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    def files():
+        return {f.getName() for f in map(lambda k: found.apply(k), range(found.size()))} if (found := spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) else set()
+
+    shuffled = lambda: spark.range(1000).selectExpr("id % 97 as k").repartition(4, "k").groupBy("k").count()
+    before = files()
+    held = [shuffled(), shuffled()]  # frames that are held are not garbage
+    assert common.stored(held[0]).count() == 97 and common.cut(held[1]).where("count > 0").count() == 97
+    # The two counts that were asked here shuffle too, one row for each task.
+    left = {f for f in files() - before if f.startswith("shuffle_") and f.endswith(".data")}
+    assert len({f.split("_")[1] for f in left}) <= 2
+    assert spark.conf.get(common.CLEANUP) == "false"
