@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..operators import totals
 from . import replication, sync
-from .store import LOG, Store
+from .store import STORED, Store, numbered
 from .versions import Versions
 
 OTHERS = ("shadow", "conflicts", "cursor")
@@ -64,9 +64,9 @@ def follow(store: Store, versions: Versions, checkpoint: str, device: str, now:
     ``k + 1``, whether it runs once or again. The device's own batches are passed over."""
 
     def fold(df: DataFrame, number: int) -> None:
-        step(versions, replication.opened(df.where(F.col("device_id") != device).select("device_id", "seq", "envelope"), store.key), device, now, number + 1)
+        step(versions, replication.opened(numbered(df.where(F.col("device_id") != device)).select("device_id", "seq", "envelope"), store.key), device, now, number + 1)
 
-    log = store.spark.readStream.schema(LOG).option("mode", "FAILFAST").json(f"{store.root}/ops")
+    log = store.spark.readStream.schema(STORED).option("mode", "FAILFAST").json(f"{store.root}/ops")
     run = log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     if run.exception():

@@ -3,7 +3,11 @@
 The log has a folder for each batch, ``ops/device_id=.../seq=...``, so that what a
 cursor has passed is pruned before any file is opened; a batch that is written again
 takes its own folder's place. It is one line of JSON: a time and an envelope; a line
-that is cut short is an error. A snapshot is a folder of its own, and it is there once
+that is cut short is an error. Very many batches that are appended at once lie in
+packs instead, as a folder for each costs more than what is in it: a folder for each
+device and time, whose ``seq`` is negative and made of the batches that it holds, and
+whose lines say their own number. All batches of a pack have one time, so that they
+are old, folded and deleted together. A snapshot is a folder of its own, and it is there once
 its manifest is. Manifests, reserved numbers and claims are empty files whose names
 say all; each is created at once or not at all. Rows are read, folded and written by
 Spark; only names of such small files, and a cursor's row for each device, are on the
@@ -30,11 +34,21 @@ THRESHOLD, GRACE_MS, WAIT_S = 50, 3_600_000, 30
 STALE_MS = 90 * 86_400_000
 #: Batches that are deleted by a number of threads, and held by name, at once.
 THREADS, AT_ONCE = 16, 4096
+#: An append of more batches than this writes packs; batches to a file of a pack.
+PACKED, PER_FILE = 1000, 1000
 LOG = "created_at bigint, envelope binary, device_id string, seq bigint"
+#: As it lies there; ``number`` is in packs only.
+STORED = "created_at bigint, envelope binary, number bigint, device_id string, seq bigint"
 HORIZON = "device_id string, horizon bigint"
 FOLDED = "device_id string, seq bigint"
 
 
+def numbered(stored: DataFrame) -> DataFrame:
+    """Lines of ``STORED`` as batches, with ``pack`` where they lie in one."""
+    pack = F.when(F.col("seq") < 0, F.col("seq")).alias("pack")
+    return stored.select("created_at", "envelope", "device_id", F.coalesce("number", "seq").alias("seq"), pack)
+
+
 @dataclass
 class Store:
     """A shared folder, and the key of its envelopes."""
@@ -90,13 +104,63 @@ class Store:
         return n
 
     def append(self, ops: DataFrame, created_at: Column | int) -> None:
-        """Seals every batch (device_id, seq) of ``ops`` into a folder of its own. A
-        task or a job that runs again replaces what it wrote."""
+        """Seals every batch (device_id, seq) of ``ops`` into a folder of its own, or very
+        many into packs. A task, a job or an append that runs again replaces what it wrote."""
         at = created_at if isinstance(created_at, Column) else F.lit(created_at)
-        rows = replication.sealed(ops, self.key).withColumn("created_at", at.cast("bigint"))
+        at = at.cast("bigint")
+        rows = replication.sealed(ops, self.key).withColumn("created_at", at)
+        mine = ops.select("device_id", "seq").distinct()
+        many = mine.limit(PACKED + 1).count() > PACKED
+        held = self.exists("ops") and (many or bool(self.names("packs")))
+        written = self._write_packs(rows, mine.withColumn("created_at", at)) if many else self._write_folders(rows)
+        if held:
+            # Elsewhere they lie no more, once they are written here.
+            self._drop_elsewhere(mine, written, folders=many)
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_id", "seq").json(f"{self.root}/ops")
+
+    def _tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write_folders(self, rows: DataFrame) -> list[tuple[str, int]]:
         # Dealt out by a number of partitions: the work is folders and not bytes.
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartition(n, "device_id", "seq").select("created_at", "envelope", "device_id", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_id", "seq").json(f"{self.root}/ops")
+        self._write(rows.repartition(self._tasks(), "device_id", "seq").select("created_at", "envelope", "device_id", "seq"))
+        return []
+
+    def _write_packs(self, rows: DataFrame, batches: DataFrame) -> list[tuple[str, int]]:
+        """Writes ``rows`` of ``batches(device_id, seq, created_at)`` as packs, and returns
+        these. A row for each device and time comes to the driver."""
+        by = batches.groupBy("device_id", "created_at").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("seq")).alias("x"))
+        name = -F.shiftrightunsigned(F.xxhash64("device_id", "created_at", "n", "x"), 2) - 1
+        packs = cut(by.select(F.col("device_id").alias("_d"), F.col("created_at").alias("_t"), name.alias("pack"), F.ceil(F.col("n") / PER_FILE).alias("files")))
+        names = [(r["_d"], r["pack"]) for r in packs.select("_d", "pack").collect()]
+        for x in names:
+            self.put("packs", *x)
+        at = rows.join(packs, F.col("device_id").eqNullSafe(F.col("_d")) & F.col("created_at").eqNullSafe(F.col("_t")))
+        dealt = at.repartition(self._tasks(), "device_id", "pack", F.pmod(F.xxhash64("seq"), F.col("files")))
+        self._write(dealt.select("created_at", "envelope", F.col("seq").alias("number"), "device_id", F.col("pack").alias("seq")))
+        return names
+
+    def _drop_elsewhere(self, batches: DataFrame, written: list[tuple[str, int]], folders: bool) -> None:
+        """Takes batches out of all packs but ``written``, and of folders of their own."""
+        new = self.spark.createDataFrame(written, "device_id string, pack bigint")
+        log = self._log()
+        if not folders:
+            log = log.where("pack is not null")
+        log = log.join(new, ["device_id", "pack"], "left_anti")
+        again = cut(log.select("device_id", "seq", "pack").join(batches, ["device_id", "seq"], "left_semi"))
+        for d, pack in [tuple(r) for r in again.where("pack is not null").select("device_id", "pack").distinct().collect()]:
+            # What else is in the pack is packed again.
+            rest = log.where((F.col("device_id") == d) & (F.col("pack") == pack)).join(batches, ["device_id", "seq"], "left_anti").select("created_at", "envelope", "device_id", "seq")
+            rest = cut(rest)
+            self._write_packs(rest, rest.select("device_id", "seq", "created_at"))
+            self._remove_pack(d, pack)
+        self._delete(again.where("pack is null"))
+
+    def _remove_pack(self, device: str, pack: int) -> None:
+        self.remove(f"ops/device_id={self._partition(device)}/seq={pack}")
+        self.drop("packs", device, pack)
 
     def push(self, ops: DataFrame, device: str, now: int, seq: int | None = None) -> int | None:
         """Writes one batch of the device and returns its number; nothing, if there is
@@ -108,22 +172,29 @@ class Store:
         self.append(ops.withColumns({"device_id": F.lit(device), "seq": F.lit(seq).cast("bigint")}), now)
         return seq
 
+    def _log(self) -> DataFrame:
+        """``numbered`` of all batches."""
+        return numbered(self._stored())
+
+    def _stored(self) -> DataFrame:
+        if not self.exists("ops"):
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).option("mode", "FAILFAST").json(f"{self.root}/ops")
+
     def files(self) -> DataFrame:
         """created_at, envelope, device_id, seq of every batch."""
-        if not self.exists("ops"):
-            return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).option("mode", "FAILFAST").json(f"{self.root}/ops")
+        return self._log().drop("pack")
 
     def after(self, cursor: DataFrame) -> DataFrame:
         """Operations of the batches that ``cursor(device_id, seq)`` has not reached.
         The cursor, a row for each device, becomes a literal of the filter, so that
-        folders are pruned when the scan is planned."""
+        folders are pruned when the scan is planned; packs are read and not opened."""
         seen = {r["device_id"]: r["seq"] for r in cursor.collect()}
         new = F.col("seq") > 0
         if seen:
             at = F.create_map(*(F.lit(x) for pair in sorted(seen.items()) for x in pair))
             new = F.col("seq") > F.coalesce(F.try_element_at(at, F.col("device_id")), F.lit(0))
-        return replication.opened(self.files().where(new), self.key)
+        return replication.opened(numbered(self._stored().where((F.col("seq") < 0) | new)).where(new), self.key)
 
     # Snapshots
 
@@ -211,11 +282,11 @@ class Store:
             return None
         before = self.latest()
         # Read once: some hundreds of rows to an envelope.
-        old = cut(self.files().where(F.col("created_at") <= now - grace))
+        old = cut(self._log().where(F.col("created_at") <= now - grace))
         done = self._part(before, "folded", FOLDED)
-        left = old.select("device_id", "seq").join(done, ["device_id", "seq"], "left_semi")
+        left = old.select("device_id", "seq", "pack").join(done, ["device_id", "seq"], "left_semi")
         fresh = old.join(done, ["device_id", "seq"], "left_anti")
-        new = fresh.select("device_id", "seq")
+        new = fresh.select("device_id", "seq", "pack")
         n = None
         if new.count() >= threshold:
             ops = replication.opened(fresh, self.key)
@@ -223,17 +294,22 @@ class Store:
             reached = self._part(before, "horizon", HORIZON).unionByName(new.select("device_id", F.col("seq").alias("horizon"))).groupBy("device_id").agg(F.max("horizon").alias("horizon"))
             # Also after what was written and never published.
             n = max([0, *(int(x[0]) for x in self.names("snapshots")), *(x[0] for x in self.snapshots())]) + 1
-            self.write_snapshot(n, replication.compact(ops, rows), reached, new)
+            # Also what an earlier crash left, as it may be left once more.
+            self.write_snapshot(n, replication.compact(ops, rows), reached, new.unionByName(left))
             self.publish(n, now)
             if self.owner() != device:
                 return n
             left = left.unionByName(new)
-        self._delete(left)
+        self._delete(left.where("pack is null"))
+        # A pack goes once all of it is folded: all there is of it is as old.
+        whole = lambda df, c: df.where("pack is not null").groupBy("device_id", "pack").agg(F.count("*").alias(c))
+        for r in whole(left, "n").join(whole(old, "m"), ["device_id", "pack"]).where("n = m").collect():
+            self._remove_pack(r["device_id"], r["pack"])
         return n
 
     def _delete(self, batches: DataFrame) -> None:
-        """Deletes batches (device_id, seq), several at a time, as each is a few calls
-        that wait; no more than ``AT_ONCE`` of their names are held."""
+        """Deletes the folders of batches (device_id, seq), several at a time, as each is a
+        few calls that wait; no more than ``AT_ONCE`` of their names are held."""
         with ThreadPoolExecutor(THREADS) as pool:
             rows = batches.select("device_id", "seq").toLocalIterator()
             while some := [f"ops/device_id={self._partition(r['device_id'])}/seq={r['seq']}" for r in islice(rows, AT_ONCE)]:

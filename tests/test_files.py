@@ -179,6 +179,50 @@ def test_who_loses_the_log_deletes_nothing(spark, s, monkeypatch):
     assert s.compact("b", NOW + HOUR) == 1 and len(batches(s)) == 60
 
 
+def many(spark, n, dev="a", payload="{}"):
+    """A batch of one operation for each number below n, as one frame."""
+    return spark.range(1, n + 1, 1, 4).selectExpr(f"'{dev}' as device_id", "id as seq", "1 as version", "'transactions' as table_name", f"concat('row-{dev}-', id) as row_id", "id as remote_revision", "0L as updated_at", f"'{payload}' as payload")
+
+
+def test_very_many_batches_are_packed_and_each_is_there_once(spark, s):
+    n = store.PACKED + 200
+    every = many(spark, n).unionByName(many(spark, 50, "b/c"))
+    for _ in range(2):  # twice the same
+        s.append(every, F.when(F.col("seq") <= 100, NOW).otherwise(NOW + 2 * HOUR))
+        assert len({f.getPath().getParent().toString() for f in _files(spark, f"{s.root}/ops") if f.getPath().getName().endswith(".json")}) == 3
+        assert s.files().count() == n + 50 and batches(s) == {("a", k) for k in range(1, n + 1)} | {("b/c", k) for k in range(1, 51)}
+    got = s.after(spark.createDataFrame([("a", n - 3)], "device_id string, seq long")).collect()
+    assert {(r.device_id, r.seq, r.row_id) for r in got} == {("a", k, f"row-a-{k}") for k in range(n - 2, n + 1)} | {("b/c", k, f"row-b/c-{k}") for k in range(1, 51)}
+    # One that is sent again alone, and many that are sent again in other company.
+    s.append(ops(spark, [7], payload="again"), NOW)
+    none = s.files().limit(0).select("device_id", "seq")
+    assert s.files().count() == n + 50 and {r.seq for r in s.after(none).where("payload = 'again'").collect()} == {7}
+    s.append(many(spark, n + 1, payload="new"), NOW)
+    assert s.files().count() == n + 51 and s.after(none).where("payload = 'new'").count() == n + 1 and s.after(none).where("payload = '{}'").count() == 50
+
+
+def test_packs_are_folded_and_deleted_as_a_whole(spark, s, monkeypatch):
+    n = store.PACKED + 200
+    s.elect("a", NOW, 0)
+    s.append(many(spark, n), F.when(F.col("seq") <= n - 60, NOW).otherwise(NOW + 2 * HOUR))
+    assert s.compact("a", NOW + 2 * HOUR) == 1
+    assert batches(s) == {("a", k) for k in range(n - 59, n + 1)} and len(rows(s)) == n - 60 and horizon(s) == {"a": n - 60}
+    # Left by two crashes one after the other, a folded deletion stays folded.
+    s.append(ops(spark, [n + 1], row="row-a-5", revision=n + 1, payload=None), NOW + 2 * HOUR)
+    for hours, more in ((4, range(0)), (5, range(n + 2, n + 62))):
+        if more:
+            s.append(ops(spark, more), NOW + 3 * HOUR)
+        with monkeypatch.context() as m:
+            for name in ("_delete", "_remove_pack"):
+                m.setattr(s, name, lambda *x: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                s.compact("a", NOW + hours * HOUR)
+    whole = rows(s)
+    assert "row-a-5" not in whole and len(batches(s)) == 121
+    s.remove(f"ops/device_id=a/seq={n + 1}")  # only the deletion is gone from the log
+    assert s.compact("a", NOW + 6 * HOUR, threshold=1) is None and batches(s) == set() and rows(s) == whole and s.names("packs") == []
+
+
 # Claims
 
 
