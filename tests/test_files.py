@@ -400,3 +400,18 @@ def test_a_patch_keeps_the_kind_of_every_value(spark):
     assert got == ['{"amount_minor":5,"locked":true,"x":null,"o":{"b":[1,2.5]},"t":"5","notes":"n"}', '{"notes":"n"}', None]
     for value in ("7", "true", "null", '"a\\"b"', "[1]"):
         assert json.loads(df.select(replication.patch(F.col("j"), "locked", F.lit(value))).first()[0]) == {"amount_minor": 5, "locked": json.loads(value), "x": None, "o": {"b": [1, 2.5]}, "t": "5"}
+
+
+def test_a_stream_reads_packs_as_it_reads_folders(spark, s, monkeypatch):
+    monkeypatch.setattr(store, "PACKED", 3)
+    L = ledger.load(spark, SF)
+    state, sent = device.state(L), device.sent(L)
+    assert sent.select("seq").distinct().count() > store.PACKED
+    v = Versions(spark, f"{s.root}/tables", 4)
+    pull.start(v, state)
+    s.append(sent, NOW)
+    assert len(s.names("packs")) == 1
+    assert pull.follow(s, v, f"{s.root}/offsets", "near", 5000) == 1
+    want = sync.pull(state, sent, "near", 5000)
+    for t, df in {"transactions": want.tables["transactions"], "cursor": want.cursor, "totals": totals.totals(want.tables["transactions"])}.items():
+        assert same(v.table(t, 1), df), t
